@@ -29,7 +29,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -148,21 +148,29 @@ def delist(s: Series) -> Series:
 
 
 def save_checks(s: Series) -> Series:
-    """Per-source reasons the stored table would reject: too long, decimal overflow."""
-    k = F.col("keep")
+    """Per-source reasons the stored table would reject.
+
+    Duplicate keys are counted by a window over ``(src, seg, code, trade_date)``,
+    which the existing ``(src, seg)`` partitioning already satisfies: no new
+    exchange. Equal keys share a date, so they can straddle two segments only in
+    a split series; :class:`CleanResult` checks that case separately.
+    """
+    k = F.col("keep") & F.col("_reason").isNull()
     overflow = F.lit(False)
     for c, dt in _DECIMALS.items():
-        if c in ("created_at", "updated_at"):
-            continue
         cc = F.col(c)
         overflow = overflow | (cc.isNotNull() & cc.try_cast(dt).isNull())
-    s = s.aggregate(
+    same_key = Window.partitionBy(s.key, s.seg, "code", "trade_date")
+    df = s.df.withColumn("_dup", k & (F.sum(F.when(k, 1).otherwise(0)).over(same_key) > 1))
+    s = s.with_df(df).aggregate(
+        _dupkey=("max", F.col("_dup")),
         _long=("max", k & rules.too_long(F.col("code"), F.col("name"))),
         _overflow=("max", k & overflow),
     )
-    reason = F.coalesce(F.col("_reason"), F.when(F.col("_long"), F.lit("too_long")),
+    reason = F.coalesce(F.col("_reason"), F.when(F.col("_dupkey"), F.lit("duplicate_key")),
+                        F.when(F.col("_long"), F.lit("too_long")),
                         F.when(F.col("_overflow"), F.lit("numeric_overflow")))
-    return s.with_df(s.df.withColumn("_reason", reason).drop("_long", "_overflow"))
+    return s.with_df(s.df.withColumn("_reason", reason).drop("_dup", "_dupkey", "_long", "_overflow"))
 
 
 @dataclass
@@ -171,9 +179,12 @@ class CleanResult:
 
     standard: DataFrame  # adapted + coerced input, before F1
     marked: DataFrame    # F3 survivors with derived columns, ``keep`` and ``_reason``
+    segmented: bool = False
 
-    def duplicate_sources(self) -> DataFrame:
-        """Sources that would store one key twice (partial aggregation first)."""
+    def _cross_segment_duplicates(self) -> DataFrame | None:
+        """Split series only: keys stored twice across segments (partial aggregation first)."""
+        if not self.segmented:
+            return None
         kept = self.marked.filter(F.col("keep") & F.col("_reason").isNull())
         return (kept.groupBy(K.SRC, "code", "trade_date").agg(F.count(F.lit(1)).alias("_n"))
                 .filter(F.col("_n") > 1).select(K.SRC).distinct())
@@ -183,13 +194,13 @@ class CleanResult:
         missing = F.lit(False)
         for c in K.REQUIRED_COLUMNS:
             missing = missing | ~_flag(c)
-        parts = [
-            self.standard.filter(missing).select(K.SRC).distinct().withColumn("reason", F.lit("missing_column")),
-            self.marked.filter(F.col("_reason").isNotNull()).groupBy(K.SRC).agg(
-                F.first("_reason").alias("reason")),
-            self.duplicate_sources().withColumn("reason", F.lit("duplicate_key")),
-        ]
-        allq = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        allq = (self.standard.filter(missing).select(K.SRC).distinct()
+                .withColumn("reason", F.lit("missing_column"))
+                .unionByName(self.marked.filter(F.col("_reason").isNotNull())
+                             .groupBy(K.SRC).agg(F.first("_reason").alias("reason"))))
+        extra = self._cross_segment_duplicates()
+        if extra is not None:
+            allq = allq.unionByName(extra.withColumn("reason", F.lit("duplicate_key")))
         rank = F.array_position(F.array(*[F.lit(r) for r in REASONS]), F.col("reason"))
         return (allq.groupBy(K.SRC).agg(F.min(F.struct(rank.alias("r"), F.col("reason").alias("reason")))
                                        ["reason"].alias("reason")))
@@ -197,7 +208,10 @@ class CleanResult:
     def clean(self) -> DataFrame:
         """Rows to store: kept rows of sources without any reason."""
         kept = self.marked.filter(F.col("keep") & F.col("_reason").isNull())
-        return kept.join(self.duplicate_sources(), K.SRC, "left_anti").select(*OUTPUT_COLUMNS)
+        extra = self._cross_segment_duplicates()
+        if extra is not None:
+            kept = kept.join(extra, K.SRC, "left_anti")
+        return kept.select(*OUTPUT_COLUMNS)
 
 
 def clean_bars(df: DataFrame, *, max_series_rows: int = DEFAULT_MAX_ROWS,
@@ -206,4 +220,4 @@ def clean_bars(df: DataFrame, *, max_series_rows: int = DEFAULT_MAX_ROWS,
     std = df if standardized else standardize(df)
     s = position(std, max_series_rows)
     s = save_checks(delist(derive(valid(s), quarantine_first_row_dropped)))
-    return CleanResult(std, s.df)
+    return CleanResult(std, s.df, s.segmented)

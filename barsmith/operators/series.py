@@ -24,6 +24,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 # Bits reserved below the day number for the tie hash in the packed order key.
 TIE_BITS = 22
 DEFAULT_MAX_ROWS = 4_000_000
@@ -75,7 +77,8 @@ class Series:
         df = self.df.withColumn(name, local)
         counts = df.groupBy(self.key, self.seg).agg(F.count(F.lit(1)).alias("_n"))
         before = Window.partitionBy(self.key).orderBy(self.seg).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = counts.select(self.key, self.seg, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+        offsets = _small(counts.select(self.key, self.seg,
+                                       F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
         df = df.join(offsets, [self.key, self.seg], "left").withColumn(
             name, (F.col(name) + F.col("_off")).cast("int")).drop("_off")
         return self.with_df(df)
@@ -90,7 +93,8 @@ class Series:
         last = df.groupBy(self.key, self.seg).agg(
             F.max(F.struct(*[F.col(c) for c in self.order], F.col(column).alias("_v")))["_v"].alias("_last"))
         before = Window.partitionBy(self.key).orderBy(self.seg).rowsBetween(Window.unboundedPreceding, -1)
-        carry = last.select(self.key, self.seg, F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+        carry = _small(last.select(self.key, self.seg,
+                                   F.last("_last", ignorenulls=True).over(before).alias("_carry")))
         df = (df.join(carry, [self.key, self.seg], "left")
               .withColumn(name, F.when(F.col("_first_in_seg"), F.col("_carry")).otherwise(F.col(name)))
               .drop("_first_in_seg", "_carry"))
@@ -110,21 +114,36 @@ class Series:
             return self.with_df(self.df.withColumns({n: fn[k](e).over(w) for n, (k, e) in aggs.items()}))
         part = self.df.groupBy(self.key, self.seg).agg(*[fn[k](e).alias(n) for n, (k, e) in aggs.items()])
         whole = Window.partitionBy(self.key)
-        comb = part.select(self.key, self.seg, *[fn[k](F.col(n)).over(whole).alias(n) for n, (k, _) in aggs.items()])
+        comb = _small(part.select(self.key, self.seg,
+                                  *[fn[k](F.col(n)).over(whole).alias(n) for n, (k, _) in aggs.items()]))
         df = self.df.drop(*[n for n in aggs if n in self.df.columns]).join(comb, [self.key, self.seg], "left")
         return self.with_df(df)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Materialize a per-segment fix-up table (one row per ``(src, seg)``).
+
+    Later stages join several of these; checkpointing each keeps the plan linear
+    (one scan of the big frame per stage) instead of re-deriving every earlier
+    fix-up inside each later one.
+    """
+    return df.checkpoint(eager=True)
+
+
 def plan_segments(df: DataFrame, key: str, order_key: str, max_rows: int = DEFAULT_MAX_ROWS,
-                  seg: str = "_seg") -> tuple[DataFrame, bool]:
+                  seg: str = "_seg", counts: DataFrame | None = None) -> tuple[DataFrame, bool]:
     """Add the segment column; returns the frame and whether any series was split.
 
     Runs one aggregation (rows per series, partially aggregated before the
-    shuffle) and collects only two numbers. Boundaries are computed for hot
-    series alone and broadcast; their size is at most ``rows / max_rows *
-    MAX_SEGMENTS`` longs and is checked before the broadcast.
+    shuffle; or ``counts`` given as ``(key, _n)`` upper bounds, e.g. from file
+    sizes) and collects only two numbers. Boundaries are computed for hot series
+    alone and broadcast; their size is at most ``rows / max_rows * MAX_SEGMENTS``
+    longs and is checked before the broadcast. When a series is split, the frame
+    is hash-partitioned on ``(key, seg)`` and checkpointed to the shared
+    checkpoint folder, so the fix-up joins read it instead of recomputing it.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    if counts is None:
+        counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     hot = counts.filter(F.col("_n") > max_rows)
     stats = hot.agg(F.count(F.lit(1)).alias("k"), F.max("_n").alias("m")).first()
     n_hot, biggest = int(stats["k"] or 0), int(stats["m"] or 0)
@@ -142,4 +161,5 @@ def plan_segments(df: DataFrame, key: str, order_key: str, max_rows: int = DEFAU
            .withColumn(seg, F.when(F.col("_b").isNull(), F.lit(0))
                        .otherwise(F.size(F.filter("_b", lambda b: b < F.col(order_key)))))
            .drop("_b"))
-    return out, True
+    checkpoint_dir(df.sparkSession)
+    return out.repartition(key, seg).checkpoint(eager=True), True

@@ -36,8 +36,7 @@ def clean_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("quarantine_reasons", O.with_clean(
-    "SELECT src, min(reason) AS reason FROM _checked WHERE reason IS NOT NULL GROUP BY src "
-    "UNION ALL SELECT src, 'duplicate_key' AS reason FROM _dup"))
+    "SELECT src, min(reason) AS reason FROM _checked WHERE reason IS NOT NULL GROUP BY src"))
 def quarantine_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources set aside by the cleaner, one row each with the first reason that applies."""
     return clean_bars(raw_bars(spark, sf_dir)).quarantine()

@@ -61,6 +61,7 @@ _kept AS (
      OR trade_date <= end_date),
 _checked AS (
   SELECT *, coalesce(reason0,
+           CASE WHEN bool_or(dupcnt > 1) OVER (PARTITION BY src) THEN 'duplicate_key' END,
            CASE WHEN bool_or(length(code) > 15 OR coalesce(length(name) > 50, false)) OVER (PARTITION BY src)
                 THEN 'too_long' END,
            CASE WHEN bool_or(
@@ -77,14 +78,11 @@ _checked AS (
                OR (turnover_rate IS NOT NULL AND TRY_CAST(turnover_rate AS DECIMAL(10,6)) IS NULL)
                OR (avg_price IS NOT NULL AND TRY_CAST(avg_price AS DECIMAL(10,2)) IS NULL))
                   OVER (PARTITION BY src) THEN 'numeric_overflow' END) AS reason
-  FROM _kept),
-_dup AS (
-  SELECT DISTINCT src FROM _checked WHERE reason IS NULL
-  GROUP BY src, code, trade_date HAVING count(*) > 1),
+  FROM (SELECT *, count(*) OVER (PARTITION BY src, code, trade_date) AS dupcnt FROM _kept)),
 clean_daily AS (
   SELECT src, trade_date, code, name, open, high, low, close, pre_close, volume, amount,
          circulation_market_value, total_market_value, pct_change, turnover_rate, avg_price, trading_days
-  FROM _checked WHERE reason IS NULL AND src NOT IN (SELECT src FROM _dup))"""
+  FROM _checked WHERE reason IS NULL)"""
 
 
 def with_clean(select: str) -> str:
