@@ -127,7 +127,8 @@ def derive(s: Series, quarantine_first_row_dropped: bool = True) -> Series:
           .withColumn("keep4", rules.within_limit(F.col("pct_change"), F.col("price_limit_threshold"), F.col("pos")))
           .withColumn("_reason", F.when(F.lit(quarantine_first_row_dropped) & first_dropped,
                                         F.lit("first_row_dropped")))
-          .drop("_pct0", "_prev_close", "_first", "_has_pc"))
+          .withColumnRenamed("_has_pc", "pct_from_pre_close")
+          .drop("_pct0", "_prev_close", "_first"))
     return s.with_df(df)
 
 

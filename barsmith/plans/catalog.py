@@ -11,9 +11,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.clean import OUTPUT_COLUMNS, clean_bars
+from pyspark.sql import functions as F
+
+from .. import contracts as K
+from ..functions import rules
+from ..operators import clean as C
+from ..operators.adapt import drop_helper, keep_standard, rename_headers
+from ..operators.clean import OUTPUT_COLUMNS, clean_bars, standardize
 from . import oracle_sql as O
-from .fixtures import raw_bars
+from .fixtures import RAW_TEXT_EXPECTED_SQL, raw_bars, raw_bars_cn, raw_bars_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,3 +46,94 @@ def clean_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quarantine_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources set aside by the cleaner, one row each with the first reason that applies."""
     return clean_bars(raw_bars(spark, sf_dir)).quarantine()
+
+
+# -- per-rule queries (each is one stage of the cleaner on raw_bars) ------------
+
+def _std(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return standardize(raw_bars(spark, sf_dir))
+
+
+def _derived(spark: SparkSession, sf_dir: str):
+    return C.derive(C.valid(C.position(_std(spark, sf_dir))))
+
+
+@register("adapt_columns", O.with_raw("", (
+    "SELECT src, trade_date, code, name, open, high, low, close, pre_close, volume, amount, "
+    "circulation_market_value FROM raw_bars")))
+def adapt_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1 + P2: Chinese headers renamed; only standard columns kept, absent ones left out."""
+    return keep_standard(rename_headers(raw_bars_cn(spark, sf_dir)))
+
+
+@register("coerce_types", O.with_raw(RAW_TEXT_EXPECTED_SQL.split(")\nSELECT", 1)[0] + ")",
+                                     "SELECT" + RAW_TEXT_EXPECTED_SQL.split(")\nSELECT", 1)[1]))
+def coerce_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text cells to dates and doubles; bad cells, NA tokens and NaN become NULL."""
+    return standardize(raw_bars_text(spark, sf_dir)).select(K.SRC, *K.STANDARD_COLUMNS)
+
+
+@register("series_position", O.with_clean("SELECT src, trade_date, pos FROM _f1"))
+def series_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 + W1 + O1: rows with date and code, numbered per series by date."""
+    return C.position(_std(spark, sf_dir)).df.select(K.SRC, "trade_date", "pos")
+
+
+@register("valid_rows", O.with_clean(
+    "SELECT src, trade_date, code, open, high, low, close, volume, pos FROM _f3"))
+def valid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 + F3 after W1: complete, positive prices and non-negative volume keep their position."""
+    return C.valid(C.position(_std(spark, sf_dir))).df.select(
+        K.SRC, "trade_date", "code", "open", "high", "low", "close", "volume", "pos")
+
+
+@register("pct_change_preclose", O.with_clean(
+    "SELECT src, trade_date, pct_change, trading_days FROM _d WHERE has_pc"))
+def pct_change_preclose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 + C4 + W3: change against pre_close in series that carry one; row 1 repaired from its open."""
+    return _derived(spark, sf_dir).df.filter("pct_from_pre_close").select(
+        K.SRC, "trade_date", "pct_change", "trading_days")
+
+
+@register("pct_change_lag", O.with_clean(
+    "SELECT src, trade_date, pct_change, trading_days FROM _d WHERE NOT has_pc"))
+def pct_change_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 + W2 + W3: change against the previous surviving close where no pre_close exists."""
+    return _derived(spark, sf_dir).df.filter("NOT pct_from_pre_close").select(
+        K.SRC, "trade_date", "pct_change", "trading_days")
+
+
+@register("turnover_rate", O.with_clean("SELECT src, trade_date, turnover_rate FROM _d"))
+def turnover_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C5 + P4: amount over circulating market value, 0 when that is not positive."""
+    return _derived(spark, sf_dir).df.select(K.SRC, "trade_date", "turnover_rate")
+
+
+@register("avg_price", O.with_clean("SELECT src, trade_date, avg_price FROM _d"))
+def avg_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C6 + P4: amount over volume, the close when volume is 0."""
+    return _derived(spark, sf_dir).df.select(K.SRC, "trade_date", "avg_price")
+
+
+@register("limit_threshold", O.with_raw("", (
+    f"SELECT src, trade_date, code, name, {O.THRESHOLD_SQL} AS price_limit_threshold "
+    "FROM raw_bars WHERE trade_date IS NOT NULL AND code IS NOT NULL")))
+def limit_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C7 + C8 + C10 + C11: each row's price limit by board, ST name and the sz30 switch date."""
+    std = _std(spark, sf_dir).filter(F.col("trade_date").isNotNull() & F.col("code").isNotNull())
+    return std.select(K.SRC, "trade_date", "code", "name", rules.limit_threshold(
+        F.col("code"), F.col("name"), F.col("trade_date"), F.col(K.presence_flag("name")))
+        .alias("price_limit_threshold"))
+
+
+@register("limit_filter", O.with_clean("SELECT src, trade_date, pct_change, trading_days FROM _k4"))
+def limit_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C12 + F4 + W5 + P3: rows within limit + 0.02, row 1 always kept; helper column dropped."""
+    return drop_helper(_derived(spark, sf_dir).df.filter("keep4")).select(
+        K.SRC, "trade_date", "pct_change", "trading_days")
+
+
+@register("delist_truncate", O.with_clean("SELECT src, trade_date, amount FROM _kept"))
+def delist_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C9 + F5 + A2 + W6-W8: delisted series cut after the last non-zero amount."""
+    return C.delist(_derived(spark, sf_dir)).df.filter("keep").select(K.SRC, "trade_date", "amount")

@@ -6,7 +6,8 @@ module only shapes rows into the bar schema the jobs expect; it does none of the
 cleaning, upserting or bookkeeping work itself. Each builder has an equal DuckDB
 CTE so that oracle queries start from identical input.
 
-Series here are bounded by the number of distinct ship dates (about 2,500), and
+Amounts are rounded to cents as ``floor(x * 100 + 0.5) / 100`` because the two
+engines' ``round`` disagree on decimal ties. Series here are bounded by the number of distinct ship dates (about 2,500), and
 every per-bar reduction is partially aggregated, so a hot supplier does not
 concentrate work in one task.
 """
@@ -56,7 +57,7 @@ def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(nk % 23 == 0, F.lit(None).cast("double")).otherwise(F.col("_qty")).alias("volume"),
         F.when(((k % 11 == 0) | (k % 14 == 0)) & late, F.lit(0.0))
         .when(nk % 31 == 0, F.lit(None).cast("double"))
-        .otherwise(F.round(F.col("_qty") * F.col("close"), 2)).alias("amount"),
+        .otherwise(F.floor(F.col("_qty") * F.col("close") * 100.0 + 0.5) / 100.0).alias("amount"),
         ((k % 9) * 1000).cast("double").alias("circulation_market_value"),
         ((k % 9) * 3000).cast("double").alias("total_market_value"),
     )
@@ -86,7 +87,66 @@ raw_bars AS (
               ELSE lag(close) OVER (PARTITION BY k ORDER BY trade_date) END AS pre_close,
          CASE WHEN nk % 23 = 0 THEN NULL ELSE _qty END AS volume,
          CASE WHEN (k % 11 = 0 OR k % 14 = 0) AND trade_date > DATE '{DELIST_FROM}' THEN 0.0
-              WHEN nk % 31 = 0 THEN NULL ELSE round(_qty * close, 2) END AS amount,
+              WHEN nk % 31 = 0 THEN NULL ELSE floor(_qty * close * 100.0 + 0.5) / 100.0 END AS amount,
          CAST((k % 9) * 1000 AS DOUBLE) AS circulation_market_value,
          CAST((k % 9) * 3000 AS DOUBLE) AS total_market_value
   FROM _bar)"""
+
+
+def raw_bars_cn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_bars`` under the CSV's Chinese headers, without 总市值, plus a column no rule knows."""
+    back = {v: k for k, v in K.HEADER_MAP.items()}
+    bars = raw_bars(spark, sf_dir).drop("total_market_value")
+    return bars.withColumnsRenamed({c: back[c] for c in bars.columns if c in back}).withColumn(
+        "备注", F.lit("x"))
+
+
+def _nk() -> F.Column:
+    k = F.substring(F.col(K.SRC), 2, 20).cast("long")
+    return F.datediff("trade_date", F.lit(DAY_ZERO).cast("date")) + k
+
+
+def raw_bars_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_bars`` as text cells, some spoiled the way real files are (see ``RAW_TEXT_EXPECTED_SQL``)."""
+    nk = _nk()
+
+    def txt(c: str) -> F.Column:
+        return F.col(c).cast("string")
+
+    return raw_bars(spark, sf_dir).select(
+        K.SRC,
+        F.when(nk % 41 == 0, F.date_format("trade_date", "yyyy/MM/dd"))
+        .when(nk % 41 == 1, F.date_format("trade_date", "yyyyMMdd"))
+        .when(nk % 41 == 2, F.lit("2020-13-01")).otherwise(txt("trade_date")).alias("trade_date"),
+        F.when(nk % 43 == 0, F.lit("NA")).otherwise(F.col("code")).alias("code"),
+        F.when(nk % 47 == 0, F.lit("null")).otherwise(F.col("name")).alias("name"),
+        F.when(nk % 37 == 0, F.lit("1,000")).otherwise(txt("open")).alias("open"),
+        F.when(nk % 53 == 0, F.lit("abc")).otherwise(txt("high")).alias("high"),
+        txt("low").alias("low"),
+        F.when(nk % 59 == 0, F.lit("1.0d")).otherwise(txt("close")).alias("close"),
+        F.when(nk % 71 == 0, F.lit("NaN")).otherwise(txt("pre_close")).alias("pre_close"),
+        F.when(nk % 61 == 0, F.concat(F.lit("+"), txt("volume"))).otherwise(txt("volume")).alias("volume"),
+        F.when(nk % 67 == 0, F.lit("inf")).otherwise(txt("amount")).alias("amount"),
+        F.when(nk % 73 == 0, F.lit("")).otherwise(txt("circulation_market_value"))
+        .alias("circulation_market_value"),
+        F.when(nk % 79 == 0, F.lit("1e5")).otherwise(txt("total_market_value")).alias("total_market_value"),
+    )
+
+
+# What coercion must give for each spoiled cell of raw_bars_text, stated directly.
+RAW_TEXT_EXPECTED_SQL = """
+_nk AS (SELECT *, (trade_date - DATE '2016-01-01') + CAST(substr(src, 2) AS BIGINT) AS nk FROM raw_bars)
+SELECT src,
+       CASE WHEN nk % 41 = 2 THEN NULL ELSE trade_date END AS trade_date,
+       CASE WHEN nk % 43 = 0 THEN NULL ELSE code END AS code,
+       CASE WHEN nk % 47 = 0 THEN NULL ELSE name END AS name,
+       CASE WHEN nk % 37 = 0 THEN NULL ELSE open END AS open,
+       CASE WHEN nk % 53 = 0 THEN NULL ELSE high END AS high,
+       low,
+       CASE WHEN nk % 59 = 0 THEN NULL ELSE close END AS close,
+       CASE WHEN nk % 71 = 0 THEN NULL ELSE pre_close END AS pre_close,
+       volume,
+       CASE WHEN nk % 67 = 0 THEN 'inf'::DOUBLE ELSE amount END AS amount,
+       CASE WHEN nk % 73 = 0 THEN NULL ELSE circulation_market_value END AS circulation_market_value,
+       CASE WHEN nk % 79 = 0 THEN 100000.0::DOUBLE ELSE total_market_value END AS total_market_value
+FROM _nk"""
