@@ -12,14 +12,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import contracts as K
 from ..functions import rules
 from ..operators import clean as C
 from ..operators.adapt import drop_helper, keep_standard, rename_headers
 from ..operators.clean import OUTPUT_COLUMNS, clean_bars, standardize
+from ..operators.upsert import append_rows, latest_per_key, merge, to_contract
 from . import oracle_sql as O
-from .fixtures import RAW_TEXT_EXPECTED_SQL, raw_bars, raw_bars_cn, raw_bars_text
+from .fixtures import RAW_TEXT_EXPECTED_SQL, minute_bars, raw_bars, raw_bars_cn, raw_bars_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -137,3 +139,112 @@ def limit_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def delist_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C9 + F5 + A2 + W6-W8: delisted series cut after the last non-zero amount."""
     return C.delist(_derived(spark, sf_dir)).df.filter("keep").select(K.SRC, "trade_date", "amount")
+
+
+# -- upsert, append, contracts (U1-U6, S10-S14, C13, J4) ------------------------
+
+DAILY_COLS = K.DAILY_KEYS + O.DAILY_VALUE_COLUMNS
+MINUTE_COLS = K.MINUTE_KEYS + ("open", "high", "low", "close", "volume", "amount")
+_SPLIT, _FROM = "2021-01-01", "2020-07-01"
+
+PAIR_CTES = O.CLEAN_CTES + f""",
+_tgt AS (SELECT {', '.join(DAILY_COLS)} FROM clean_daily WHERE trade_date < DATE '{_SPLIT}'),
+_srcf AS (SELECT {', '.join(c if c != 'close' else 'close + 1.0 AS close' for c in DAILY_COLS)}
+          FROM clean_daily WHERE trade_date >= DATE '{_FROM}')"""
+
+
+def _pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Upsert pair: stored rows before 2021, incoming rows from mid-2020 with the close raised by 1."""
+    daily = clean_bars(raw_bars(spark, sf_dir)).clean().select(*DAILY_COLS)
+    target = daily.filter(F.col("trade_date") < F.lit(_SPLIT).cast("date"))
+    source = daily.filter(F.col("trade_date") >= F.lit(_FROM).cast("date")).withColumn(
+        "close", F.col("close") + 1.0)
+    return target, source
+
+
+@register("upsert_daily", O.with_raw(PAIR_CTES, O.merge_sql("_tgt", "_srcf", K.DAILY_KEYS, DAILY_COLS, DAILY_COLS)))
+def upsert_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U1 + J4: overlapping keys take the incoming values, new keys are inserted."""
+    target, source = _pair(spark, sf_dir)
+    return merge(target, source, K.DAILY_KEYS, audit=False)
+
+
+@register("upsert_subset", O.with_raw(PAIR_CTES, O.merge_sql(
+    "_tgt", "_srcf", K.DAILY_KEYS, DAILY_COLS, tuple(c for c in DAILY_COLS if c != "name"))))
+def upsert_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U1 with an absent column: incoming rows without ``name`` keep the stored name."""
+    target, source = _pair(spark, sf_dir)
+    return merge(target, source.drop("name"), K.DAILY_KEYS, audit=False)
+
+
+@register("upsert_keys_only", O.with_raw(PAIR_CTES, O.merge_sql(
+    "_tgt", "_srcf", K.DAILY_KEYS, DAILY_COLS, K.DAILY_KEYS)))
+def upsert_keys_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key-only source inserts its new keys and changes nothing else."""
+    target, source = _pair(spark, sf_dir)
+    return merge(target, source.select(*K.DAILY_KEYS), K.DAILY_KEYS, audit=False)
+
+
+@register("latest_wins", O.with_raw(O.CLEAN_CTES + f""",
+_both AS (
+  SELECT {', '.join(DAILY_COLS)}, 'a' AS source_file, 1 AS file_time
+  FROM clean_daily WHERE trade_date >= DATE '{_FROM}'
+  UNION ALL
+  SELECT {', '.join(c if c != 'close' else 'close + 2.0 AS close' for c in DAILY_COLS)}, 'b', 2
+  FROM clean_daily WHERE trade_date >= DATE '2022-01-01')""", f"""
+SELECT {', '.join(DAILY_COLS)}, source_file, file_time FROM (
+  SELECT *, row_number() OVER (PARTITION BY code, trade_date ORDER BY file_time DESC, source_file DESC) AS rn
+  FROM _both) WHERE rn = 1"""))
+def latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U4: the same key from two files resolves to the newer file (then the greater path)."""
+    daily = clean_bars(raw_bars(spark, sf_dir)).clean().select(*DAILY_COLS)
+    a = daily.filter(F.col("trade_date") >= F.lit(_FROM).cast("date")).withColumns(
+        {"source_file": F.lit("a"), "file_time": F.lit(1)})
+    b = daily.filter(F.col("trade_date") >= F.lit("2022-01-01").cast("date")).withColumns(
+        {"close": F.col("close") + 2.0, "source_file": F.lit("b"), "file_time": F.lit(2)})
+    return latest_per_key(a.unionByName(b), K.DAILY_KEYS, [F.col("file_time"), F.col("source_file")])
+
+
+@register("append_checked", O.with_raw(PAIR_CTES, f"""
+SELECT {', '.join(DAILY_COLS)} FROM _tgt
+UNION ALL
+SELECT {', '.join(c if c != 'total_market_value' else 'NULL AS total_market_value' for c in DAILY_COLS)}
+FROM clean_daily WHERE trade_date >= DATE '{_SPLIT}'"""))
+def append_checked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S10 + U5: new rows appended after the name checks; a column they lack is NULL."""
+    target, _ = _pair(spark, sf_dir)
+    daily = clean_bars(raw_bars(spark, sf_dir)).clean().select(*DAILY_COLS)
+    new = daily.filter(F.col("trade_date") >= F.lit(_SPLIT).cast("date")).drop("total_market_value")
+    return append_rows(target, new, "stock_daily")
+
+
+_CONTRACT_FIELDS = [f for f in K.DAILY_SCHEMA.fields if f.name not in K.AUDIT_COLUMNS]
+
+
+def _decimal_sql(f) -> str:
+    if isinstance(f.dataType, T.DecimalType):
+        return (f"CAST(CAST({f.name} AS VARCHAR) AS DECIMAL({f.dataType.precision},{f.dataType.scale})) "
+                f"AS {f.name}")
+    return f.name
+
+
+@register("daily_contract", O.with_clean(
+    f"SELECT {', '.join(_decimal_sql(f) for f in _CONTRACT_FIELDS)} FROM clean_daily"))
+def daily_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S12 + S13 + C13: cleaned bars cast to the stored table's decimals (audit clocks left out)."""
+    daily = clean_bars(raw_bars(spark, sf_dir)).clean()
+    return to_contract(daily, T.StructType(_CONTRACT_FIELDS))
+
+
+@register("minute_contract", O.with_ctes(O.MINUTE_BARS_SQL_REF + """,
+_mt AS (SELECT * FROM minute_bars WHERE trade_date < DATE '2024-01-20'),
+_ms AS (SELECT code, trade_date, time, open, high, low, close + 1.0 AS close, volume, amount
+        FROM minute_bars WHERE trade_date >= DATE '2024-01-15')""",
+    O.merge_sql("_mt", "_ms", K.MINUTE_KEYS, MINUTE_COLS, MINUTE_COLS)))
+def minute_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S14 + U1 on three keys: minute bars (time as seconds of day) upserted by (code, date, time)."""
+    bars = minute_bars(spark, sf_dir).select(*MINUTE_COLS)
+    target = bars.filter(F.col("trade_date") < F.lit("2024-01-20").cast("date"))
+    source = bars.filter(F.col("trade_date") >= F.lit("2024-01-15").cast("date")).withColumn(
+        "close", F.col("close") + 1.0)
+    return merge(target, source, K.MINUTE_KEYS, audit=False)

@@ -150,3 +150,36 @@ SELECT src,
        CASE WHEN nk % 73 = 0 THEN NULL ELSE circulation_market_value END AS circulation_market_value,
        CASE WHEN nk % 79 = 0 THEN 100000.0::DOUBLE ELSE total_market_value END AS total_market_value
 FROM _nk"""
+
+
+def minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minute bars from ``events``: one series per user, one bar per (user, minute).
+
+    ``amount`` sums cents as whole numbers so that the sum does not depend on order.
+    """
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
+    minute = F.date_trunc("minute", "ts")
+    order = F.struct("ts", "event_id")
+    bars = ev.groupBy(F.col("user_id"), minute.alias("m")).agg(
+        F.min_by("value", order).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"),
+        F.max_by("value", order).alias("close"), F.count(F.lit(1)).cast("double").alias("volume"),
+        (F.sum(F.round(F.col("value") * 100.0)) / 100.0).alias("amount"))
+    return bars.select(
+        F.concat(F.lit("u"), F.lpad(F.col("user_id").cast("string"), 4, "0")).alias("code"),
+        F.to_date("m").alias("trade_date"),
+        (F.hour("m") * 3600 + F.minute("m") * 60).cast("int").alias("time"),
+        "open", "high", "low", "close", "volume", "amount")
+
+
+MINUTE_BARS_SQL = """
+minute_bars AS (
+  SELECT 'u' || lpad(CAST(user_id AS VARCHAR), 4, '0') AS code, CAST(m AS DATE) AS trade_date,
+         CAST(hour(m) * 3600 + minute(m) * 60 AS INTEGER) AS time,
+         max(CASE WHEN i = 1 THEN value END) AS open, max(value) AS high, min(value) AS low,
+         max(CASE WHEN i = n THEN value END) AS close, CAST(count(*) AS DOUBLE) AS volume,
+         sum(round(value * 100.0)) / 100.0 AS amount
+  FROM (SELECT *, date_trunc('minute', ts) AS m,
+               row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) AS i,
+               count(*) OVER (PARTITION BY user_id, date_trunc('minute', ts)) AS n
+        FROM events)
+  GROUP BY user_id, m)"""

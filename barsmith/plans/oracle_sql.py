@@ -8,7 +8,9 @@ comparison is cast to DOUBLE, since DuckDB reads ``0.10`` as a DECIMAL.
 
 from __future__ import annotations
 
-from .fixtures import RAW_BARS_SQL
+from .fixtures import MINUTE_BARS_SQL, RAW_BARS_SQL
+
+MINUTE_BARS_SQL_REF = MINUTE_BARS_SQL
 
 THRESHOLD_SQL = """CASE
   WHEN coalesce(name LIKE '%ST%', false)
@@ -89,6 +91,31 @@ def with_clean(select: str) -> str:
     return f"WITH {RAW_BARS_SQL},{CLEAN_CTES}\n{select}"
 
 
+def with_ctes(ctes: str, select: str) -> str:
+    return f"WITH {ctes}\n{select}"
+
+
 def with_raw(ctes: str, select: str) -> str:
     sep = "," if ctes.strip() else ""
     return f"WITH {RAW_BARS_SQL}{sep}{ctes}\n{select}"
+
+
+DAILY_VALUE_COLUMNS = ("open", "high", "low", "close", "pre_close", "volume", "amount", "name",
+                       "circulation_market_value", "total_market_value", "pct_change",
+                       "turnover_rate", "avg_price", "trading_days")
+
+
+def merge_sql(target: str, source: str, keys: tuple[str, ...], columns: tuple[str, ...],
+              source_columns: tuple[str, ...]) -> str:
+    """FULL JOIN statement of the upsert: source values win for the columns it carries."""
+    hit = f"s.{keys[0]} IS NOT NULL"
+    out = []
+    for c in columns:
+        if c in keys:
+            out.append(f"coalesce(t.{c}, s.{c}) AS {c}")
+        elif c in source_columns:
+            out.append(f"CASE WHEN {hit} THEN s.{c} ELSE t.{c} END AS {c}")
+        else:
+            out.append(f"t.{c} AS {c}")
+    on = " AND ".join(f"t.{k} = s.{k}" for k in keys)
+    return f"SELECT {', '.join(out)} FROM {target} t FULL OUTER JOIN {source} s ON {on}"
