@@ -17,11 +17,13 @@ from pyspark.sql import types as T
 from .. import contracts as K
 from ..functions import rules
 from ..operators import clean as C
+from ..operators import manifest as M
 from ..operators.adapt import drop_helper, keep_standard, rename_headers
 from ..operators.clean import OUTPUT_COLUMNS, clean_bars, standardize
 from ..operators.upsert import append_rows, latest_per_key, merge, to_contract
 from . import oracle_sql as O
-from .fixtures import RAW_TEXT_EXPECTED_SQL, minute_bars, raw_bars, raw_bars_cn, raw_bars_text
+from .fixtures import (MANIFEST_NOW, MANIFEST_SQL, RAW_TEXT_EXPECTED_SQL, minute_bars, page_listing,
+                       page_manifest, raw_bars, raw_bars_cn, raw_bars_text)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -248,3 +250,164 @@ def minute_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = bars.filter(F.col("trade_date") >= F.lit("2024-01-15").cast("date")).withColumn(
         "close", F.col("close") + 1.0)
     return merge(target, source, K.MINUTE_KEYS, audit=False)
+
+
+# -- manifest: incremental ingestion (M1-M11, J1-J3, A3, A4) --------------------
+
+_NOW = f"TIMESTAMP '{MANIFEST_NOW}'"
+MANIFEST_CTES = MANIFEST_SQL + f""",
+_reset AS (
+  SELECT source_identifier, source_hash,
+         CASE WHEN _stale THEN 'pending' ELSE status END AS status,
+         CASE WHEN _stale THEN NULL ELSE processed_at END AS processed_at, reason, _stale AS was_reset
+  FROM (SELECT *, coalesce(status = 'processing'
+                           AND (processed_at IS NULL OR processed_at < {_NOW} - INTERVAL 60 MINUTE), false) AS _stale
+        FROM _manifest)),
+_dec AS (
+  SELECT *, CASE WHEN reason = 'no_fingerprint' THEN 'drop' WHEN reason IN ('in_progress', 'done') THEN 'skip'
+                 ELSE 'process' END AS action
+  FROM (SELECT l.source_identifier, l.source_hash, m.status AS stored_status, m.source_hash AS stored_hash,
+               CASE WHEN l.source_identifier IS NULL OR l.source_identifier = ''
+                         OR l.source_hash IS NULL OR l.source_hash = '' THEN 'no_fingerprint'
+                    WHEN m.status IS NULL THEN 'new'
+                    WHEN m.status = 'processing' THEN 'in_progress'
+                    WHEN m.source_hash <> l.source_hash THEN 'changed'
+                    WHEN m.status IN ('failed', 'pending') THEN m.status
+                    ELSE 'done' END AS reason
+        FROM _listing l LEFT JOIN _reset m ON l.source_identifier = m.source_identifier)),
+_reg AS (
+  SELECT source_identifier, source_hash, status, processed_at, reason FROM _reset
+  UNION ALL
+  SELECT source_identifier, source_hash, 'pending', NULL, NULL FROM _dec WHERE reason = 'new'),
+_claimed AS (
+  SELECT d.source_identifier, d.source_hash, r.status AS prior_status, r.source_hash AS prior_hash,
+         r.processed_at AS prior_processed_at
+  FROM _dec d LEFT JOIN _reg r ON d.source_identifier = r.source_identifier
+  WHERE d.action = 'process' AND d.source_hash IS NOT NULL AND d.source_hash <> ''
+    AND (r.status IS NULL OR r.status <> 'processing')),
+_claim AS (
+  SELECT r.source_identifier, coalesce(c.source_hash, r.source_hash) AS source_hash,
+         CASE WHEN c.source_identifier IS NOT NULL THEN 'processing' ELSE r.status END AS status,
+         r.processed_at, r.reason
+  FROM _reg r LEFT JOIN _claimed c ON r.source_identifier = c.source_identifier
+  UNION ALL
+  SELECT source_identifier, source_hash, 'processing', NULL, NULL FROM _claimed WHERE prior_status IS NULL),
+_out AS (
+  SELECT c.source_identifier,
+         CASE WHEN l.page_id % 5 = 0 THEN c.prior_hash ELSE c.source_hash END AS source_hash,
+         CASE WHEN l.page_id % 5 = 0 THEN c.prior_status WHEN l.page_id % 3 = 0 THEN 'failed'
+              ELSE 'completed' END AS status,
+         CASE WHEN l.page_id % 5 = 0 THEN c.prior_processed_at ELSE {_NOW} END AS processed_at,
+         CASE WHEN l.page_id % 5 = 0 THEN 'not_loaded' WHEN l.page_id % 3 = 0 THEN 'first_row_dropped' END AS reason
+  FROM _claimed c JOIN _listing l ON c.source_identifier = l.source_identifier),
+_fin AS (
+  SELECT m.source_identifier,
+         CASE WHEN o.source_identifier IS NOT NULL THEN o.source_hash ELSE m.source_hash END AS source_hash,
+         CASE WHEN o.source_identifier IS NOT NULL THEN o.status ELSE m.status END AS status,
+         CASE WHEN o.source_identifier IS NOT NULL THEN o.processed_at ELSE m.processed_at END AS processed_at,
+         CASE WHEN o.source_identifier IS NOT NULL THEN o.reason ELSE m.reason END AS reason
+  FROM _claim m LEFT JOIN _out o ON m.source_identifier = o.source_identifier)"""
+
+
+def _now():
+    return F.lit(MANIFEST_NOW).cast("timestamp_ntz")
+
+
+def _run_steps(spark: SparkSession, sf_dir: str, force: bool = False):
+    listing = page_listing(spark, sf_dir)
+    reset = M.reset_stale(page_manifest(spark, sf_dir), _now())
+    decisions = M.decide(listing, reset, force=force)
+    registered = reset if force else M.register_new(reset, decisions)
+    claimed_manifest, claimed = M.claim(registered, decisions)
+    return listing, reset, decisions, registered, claimed_manifest, claimed
+
+
+def _run_outcome(spark: SparkSession, sf_dir: str):
+    listing, _, _, _, claimed_manifest, claimed = _run_steps(spark, sf_dir)
+    # Stand-in results of the load and clean steps: every fifth page is an empty
+    # file, every third is quarantined by the cleaner.
+    loaded = listing.filter(F.col("page_id") % 5 != 0)
+    quarantine = listing.filter(F.col("page_id") % 3 == 0).select(
+        M.ID, F.lit("first_row_dropped").alias("reason"))
+    return claimed_manifest, M.outcome(claimed, loaded, quarantine, _now())
+
+
+@register("reset_stale", O.with_ctes(MANIFEST_CTES, "SELECT * FROM _reset"))
+def reset_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8 + A4: unfinished or timed-out claims go back to pending (``was_reset`` counts them)."""
+    return M.reset_stale(page_manifest(spark, sf_dir), _now())
+
+
+@register("work_filter", O.with_ctes(
+    MANIFEST_CTES, "SELECT source_identifier, source_hash, action, reason FROM _dec"))
+def work_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2 + M10 + M11 + J1: listing joined with the manifest; one action and reason per source."""
+    return _run_steps(spark, sf_dir)[2].select(M.ID, M.HASH, "action", "reason")
+
+
+@register("work_filter_force", O.with_ctes(
+    MANIFEST_CTES, "SELECT source_identifier, source_hash, 'process' AS action, 'force' AS reason FROM _listing"))
+def work_filter_force(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4: with force every listed source is chosen, fingerprint or not."""
+    return _run_steps(spark, sf_dir, force=True)[2].select(M.ID, M.HASH, "action", "reason")
+
+
+@register("work_summary", O.with_ctes(MANIFEST_CTES, "SELECT action, count(*) AS n FROM _dec GROUP BY action"))
+def work_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: number of listed sources per action."""
+    return M.summary(_run_steps(spark, sf_dir)[2])
+
+
+@register("register_new", O.with_ctes(MANIFEST_CTES, "SELECT * FROM _reg"))
+def register_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5 + J3: sources seen for the first time are registered as pending; others untouched."""
+    return _run_steps(spark, sf_dir)[3]
+
+
+@register("claim", O.with_ctes(MANIFEST_CTES, "SELECT * FROM _claim"))
+def claim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6: chosen sources are claimed (processing + new fingerprint) unless already processing."""
+    return _run_steps(spark, sf_dir)[4]
+
+
+@register("run_outcome", O.with_ctes(MANIFEST_CTES, "SELECT * FROM _out"))
+def run_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9 + S7: completed, failed with reason, or restored when the file held no rows."""
+    return _run_outcome(spark, sf_dir)[1]
+
+
+@register("finish", O.with_ctes(MANIFEST_CTES, "SELECT * FROM _fin"))
+def finish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7: the manifest after the run's outcomes are written (finish time = the run's clock)."""
+    claimed_manifest, outcomes = _run_outcome(spark, sf_dir)
+    return M.finish(claimed_manifest, outcomes, _now())
+
+
+_TRANSITION_SQL = """(
+     ({f} IS NULL AND {t} IN ('pending', 'processing'))
+  OR ({f} = 'pending' AND {t} IN ('processing', 'failed'))
+  OR ({f} = 'processing' AND {t} IN ('completed', 'failed'))
+  OR ({f} = 'failed' AND {t} IN ('processing'))
+  OR ({f} = 'completed' AND {t} IN ('processing')))"""
+
+
+def _step_sql(step: str, before: str, after: str) -> str:
+    allowed = _TRANSITION_SQL.format(f="b.status", t="a.status")
+    return (f"SELECT '{step}' AS step, a.source_identifier, b.status AS from_status, a.status AS to_status, "
+            f"coalesce({allowed}, false) AS allowed FROM {after} a LEFT JOIN {before} b "
+            f"ON a.source_identifier = b.source_identifier WHERE a.status IS DISTINCT FROM b.status")
+
+
+@register("transition_check", O.with_ctes(
+    MANIFEST_CTES, _step_sql("claim", "_reg", "_claim") + " UNION ALL " + _step_sql("finish", "_claim", "_fin")))
+def transition_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: each status change of the claim and finish steps, checked against the allowed moves.
+
+    Restoring an empty source to its status before the claim is reported as not
+    allowed: the reference never commits such a claim, so its table has no move back.
+    """
+    _, _, _, registered, claimed_manifest, _ = _run_steps(spark, sf_dir)
+    _, outcomes = _run_outcome(spark, sf_dir)
+    finished = M.finish(claimed_manifest, outcomes, _now())
+    return (M.transitions(registered, claimed_manifest).withColumn("step", F.lit("claim"))
+            .unionByName(M.transitions(claimed_manifest, finished).withColumn("step", F.lit("finish"))))

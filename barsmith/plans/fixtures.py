@@ -183,3 +183,55 @@ minute_bars AS (
                count(*) OVER (PARTITION BY user_id, date_trunc('minute', ts)) AS n
         FROM events)
   GROUP BY user_id, m)"""
+
+
+# Fixed clock of the manifest fixture.
+MANIFEST_NOW = "2024-06-01 12:00:00"
+
+
+def page_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing of sources from ``pages``: identifier = url, fingerprint = ``length(html):page_id``.
+
+    Every eighth page (``page_id % 8 = 7``) has no fingerprint, as when a stat fails.
+    """
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    fp = F.concat(F.length("html").cast("string"), F.lit(":"), F.col("page_id").cast("string"))
+    return p.select(F.col("url").alias("source_identifier"),
+                    F.when(F.col("page_id") % 8 == 7, F.lit(None).cast("string")).otherwise(fp).alias("source_hash"),
+                    "page_id")
+
+
+def page_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest as an earlier run left it: one class of row per ``page_id % 8`` (FIXTURES §5)."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    cls = F.col("page_id") % 8
+    fp = F.concat(F.length("html").cast("string"), F.lit(":"), F.col("page_id").cast("string"))
+    old = F.concat(F.lit("old:"), F.col("page_id").cast("string"))
+    now = F.lit(MANIFEST_NOW).cast("timestamp_ntz")
+    return p.filter(cls != 0).select(
+        F.col("url").alias("source_identifier"),
+        F.when(cls.isin(2, 6), old).otherwise(fp).alias("source_hash"),
+        F.when(cls.isin(1, 2, 7), F.lit("completed")).when(cls == 3, F.lit("failed"))
+        .when(cls == 4, F.lit("pending")).otherwise(F.lit("processing")).alias("status"),
+        F.when(cls == 5, now - F.expr("INTERVAL 10 MINUTES")).when(cls == 6, F.lit(None))
+        .otherwise(now - F.expr("INTERVAL 1 DAY")).cast("timestamp_ntz").alias("processed_at"),
+        F.lit(None).cast("string").alias("reason"))
+
+
+MANIFEST_SQL = f"""
+_listing AS (
+  SELECT url AS source_identifier,
+         CASE WHEN page_id % 8 = 7 THEN NULL
+              ELSE CAST(length(html) AS VARCHAR) || ':' || CAST(page_id AS VARCHAR) END AS source_hash, page_id
+  FROM pages),
+_manifest AS (
+  SELECT url AS source_identifier,
+         CASE WHEN page_id % 8 IN (2, 6) THEN 'old:' || CAST(page_id AS VARCHAR)
+              ELSE CAST(length(html) AS VARCHAR) || ':' || CAST(page_id AS VARCHAR) END AS source_hash,
+         CASE WHEN page_id % 8 IN (1, 2, 7) THEN 'completed' WHEN page_id % 8 = 3 THEN 'failed'
+              WHEN page_id % 8 = 4 THEN 'pending' ELSE 'processing' END AS status,
+         CASE WHEN page_id % 8 = 5 THEN TIMESTAMP '{MANIFEST_NOW}' - INTERVAL 10 MINUTE
+              WHEN page_id % 8 = 6 THEN NULL
+              ELSE TIMESTAMP '{MANIFEST_NOW}' - INTERVAL 1 DAY END AS processed_at,
+         CAST(NULL AS VARCHAR) AS reason
+  FROM pages WHERE page_id % 8 <> 0)"""
