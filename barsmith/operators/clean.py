@@ -78,7 +78,7 @@ def _order_columns() -> list[str]:
             "volume", "amount", "circulation_market_value", "total_market_value"]
 
 
-def position(df: DataFrame, max_series_rows: int = DEFAULT_MAX_ROWS) -> Series:
+def position(df: DataFrame, max_series_rows: int = DEFAULT_MAX_ROWS, counts: DataFrame | None = None) -> Series:
     """F1 + W1: rows with date and code, numbered per series by date (``pos``)."""
     missing = F.lit(False)
     for c in K.REQUIRED_COLUMNS:
@@ -86,7 +86,7 @@ def position(df: DataFrame, max_series_rows: int = DEFAULT_MAX_ROWS) -> Series:
     kept = df.filter(F.col("trade_date").isNotNull() & F.col("code").isNotNull() & ~missing)
     ties = [F.col(c) for c in _order_columns()[1:]]
     kept = kept.withColumn("_okey", packed_order_key(F.col("trade_date"), ties))
-    kept, segmented = plan_segments(kept, K.SRC, "_okey", max_series_rows)
+    kept, segmented = plan_segments(kept, K.SRC, "_okey", max_series_rows, counts=counts)
     return Series(kept, K.SRC, _order_columns(), segmented).position("pos")
 
 
@@ -190,12 +190,17 @@ class CleanResult:
         return (kept.groupBy(K.SRC, "code", "trade_date").agg(F.count(F.lit(1)).alias("_n"))
                 .filter(F.col("_n") > 1).select(K.SRC).distinct())
 
-    def quarantine(self) -> DataFrame:
-        """One row per failed source: ``(src, reason)``."""
+    def quarantine(self, presence: DataFrame | None = None) -> DataFrame:
+        """One row per failed source: ``(src, reason)``.
+
+        ``presence`` (``src`` + presence flags, one row per source, e.g. from the
+        CSV headers) saves a pass over the rows to find sources missing a column.
+        """
         missing = F.lit(False)
         for c in K.REQUIRED_COLUMNS:
             missing = missing | ~_flag(c)
-        allq = (self.standard.filter(missing).select(K.SRC).distinct()
+        base = presence if presence is not None else self.standard
+        allq = (base.filter(missing).select(K.SRC).distinct()
                 .withColumn("reason", F.lit("missing_column"))
                 .unionByName(self.marked.filter(F.col("_reason").isNotNull())
                              .groupBy(K.SRC).agg(F.first("_reason").alias("reason"))))
@@ -216,9 +221,14 @@ class CleanResult:
 
 
 def clean_bars(df: DataFrame, *, max_series_rows: int = DEFAULT_MAX_ROWS,
-               quarantine_first_row_dropped: bool = True, standardized: bool = False) -> CleanResult:
-    """Run the whole cleaner over bars of any number of sources (column ``src``)."""
+               quarantine_first_row_dropped: bool = True, standardized: bool = False,
+               counts: DataFrame | None = None) -> CleanResult:
+    """Run the whole cleaner over bars of any number of sources (column ``src``).
+
+    ``counts`` (``src, _n``: upper bounds of rows per series, e.g. from file
+    sizes) replaces the counting pass that finds series to split.
+    """
     std = df if standardized else standardize(df)
-    s = position(std, max_series_rows)
+    s = position(std, max_series_rows, counts)
     s = save_checks(delist(derive(valid(s), quarantine_first_row_dropped)))
     return CleanResult(std, s.df, s.segmented)
