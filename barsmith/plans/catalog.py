@@ -7,6 +7,7 @@ statement where one exists.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,11 @@ from ..operators import manifest as M
 from ..operators.adapt import drop_helper, keep_standard, rename_headers
 from ..operators.clean import OUTPUT_COLUMNS, clean_bars, standardize
 from ..operators.upsert import append_rows, latest_per_key, merge, to_contract
+from ..session import checkpoint_dir
+from ..sources.csv import list_sources, scan
 from . import oracle_sql as O
 from .fixtures import (MANIFEST_NOW, MANIFEST_SQL, RAW_TEXT_EXPECTED_SQL, minute_bars, page_listing,
-                       page_manifest, raw_bars, raw_bars_cn, raw_bars_text)
+                       page_manifest, raw_bars, raw_bars_cn, raw_bars_text, write_quote_files)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -411,3 +414,38 @@ def transition_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     finished = M.finish(claimed_manifest, outcomes, _now())
     return (M.transitions(registered, claimed_manifest).withColumn("step", F.lit("claim"))
             .unionByName(M.transitions(claimed_manifest, finished).withColumn("step", F.lit("finish"))))
+
+
+# -- files on disk: listing, GBK scan, whole job (S1-S8, X5) --------------------
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/queries/{name}-{uuid.uuid4().hex}"
+
+
+@register("csv_roundtrip", O.with_clean(
+    "SELECT " + ", ".join(c for c in OUTPUT_COLUMNS if c != K.SRC) + " FROM clean_daily"))
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 + S2 + S3 + S8 + cleaner: bars written as GBK quote files, listed, scanned and cleaned.
+
+    Files carry a banner line and half of them the columns in reverse order; the
+    result must equal ``clean_daily`` (without the source column, which is now a path).
+    """
+    folder = _scratch(spark, "quotes")
+    write_quote_files(raw_bars(spark, sf_dir), folder)
+    listing = list_sources(spark, folder, recursive=True)
+    paths = [r[0] for r in listing.select("source_identifier").collect()]
+    found = scan(spark, paths)
+    counts = listing.select(F.col("source_identifier").alias(K.SRC),
+                            (F.col("file_size") / 32).cast("long").alias("_n"))
+    res = clean_bars(standardize(found.rows), standardized=True, counts=counts)
+    return res.clean().drop(K.SRC)
+
+
+@register("csv_listing")
+def csv_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 + S8 + S15: fingerprints of written quote files as manifest-ready rows (rows-only check)."""
+    folder = _scratch(spark, "listing")
+    write_quote_files(raw_bars(spark, sf_dir), folder)
+    return list_sources(spark, folder, recursive=True).select(
+        "source_identifier", "source_hash", F.lit(K.PENDING).alias("status"),
+        F.lit(None).cast("timestamp_ntz").alias("processed_at"))

@@ -235,3 +235,32 @@ _manifest AS (
               ELSE TIMESTAMP '{MANIFEST_NOW}' - INTERVAL 1 DAY END AS processed_at,
          CAST(NULL AS VARCHAR) AS reason
   FROM pages WHERE page_id % 8 <> 0)"""
+
+
+def write_quote_files(bars: DataFrame, folder: str, encoding: str = "GBK") -> None:
+    """Write bars as quote files: one GBK file per series, banner line, header line, data.
+
+    Odd-numbered series list their columns in reverse order, so a scan must map
+    every file by its own header. Rows are written as text in date order.
+    """
+    names = list(K.HEADER_MAP)
+    k = F.substring(F.col(K.SRC), 2, 20).cast("long")
+    flip = (k % 2) == 1
+    fwd = F.array(*[F.lit(n) for n in names])
+    rev = F.array(*[F.lit(n) for n in reversed(names)])
+    std = [K.HEADER_MAP[n] for n in names]
+    data_fwd = F.array(*[F.col(c).cast("string") for c in std])
+    data_rev = F.array(*[F.col(c).cast("string") for c in reversed(std)])
+    series = bars.select(K.SRC).distinct()
+    banner = series.select(K.SRC, F.lit(0).alias("_o"), F.lit(None).cast("date").alias("_d"),
+                           F.array(F.lit("数据来源: 测试")).alias("cells"))
+    header = series.select(K.SRC, F.lit(1).alias("_o"), F.lit(None).cast("date").alias("_d"),
+                           F.when(flip, rev).otherwise(fwd).alias("cells"))
+    body = bars.select(K.SRC, F.lit(2).alias("_o"), F.col("trade_date").alias("_d"),
+                       F.when(flip, data_rev).otherwise(data_fwd).alias("cells"))
+    lines = banner.unionByName(header).unionByName(body)
+    out = lines.select(K.SRC, "_o", "_d", *[F.get("cells", i).alias(f"c{i}") for i in range(len(names))])
+    (out.repartition(K.SRC).sortWithinPartitions(K.SRC, "_o", "_d").drop("_o", "_d")
+     .withColumnRenamed(K.SRC, "series")
+     .write.mode("overwrite").option("encoding", encoding).option("header", "false")
+     .partitionBy("series").csv(folder))
