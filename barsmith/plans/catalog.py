@@ -23,7 +23,9 @@ from ..operators.adapt import drop_helper, keep_standard, rename_headers
 from ..operators.clean import OUTPUT_COLUMNS, clean_bars, standardize
 from ..operators.upsert import append_rows, latest_per_key, merge, to_contract
 from ..session import checkpoint_dir
+from ..sources.base import ParquetBarsSource
 from ..sources.csv import list_sources, scan
+from ..sources.custom import ArrowParquetSource
 from . import oracle_sql as O
 from .fixtures import (MANIFEST_NOW, MANIFEST_SQL, RAW_TEXT_EXPECTED_SQL, minute_bars, page_listing,
                        page_manifest, raw_bars, raw_bars_cn, raw_bars_text, write_quote_files)
@@ -449,3 +451,55 @@ def csv_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return list_sources(spark, folder, recursive=True).select(
         "source_identifier", "source_hash", F.lit(K.PENDING).alias("status"),
         F.lit(None).cast("timestamp_ntz").alias("processed_at"))
+
+
+# -- sources: union, subset, custom connector (S4, S5, S9, O2, J2) --------------
+
+@register("union_sources", O.with_raw("", """
+SELECT src, trade_date, code, name, open, high, low, close, NULL::DOUBLE AS pre_close, volume, amount,
+       circulation_market_value, total_market_value
+FROM raw_bars WHERE CAST(substr(src, 2) AS BIGINT) % 2 = 0
+UNION ALL
+SELECT src, trade_date, code, name, open, high, low, close, pre_close, volume, NULL::DOUBLE AS amount,
+       circulation_market_value, total_market_value
+FROM raw_bars WHERE CAST(substr(src, 2) AS BIGINT) % 2 = 1"""))
+def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 + O2: frames with different column sets united by name; absent columns are NULL."""
+    bars = raw_bars(spark, sf_dir)
+    k = F.substring(F.col(K.SRC), 2, 20).cast("long")
+    even = bars.filter(k % 2 == 0).drop("pre_close")
+    odd = bars.filter(k % 2 == 1).drop("amount")
+    return even.unionByName(odd, allowMissingColumns=True).select(K.SRC, *K.STANDARD_COLUMNS)
+
+
+@register("source_subset", O.with_ctes(MANIFEST_SQL, """
+SELECT m.* FROM _manifest m
+WHERE m.source_identifier IN (SELECT source_identifier FROM _listing WHERE source_hash IS NOT NULL)"""))
+def source_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5 + J2: the manifest restricted to the listed sources that have a fingerprint (semi join)."""
+    listed = page_listing(spark, sf_dir).filter(F.col("source_hash").isNotNull())
+    return page_manifest(spark, sf_dir).join(listed.select("source_identifier"), "source_identifier", "left_semi")
+
+
+@register("custom_source", O.with_raw("", """
+SELECT src, count(*) AS bars, count(pre_close) AS with_pre_close, max(trade_date) AS last_date
+FROM raw_bars GROUP BY src"""))
+def custom_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars stored as Parquet, listed and read through the source contract, then summarised."""
+    folder = _scratch(spark, "parquet_bars")
+    raw_bars(spark, sf_dir).write.mode("overwrite").parquet(folder)
+    src = ParquetBarsSource(folder)
+    ids = [r[0] for r in src.listing(spark).select("source_identifier").collect()]
+    bars = C.coerce_types(src.read(spark, ids))
+    return bars.groupBy(K.SRC).agg(F.count(F.lit(1)).alias("bars"), F.count("pre_close").alias("with_pre_close"),
+                                   F.max("trade_date").alias("last_date"))
+
+
+@register("python_data_source", O.with_ctes("", """
+SELECT l_suppkey, count(*) AS lines, sum(l_quantity) AS quantity FROM lineitem GROUP BY l_suppkey"""))
+def python_data_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` read by the Python data source (pyarrow in the tasks), then aggregated by Spark."""
+    spark.dataSource.register(ArrowParquetSource)
+    li = (spark.read.format("bars_parquet").option("path", f"{sf_dir}/lineitem.parquet")
+          .option("columns", "l_suppkey,l_quantity").load())
+    return li.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("quantity"))

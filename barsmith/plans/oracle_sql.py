@@ -92,7 +92,7 @@ def with_clean(select: str) -> str:
 
 
 def with_ctes(ctes: str, select: str) -> str:
-    return f"WITH {ctes}\n{select}"
+    return f"WITH {ctes}\n{select}" if ctes.strip() else select
 
 
 def with_raw(ctes: str, select: str) -> str:
