@@ -24,6 +24,8 @@ from ..operators.clean import OUTPUT_COLUMNS, clean_bars, standardize
 from ..operators.upsert import append_rows, latest_per_key, merge, to_contract
 from ..session import checkpoint_dir
 from ..sources.base import ParquetBarsSource
+from ..streaming.ingest import start_ingest
+from .daily import read_daily, run_daily
 from ..sources.csv import list_sources, scan
 from ..sources.custom import ArrowParquetSource
 from . import oracle_sql as O
@@ -503,3 +505,45 @@ def python_data_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = (spark.read.format("bars_parquet").option("path", f"{sf_dir}/lineitem.parquet")
           .option("columns", "l_suppkey,l_quantity").load())
     return li.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("quantity"))
+
+
+# -- the whole job, batch and stream (X1-X5, S11, R1, R2) -----------------------
+
+_TABLE_SQL = O.with_clean(
+    f"SELECT {', '.join(_decimal_sql(f) for f in _CONTRACT_FIELDS)} FROM clean_daily")
+
+
+def _stored(spark: SparkSession, warehouse: str) -> DataFrame:
+    return read_daily(spark, warehouse).select(*[f.name for f in _CONTRACT_FIELDS])
+
+
+@register("daily_job", _TABLE_SQL)
+def daily_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X5 + S11 + S12: quote files → manifest → clean → upsert; the stored table (clocks left out)."""
+    folder, warehouse = _scratch(spark, "job-files"), _scratch(spark, "job-warehouse")
+    write_quote_files(raw_bars(spark, sf_dir), folder)
+    run_daily(spark, folder, warehouse, recursive=True)
+    return _stored(spark, warehouse)
+
+
+@register("daily_job_rerun", _TABLE_SQL)
+def daily_job_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2 + M10 + X5: a second run over unchanged files processes nothing and changes nothing."""
+    folder, warehouse = _scratch(spark, "rerun-files"), _scratch(spark, "rerun-warehouse")
+    write_quote_files(raw_bars(spark, sf_dir), folder)
+    run_daily(spark, folder, warehouse, recursive=True)
+    report = run_daily(spark, folder, warehouse, recursive=True)
+    if report.rows_upserted or report.decisions.get("process", 0) != report.outcomes.get("failed", 0):
+        raise AssertionError(f"rerun did work: {report}")
+    return _stored(spark, warehouse)
+
+
+@register("stream_ingest", _TABLE_SQL)
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 + R2: the same files ingested by an availableNow file stream, 25 files per micro-batch."""
+    folder, warehouse = _scratch(spark, "stream-files"), _scratch(spark, "stream-warehouse")
+    write_quote_files(raw_bars(spark, sf_dir), folder)
+    q = start_ingest(spark, folder, warehouse, stream_checkpoint=_scratch(spark, "stream-ckpt"),
+                     max_files_per_trigger=25, recursive=True)
+    q.awaitTermination()
+    return _stored(spark, warehouse)
