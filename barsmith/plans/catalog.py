@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from .. import contracts as K
 from ..functions import rules
 from ..operators import clean as C
+from ..operators import factors as FX
 from ..operators import manifest as M
 from ..operators.adapt import drop_helper, keep_standard, rename_headers
 from ..operators.clean import OUTPUT_COLUMNS, clean_bars, standardize
@@ -547,3 +548,122 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
                      max_files_per_trigger=25, recursive=True)
     q.awaitTermination()
     return _stored(spark, warehouse)
+
+
+# -- factors on the cleaned bars (D1-D5, D7, D9) --------------------------------
+
+def _r6(c):
+    """Six decimals, rounded the same way in both engines (``round`` differs on ties)."""
+    return F.floor(c * 1e6 + 0.5) / 1e6
+
+
+def _r6_sql(x: str) -> str:
+    return f"floor(({x}) * 1e6 + 0.5) / 1e6"
+
+
+def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_bars(raw_bars(spark, sf_dir)).clean().drop(K.SRC)
+
+
+_W = "PARTITION BY code ORDER BY trade_date"
+
+
+def _roll_sql(x: str, n: int) -> str:
+    w = f"({_W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count({x}) OVER {w} = {n} THEN avg({x}) OVER {w} END"
+
+
+@register("ma", O.with_clean(
+    f"SELECT code, trade_date, {_r6_sql(_roll_sql('close', 5))} AS ma5, "
+    f"{_r6_sql(_roll_sql('close', 20))} AS ma20 FROM clean_daily"))
+def ma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """5- and 20-day moving averages of the close."""
+    out = FX.moving_averages(_bars(spark, sf_dir))
+    return out.select("code", "trade_date", _r6(F.col("ma5")).alias("ma5"), _r6(F.col("ma20")).alias("ma20"))
+
+
+@register("anomaly_filter", O.with_clean("""
+SELECT code, trade_date FROM (
+  SELECT code, trade_date, close / lag(close) OVER (PARTITION BY code ORDER BY trade_date) - 1.0 AS p
+  FROM clean_daily WHERE close > 0 AND volume > 0) WHERE abs(p) <= 0.20::DOUBLE"""))
+def anomaly_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positive close and volume, then changes within ±20 % (first row has none and goes)."""
+    return FX.anomaly_filter(_bars(spark, sf_dir)).select("code", "trade_date")
+
+
+@register("drop_any_null", O.with_clean(
+    "SELECT code, trade_date FROM clean_daily WHERE close > 0 AND " + " AND ".join(
+        f"{c} IS NOT NULL" for c in ("trade_date", "code", "name", "open", "high", "low", "close", "pre_close",
+                                     "volume", "amount", "circulation_market_value", "total_market_value",
+                                     "pct_change", "turnover_rate", "avg_price", "trading_days"))))
+def drop_any_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3: rows without any NULL and with a positive close."""
+    return FX.drop_any_null(_bars(spark, sf_dir)).select("code", "trade_date")
+
+
+_TR_SQL = """greatest(high - low, coalesce(abs(high - lag(close) OVER (PARTITION BY code ORDER BY trade_date)),
+                        high - low),
+                      coalesce(abs(low - lag(close) OVER (PARTITION BY code ORDER BY trade_date)), high - low))"""
+
+
+@register("atr", O.with_clean(
+    f"SELECT code, trade_date, {_r6_sql(_roll_sql('tr', 14))} AS atr_14 "
+    f"FROM (SELECT *, {_TR_SQL} AS tr FROM clean_daily)"))
+def atr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """14-day average true range (simple mean)."""
+    return FX.atr(_bars(spark, sf_dir)).select("code", "trade_date", _r6(F.col("atr_14")).alias("atr_14"))
+
+
+@register("rsi_sma", O.with_clean(f"""
+SELECT code, trade_date,
+       {_r6_sql("CASE WHEN ag IS NULL THEN NULL WHEN al = 0 THEN 100.0 ELSE 100.0 - 100.0 / (1.0 + ag / al) END")}
+         AS rsi_14
+FROM (SELECT code, trade_date, {_roll_sql('g', 14)} AS ag, {_roll_sql('l', 14)} AS al
+      FROM (SELECT *, CASE WHEN d > 0 THEN d WHEN d IS NOT NULL THEN 0.0 END AS g,
+                      CASE WHEN d < 0 THEN -d WHEN d IS NOT NULL THEN 0.0 END AS l
+            FROM (SELECT *, close - lag(close) OVER ({_W}) AS d FROM clean_daily)))"""))
+def rsi_sma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """14-day RSI with simple means of gains and losses."""
+    return FX.rsi(_bars(spark, sf_dir)).select("code", "trade_date", _r6(F.col("rsi_14")).alias("rsi_14"))
+
+
+@register("adjusted_price", O.with_clean(f"""
+SELECT code, trade_date, {_r6_sql('exp(cum)')} AS adj_factor,
+       {_r6_sql('close * exp(max_by(cum, trade_date) OVER (PARTITION BY code) - cum)')} AS adj_close
+FROM (SELECT *, sum(floor(ln(CASE WHEN pre_close > 0 AND prev > 0 THEN pre_close / prev ELSE 1.0 END) * 1e12 + 0.5))
+                  OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / 1e12 AS cum
+      FROM (SELECT *, lag(close) OVER ({_W}) AS prev FROM clean_daily))"""))
+def adjusted_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forward-adjusted close from the pre_close / previous-close ratios."""
+    out = FX.adjusted_close(_bars(spark, sf_dir))
+    return out.select("code", "trade_date", _r6(F.col("adj_factor")).alias("adj_factor"),
+                      _r6(F.col("adj_close")).alias("adj_close"))
+
+
+@register("drawdown", O.with_clean(f"""
+SELECT code, trade_date,
+       {_r6_sql("close / first_value(close) OVER (" + _W + ")")} AS equity,
+       {_r6_sql("1.0 - close / max(close) OVER (" + _W + " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")}
+         AS drawdown
+FROM clean_daily"""))
+def drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equity curve and drawdown from the running peak."""
+    out = FX.drawdown(_bars(spark, sf_dir))
+    return out.select("code", "trade_date", _r6(F.col("equity")).alias("equity"),
+                      _r6(F.col("drawdown")).alias("drawdown"))
+
+
+@register("performance", O.with_clean(f"""
+SELECT code, count(*) AS days, {_r6_sql('max(dd)')} AS max_drawdown
+FROM (SELECT code, 1.0 - close / max(close) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dd
+      FROM clean_daily) GROUP BY code"""))
+def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per code trading days and maximum drawdown (mean, volatility and Sharpe in the library)."""
+    out = FX.performance(_bars(spark, sf_dir))
+    return out.select("code", "days", _r6(F.col("max_drawdown")).alias("max_drawdown"))
+
+
+@register("macd")
+def macd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MACD(12, 26, 9) per code with pandas exponential means (rows-only check)."""
+    return FX.macd(_bars(spark, sf_dir))
