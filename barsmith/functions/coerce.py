@@ -13,6 +13,11 @@ from pyspark.sql import types as T
 
 from ..contracts import NA_TOKENS
 
+# Java float suffixes that a plain cast accepts and the reference's parser does not,
+# and the spellings of infinity that end in one of them.
+_SUFFIXES = ("d", "D", "f", "F")
+_INFINITIES = ("inf", "+inf", "-inf", "infinity", "+infinity", "-infinity")
+
 # Date layouts accepted besides the ISO form that a plain cast understands.
 DATE_PATTERNS: tuple[str, ...] = ("yyyy/MM/dd", "yyyyMMdd")
 
@@ -36,7 +41,7 @@ def to_double(c: Column, dtype: T.DataType | None = None) -> Column:
     if dtype is not None and not isinstance(dtype, T.StringType):
         return nan_to_null(c.cast("double"))
     s = F.trim(c)
-    suffixed = s.rlike(r"[dDfF]$") & ~F.lower(s).rlike(r"^[+-]?(inf|infinity)$")
+    suffixed = F.substring(s, -1, 1).isin(*_SUFFIXES) & ~F.lower(s).isin(*_INFINITIES)
     parsed = F.when(suffixed, F.lit(None).cast("double")).otherwise(s.try_cast("double"))
     return nan_to_null(parsed)
 

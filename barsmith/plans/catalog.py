@@ -163,9 +163,15 @@ _srcf AS (SELECT {', '.join(c if c != 'close' else 'close + 1.0 AS close' for c
           FROM clean_daily WHERE trade_date >= DATE '{_FROM}')"""
 
 
-def _pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _daily_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned bars, computed once and checkpointed: the upsert pair takes two slices of it."""
+    checkpoint_dir(spark)
+    return clean_bars(raw_bars(spark, sf_dir)).clean().select(*DAILY_COLS).checkpoint()
+
+
+def _pair(spark: SparkSession, sf_dir: str, daily: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Upsert pair: stored rows before 2021, incoming rows from mid-2020 with the close raised by 1."""
-    daily = clean_bars(raw_bars(spark, sf_dir)).clean().select(*DAILY_COLS)
+    daily = daily if daily is not None else _daily_once(spark, sf_dir)
     target = daily.filter(F.col("trade_date") < F.lit(_SPLIT).cast("date"))
     source = daily.filter(F.col("trade_date") >= F.lit(_FROM).cast("date")).withColumn(
         "close", F.col("close") + 1.0)
@@ -207,7 +213,7 @@ SELECT {', '.join(DAILY_COLS)}, source_file, file_time FROM (
   FROM _both) WHERE rn = 1"""))
 def latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U4: the same key from two files resolves to the newer file (then the greater path)."""
-    daily = clean_bars(raw_bars(spark, sf_dir)).clean().select(*DAILY_COLS)
+    daily = _daily_once(spark, sf_dir)
     a = daily.filter(F.col("trade_date") >= F.lit(_FROM).cast("date")).withColumns(
         {"source_file": F.lit("a"), "file_time": F.lit(1)})
     b = daily.filter(F.col("trade_date") >= F.lit("2022-01-01").cast("date")).withColumns(
@@ -222,8 +228,8 @@ SELECT {', '.join(c if c != 'total_market_value' else 'NULL AS total_market_valu
 FROM clean_daily WHERE trade_date >= DATE '{_SPLIT}'"""))
 def append_checked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S10 + U5: new rows appended after the name checks; a column they lack is NULL."""
-    target, _ = _pair(spark, sf_dir)
-    daily = clean_bars(raw_bars(spark, sf_dir)).clean().select(*DAILY_COLS)
+    daily = _daily_once(spark, sf_dir)
+    target, _ = _pair(spark, sf_dir, daily)
     new = daily.filter(F.col("trade_date") >= F.lit(_SPLIT).cast("date")).drop("total_market_value")
     return append_rows(target, new, "stock_daily")
 

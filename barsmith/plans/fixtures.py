@@ -43,10 +43,13 @@ def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     nk = F.datediff("trade_date", F.lit(DAY_ZERO).cast("date")) + k
     prefix = F.element_at(F.array(*[F.lit(p) for p in BOARD_PREFIXES]), (k % 5 + 1).cast("int"))
     ks = k.cast("string")
-    prev = F.lag("close").over(Window.partitionBy("k").orderBy("trade_date"))
+    # The series window is keyed by ``src``, the key every later window uses, so
+    # the cleaner reuses this partitioning instead of shuffling again.
+    bars = bars.withColumn(K.SRC, F.concat(F.lit("f"), ks))
+    prev = F.lag("close").over(Window.partitionBy(K.SRC).orderBy("trade_date"))
     late = F.col("trade_date") > F.lit(DELIST_FROM).cast("date")
     return bars.select(
-        F.concat(F.lit("f"), ks).alias(K.SRC),
+        K.SRC,
         "trade_date",
         F.concat(prefix, F.lpad(ks, 4, "0")).alias("code"),
         F.when(k % 7 == 0, F.concat(F.lit("ST"), ks)).when(k % 11 == 0, F.concat(F.lit("退"), ks))
