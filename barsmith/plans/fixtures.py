@@ -254,15 +254,20 @@ def write_quote_files(bars: DataFrame, folder: str, encoding: str = "GBK") -> No
     std = [K.HEADER_MAP[n] for n in names]
     data_fwd = F.array(*[F.col(c).cast("string") for c in std])
     data_rev = F.array(*[F.col(c).cast("string") for c in reversed(std)])
-    series = bars.select(K.SRC).distinct()
-    banner = series.select(K.SRC, F.lit(0).alias("_o"), F.lit(None).cast("date").alias("_d"),
-                           F.array(F.lit("数据来源: 测试")).alias("cells"))
-    header = series.select(K.SRC, F.lit(1).alias("_o"), F.lit(None).cast("date").alias("_d"),
-                           F.when(flip, rev).otherwise(fwd).alias("cells"))
-    body = bars.select(K.SRC, F.lit(2).alias("_o"), F.col("trade_date").alias("_d"),
-                       F.when(flip, data_rev).otherwise(data_fwd).alias("cells"))
-    lines = banner.unionByName(header).unionByName(body)
-    out = lines.select(K.SRC, "_o", "_d", *[F.get("cells", i).alias(f"c{i}") for i in range(len(names))])
+    # Every line of a series comes from that series' own rows (its first row also
+    # yields the banner and the header), so one frame holds all lines and a single
+    # repartition by series puts each file's lines in one task, in order.
+    first = F.col("_first")
+    banner = F.array(F.lit("数据来源: 测试"))
+    header = F.when(flip, rev).otherwise(fwd)
+    data = F.when(flip, data_rev).otherwise(data_fwd)
+    line = lambda o, cells: F.struct(F.lit(o).alias("_o"), cells.alias("cells"))
+    lines = F.when(first, F.array(line(0, banner), line(1, header), line(2, data))).otherwise(
+        F.array(line(2, data)))
+    flagged = bars.withColumn("_first", F.row_number().over(Window.partitionBy(K.SRC).orderBy("trade_date")) == 1)
+    exploded = flagged.select(K.SRC, F.col("trade_date").alias("_d"), F.explode(lines).alias("_l")).select(
+        K.SRC, F.col("_l._o").alias("_o"), "_d", F.col("_l.cells").alias("cells"))
+    out = exploded.select(K.SRC, "_o", "_d", *[F.get("cells", i).alias(f"c{i}") for i in range(len(names))])
     (out.repartition(K.SRC).sortWithinPartitions(K.SRC, "_o", "_d").drop("_o", "_d")
      .withColumnRenamed(K.SRC, "series")
      .write.mode("overwrite").option("encoding", encoding).option("header", "false")
