@@ -80,3 +80,9 @@ def test_table_append_checks_columns(spark, tmp_path):
     assert tbl.read().count() == 1
     with pytest.raises(ValueError):
         tbl.append(spark.createDataFrame([("a", D1, 1)], "code string, trade_date date, bogus int"))
+
+
+def test_table_upsert_refuses_duplicate_keys(spark, tmp_path):
+    tbl = ParquetTable.daily(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="duplicate"):
+        tbl.upsert(frame(spark, [("a", D1, 1.0, "A"), ("a", D1, 2.0, "B")]))
