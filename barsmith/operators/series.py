@@ -157,9 +157,15 @@ def plan_segments(df: DataFrame, key: str, order_key: str, max_rows: int = DEFAU
     grid = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
     bounds = (df.join(F.broadcast(hot.select(key)), key, "left_semi")
               .groupBy(key).agg(F.percentile_approx(order_key, grid, 10_000).alias("_b")))
+    # A value that fills several quantile cuts (e.g. one row copied millions of
+    # times) spreads over the segments between its equal cuts: they hold nothing
+    # else, so order stays contiguous, and rows that share the whole order key are
+    # interchangeable (identical up to a hash collision), so any split of them is fine.
+    below = F.size(F.filter("_b", lambda b: b < F.col(order_key)))
+    equal = F.size(F.filter("_b", lambda b: b == F.col(order_key)))
+    spread = F.when(equal > 1, F.pmod(F.monotonically_increasing_id(), equal)).otherwise(F.lit(0))
     out = (df.join(F.broadcast(bounds), key, "left")
-           .withColumn(seg, F.when(F.col("_b").isNull(), F.lit(0))
-                       .otherwise(F.size(F.filter("_b", lambda b: b < F.col(order_key)))))
+           .withColumn(seg, F.when(F.col("_b").isNull(), F.lit(0)).otherwise(below + spread))
            .drop("_b"))
     checkpoint_dir(df.sparkSession)
     return out.repartition(key, seg).checkpoint(eager=True), True

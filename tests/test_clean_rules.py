@@ -162,3 +162,22 @@ def test_split_series_match_whole(spark):
     a = clean_bars(rb).clean()
     b = clean_bars(rb, max_series_rows=10).clean()
     assert a.count() == b.count() and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_copies_are_spread_and_still_exact(spark):
+    from pyspark.sql import functions as F
+
+    from barsmith.operators import clean as C
+    from barsmith.operators.clean import standardize
+    rows = [{}] + [{"close": 10.1, "pre_close": 10.0}] * 60 + [{"close": 10.2, "pre_close": 10.1}]
+    df = bars(spark, rows)
+    df = df.withColumn("trade_date", F.when(F.col("close") == 10.1, F.lit(dt.date(2021, 1, 5)))
+                       .otherwise(F.col("trade_date")))
+    a, qa = run(df)
+    b, qb = run(df, max_series_rows=8)
+    assert qa == qb == {"s1": "duplicate_key"} and a == b == []
+    s = C.position(standardize(df), 8)
+    segs = s.df.filter(F.col("close") == 10.1).select("_seg").distinct().count()
+    assert s.segmented and segs > 1
+    pos = sorted(r["pos"] for r in s.df.collect())
+    assert pos == list(range(1, 63))
