@@ -30,8 +30,8 @@ def can_transition(from_status: Column, to_status: Column) -> Column:
     """M1: whether a status change is allowed (NULL ``from_status`` = no row yet)."""
     out = F.lit(False)
     for src, targets in K.TRANSITIONS.items():
-        cond = from_status.isNull() if src is None else (from_status == F.lit(src))
-        out = out | (cond & to_status.isin(*sorted(targets)))
+        cond = from_status.isNull() if src is None else from_status.eqNullSafe(F.lit(src))
+        out = out | (cond & F.coalesce(to_status.isin(*sorted(targets)), F.lit(False)))
     return out
 
 
