@@ -28,6 +28,7 @@ become per-source quarantine reasons instead of errors; see ``REASONS``.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,6 +52,15 @@ _DECIMALS: dict[str, T.DecimalType] = {f.name: f.dataType for f in K.DAILY_SCHEM
                                        if isinstance(f.dataType, T.DecimalType)}
 
 
+def _overflow_bound(dt: T.DecimalType) -> float:
+    """Smallest magnitude whose half-up rounding to ``dt``'s scale no longer fits its precision.
+
+    Comparing doubles with it gives the same verdict as a decimal cast, without
+    building a decimal per cell.
+    """
+    return float(Decimal(10) ** (dt.precision - dt.scale) - Decimal("0.5") * Decimal(10) ** (-dt.scale))
+
+
 def _flag(c: str) -> Column:
     return F.col(K.presence_flag(c))
 
@@ -84,8 +94,7 @@ def position(df: DataFrame, max_series_rows: int = DEFAULT_MAX_ROWS, counts: Dat
     for c in K.REQUIRED_COLUMNS:
         missing = missing | ~_flag(c)
     kept = df.filter(F.col("trade_date").isNotNull() & F.col("code").isNotNull() & ~missing)
-    ties = [F.col(c) for c in _order_columns()[1:]]
-    kept = kept.withColumn("_okey", packed_order_key(F.col("trade_date"), ties))
+    kept = kept.withColumn("_okey", packed_order_key(F.col("trade_date"), [F.col("code")]))
     kept, segmented = plan_segments(kept, K.SRC, "_okey", max_series_rows, counts=counts)
     return Series(kept, K.SRC, _order_columns(), segmented).position("pos")
 
@@ -151,17 +160,17 @@ def delist(s: Series) -> Series:
 def save_checks(s: Series) -> Series:
     """Per-source reasons the stored table would reject.
 
-    Duplicate keys are counted by a window over ``(src, seg, code, trade_date)``,
-    which the existing ``(src, seg)`` partitioning already satisfies: no new
-    exchange. Equal keys share a date, so they can straddle two segments only in
-    a split series; :class:`CleanResult` checks that case separately.
+    Duplicate keys are counted by a window over ``(src, seg, _okey, code)``: the
+    order key packs the date with a hash of the code, so this groups exactly the
+    rows of one code and date, and it is a prefix of the order every other window
+    sorts by — no new exchange and no new sort. Equal keys can straddle two
+    segments only in a split series; :class:`CleanResult` checks that case separately.
     """
     k = F.col("keep") & F.col("_reason").isNull()
     overflow = F.lit(False)
     for c, dt in _DECIMALS.items():
-        cc = F.col(c)
-        overflow = overflow | (cc.isNotNull() & cc.try_cast(dt).isNull())
-    same_key = Window.partitionBy(s.key, s.seg, "code", "trade_date")
+        overflow = overflow | F.coalesce(F.abs(F.col(c)) >= F.lit(_overflow_bound(dt)), F.lit(False))
+    same_key = Window.partitionBy(s.key, s.seg, "_okey", "code")
     df = s.df.withColumn("_dup", k & (F.sum(F.when(k, 1).otherwise(0)).over(same_key) > 1))
     s = s.with_df(df).aggregate(
         _dupkey=("max", F.col("_dup")),

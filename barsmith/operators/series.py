@@ -38,9 +38,9 @@ MAX_BOUNDARY_BYTES = 64 * 1024 * 1024
 def packed_order_key(day: Column, tie_columns: list[Column]) -> Column:
     """``days_since_epoch << 22 | hash(ties) mod 2^22``: one sortable long per row.
 
-    Equal dates are ordered by a hash of the remaining columns (then by the
-    columns themselves), which is deterministic and lets a percentile split a
-    single busy date across segments.
+    Equal dates are ordered by a hash of the tie columns (then by the columns
+    themselves), which is deterministic and lets a percentile split a single
+    busy date across segments.
     """
     days = F.datediff(day, F.lit("1970-01-01").cast("date")).cast("long")
     tie = F.pmod(F.xxhash64(*tie_columns), F.lit(1 << TIE_BITS))
