@@ -28,7 +28,8 @@ def na_to_null(c: Column) -> Column:
 
 
 def nan_to_null(c: Column) -> Column:
-    return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
+    # nanvl names its input once; a CASE would repeat the whole parse expression.
+    return F.nanvl(c, F.lit(None).cast("double"))
 
 
 def to_double(c: Column, dtype: T.DataType | None = None) -> Column:
