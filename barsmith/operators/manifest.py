@@ -109,9 +109,12 @@ def claim(manifest: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFra
     """M6: claim every source to process; returns ``(manifest, claimed)``.
 
     A claim is refused for an empty fingerprint or a row already ``processing``
-    (force does not override that). A claimed row gets ``processing`` and the
-    new fingerprint; its earlier status and fingerprint are kept in ``claimed``
-    so that M9 can restore them for sources that turn out empty.
+    (force does not override that). A claimed row gets ``processing``, the new
+    fingerprint and no finish time; its earlier status, fingerprint and finish
+    time are kept in ``claimed`` so that M9 can restore them for sources that turn
+    out empty. Claims are written before the data is read, so a run that dies
+    leaves ``processing`` rows without a finish time, which the next run's stale
+    reset (M8) returns to ``pending`` at once.
     """
     prior = manifest.select(F.col(ID), F.col("status").alias("prior_status"),
                             F.col(HASH).alias("prior_hash"), F.col("processed_at").alias("prior_processed_at"))
@@ -119,7 +122,8 @@ def claim(manifest: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFra
     claimed = (todo.join(prior, ID, "left")
                .filter(F.col("prior_status").isNull() | (F.col("prior_status") != F.lit(K.PROCESSING))))
     updated = merge(manifest.select(*MANIFEST_COLUMNS),
-                    claimed.select(ID, HASH, F.lit(K.PROCESSING).alias("status")), [ID], audit=False)
+                    claimed.select(ID, HASH, F.lit(K.PROCESSING).alias("status"),
+                                   F.lit(None).cast("timestamp_ntz").alias("processed_at")), [ID], audit=False)
     return updated.select(*MANIFEST_COLUMNS), claimed
 
 

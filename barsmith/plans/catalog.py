@@ -302,7 +302,7 @@ _claimed AS (
 _claim AS (
   SELECT r.source_identifier, coalesce(c.source_hash, r.source_hash) AS source_hash,
          CASE WHEN c.source_identifier IS NOT NULL THEN 'processing' ELSE r.status END AS status,
-         r.processed_at, r.reason
+         CASE WHEN c.source_identifier IS NOT NULL THEN NULL ELSE r.processed_at END AS processed_at, r.reason
   FROM _reg r LEFT JOIN _claimed c ON r.source_identifier = c.source_identifier
   UNION ALL
   SELECT source_identifier, source_hash, 'processing', NULL, NULL FROM _claimed WHERE prior_status IS NULL),
