@@ -19,7 +19,7 @@ Without hot series nothing is joined: the plan is one exchange on ``(src, seg)``
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,7 +56,6 @@ class Series:
     order: list[str]
     segmented: bool = False
     seg: str = "_seg"
-    _tmp: list[str] = field(default_factory=list)
 
     # -- layout ---------------------------------------------------------------
     def local_window(self) -> Window:
@@ -66,7 +65,7 @@ class Series:
         return Window.partitionBy(self.key, self.seg)
 
     def with_df(self, df: DataFrame) -> Series:
-        return Series(df, self.key, self.order, self.segmented, self.seg, self._tmp)
+        return Series(df, self.key, self.order, self.segmented, self.seg)
 
     # -- operators ------------------------------------------------------------
     def position(self, name: str) -> Series:
