@@ -669,7 +669,42 @@ def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("code", "days", _r6(F.col("max_drawdown")).alias("max_drawdown"))
 
 
-@register("macd")
+def _ewm_sql(span: int) -> tuple[str, str]:
+    """``alpha`` and the next value of pandas' ``ewm(span, adjust=False).mean()`` as SQL."""
+    alpha = f"(1.0 / (1.0 + ({span} - 1) / 2.0))"
+    return alpha, f"(1.0 - {alpha})"
+
+
+def _macd_sql() -> str:
+    a12, b12 = _ewm_sql(12)
+    a26, b26 = _ewm_sql(26)
+    a9, b9 = _ewm_sql(9)
+
+    def step(prev: str, x: str, a: str, b: str) -> str:
+        return f"CASE WHEN {prev} = {x} THEN {prev} ELSE ({b} * {prev} + {a} * {x}) / ({b} + {a}) END"
+
+    return "WITH RECURSIVE " + O.RAW_BARS_SQL + "," + O.CLEAN_CTES + f""",
+_s AS (SELECT code, trade_date, close, row_number() OVER (PARTITION BY code ORDER BY trade_date) AS rn
+       FROM clean_daily),
+_e AS (
+  SELECT code, rn, trade_date, close, close AS e12, close AS e26 FROM _s WHERE rn = 1
+  UNION ALL
+  SELECT s.code, s.rn, s.trade_date, s.close, {step('e.e12', 's.close', a12, b12)},
+         {step('e.e26', 's.close', a26, b26)}
+  FROM _e e JOIN _s s ON s.code = e.code AND s.rn = e.rn + 1),
+_g AS (
+  SELECT code, rn, trade_date, close, e12 - e26 AS macd, e12 - e26 AS sig FROM _e WHERE rn = 1
+  UNION ALL
+  SELECT m.code, m.rn, m.trade_date, m.close, m.e12 - m.e26, {step('g.sig', '(m.e12 - m.e26)', a9, b9)}
+  FROM _g g JOIN _e m ON m.code = g.code AND m.rn = g.rn + 1)
+SELECT code, trade_date, {_r6_sql('close')} AS close, {_r6_sql('macd')} AS macd,
+       {_r6_sql('sig')} AS macd_signal, {_r6_sql('macd - sig')} AS macd_hist
+FROM _g"""
+
+
+@register("macd", _macd_sql())
 def macd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MACD(12, 26, 9) per code with pandas exponential means (rows-only check)."""
-    return FX.macd(_bars(spark, sf_dir))
+    """MACD(12, 26, 9) per code with pandas exponential means; SQL restates the recursion."""
+    out = FX.macd(_bars(spark, sf_dir))
+    return out.select("code", "trade_date", *[_r6(F.col(c)).alias(c)
+                                              for c in ("close", "macd", "macd_signal", "macd_hist")])
