@@ -452,14 +452,26 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return res.clean().drop(K.SRC)
 
 
-@register("csv_listing")
+@register("csv_listing", """
+SELECT DISTINCT 'f' || CAST(l_suppkey AS VARCHAR) AS series, true AS sized, true AS fingerprint_ok,
+       'pending' AS status
+FROM lineitem""")
 def csv_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S1 + S8 + S15: fingerprints of written quote files as manifest-ready rows (rows-only check)."""
+    """S1 + S8 + S15: written quote files listed as manifest-ready rows, one per series.
+
+    The fingerprint holds the write time, so the check is on its form
+    (``size:mtime_ns`` with the size equal to the file's) and on which files appear.
+    """
     folder = _scratch(spark, "listing")
     write_quote_files(raw_bars(spark, sf_dir), folder)
-    return list_sources(spark, folder, recursive=True).select(
-        "source_identifier", "source_hash", F.lit(K.PENDING).alias("status"),
-        F.lit(None).cast("timestamp_ntz").alias("processed_at"))
+    listed = list_sources(spark, folder, recursive=True)
+    size, ns = F.split("source_hash", ":")[0], F.split("source_hash", ":")[1]
+    return listed.select(
+        F.regexp_extract("source_identifier", r"series=([^/]+)/", 1).alias("series"),
+        (F.col("file_size") > 0).alias("sized"),
+        (F.col("source_hash").rlike(r"^[0-9]+:[0-9]+$") & (size == F.col("file_size").cast("string"))
+         & (ns.cast("long") > 0)).alias("fingerprint_ok"),
+        F.lit(K.PENDING).alias("status"))
 
 
 # -- sources: union, subset, custom connector (S4, S5, S9, O2, J2) --------------
