@@ -547,7 +547,8 @@ def daily_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("daily_job_rerun", _TABLE_SQL)
 def daily_job_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M2 + M10 + X5: a second run over unchanged files processes nothing and changes nothing."""
+    """M2 + M10 + X5: a second run over unchanged files skips the completed ones, retries only
+    the failed ones (they fail again) and changes no stored row."""
     folder, warehouse = _scratch(spark, "rerun-files"), _scratch(spark, "rerun-warehouse")
     write_quote_files(raw_bars(spark, sf_dir), folder)
     run_daily(spark, folder, warehouse, recursive=True)

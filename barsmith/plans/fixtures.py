@@ -3,8 +3,10 @@
 The test tables hold no quotes, so ``raw_bars`` derives daily bars from
 ``lineitem``: one series per supplier, one bar per (supplier, ship date). This
 module only shapes rows into the bar schema the jobs expect; it does none of the
-cleaning, upserting or bookkeeping work itself. Each builder has an equal DuckDB
-CTE so that oracle queries start from identical input.
+cleaning, upserting or bookkeeping work itself. The builders that oracle queries
+start from (``raw_bars``, ``minute_bars``, the page listing and manifest) have an
+equal DuckDB CTE; for the text and header-renamed variants the oracle states the
+expected result directly.
 
 Amounts are rounded to cents as ``floor(x * 100 + 0.5) / 100`` because the two
 engines' ``round`` disagree on decimal ties. Series here are bounded by the number of distinct ship dates (about 2,500), and
