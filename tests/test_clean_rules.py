@@ -181,3 +181,16 @@ def test_copies_are_spread_and_still_exact(spark):
     assert s.segmented and segs > 1
     pos = sorted(r["pos"] for r in s.df.collect())
     assert pos == list(range(1, 63))
+
+
+def test_lag_carries_over_empty_segments(spark):
+    rows = [{"pre_close": None, "close": 10.0 + 0.01 * i} for i in range(40)]
+    for i in range(10, 26):
+        rows[i]["volume"] = None  # a run of invalid rows spanning whole segments
+    df = bars(spark, rows)
+    a, qa = run(df)
+    b, qb = run(df, max_series_rows=6)
+    assert qa == qb == {}
+    assert [(r["trading_days"], r["pct_change"]) for r in a] == [(r["trading_days"], r["pct_change"]) for r in b]
+    after_gap = [r for r in a if r["trading_days"] == 27][0]
+    assert after_gap["pct_change"] == pytest.approx((10.0 + 0.26) / (10.0 + 0.09) - 1)
