@@ -54,11 +54,14 @@ class ParquetBarsSource:
     series_column: str = K.SRC
 
     def listing(self, spark: SparkSession) -> DataFrame:
-        df = spark.read.parquet(self.path)
-        files = F.col("_metadata.file_size")
-        return (df.groupBy(F.col(self.series_column).alias("source_identifier"))
-                .agg(F.count(F.lit(1)).alias("_n"), F.max("_metadata.file_modification_time").alias("modification_time"),
-                     F.sum(files).alias("file_size"))
+        """One row per series: rows and latest file time as the fingerprint, bytes of its files."""
+        df = spark.read.parquet(self.path).select(
+            F.col(self.series_column).alias("source_identifier"), F.col("_metadata.file_path").alias("_f"),
+            F.col("_metadata.file_size").alias("_s"), F.col("_metadata.file_modification_time").alias("_t"))
+        per_file = df.groupBy("source_identifier", "_f").agg(
+            F.count(F.lit(1)).alias("_n"), F.max("_s").alias("_s"), F.max("_t").alias("_t"))
+        return (per_file.groupBy("source_identifier")
+                .agg(F.sum("_n").alias("_n"), F.max("_t").alias("modification_time"), F.sum("_s").alias("file_size"))
                 .select("source_identifier",
                         F.concat_ws(":", F.col("_n").cast("string"),
                                     F.unix_micros("modification_time").cast("string")).alias("source_hash"),
