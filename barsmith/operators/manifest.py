@@ -105,7 +105,7 @@ def register_new(manifest: DataFrame, decisions: DataFrame) -> DataFrame:
                  [ID], audit=False).select(*MANIFEST_COLUMNS)
 
 
-def claim(manifest: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+def claim(manifest: DataFrame, decisions: DataFrame, max_files: int | None = None) -> tuple[DataFrame, DataFrame]:
     """M6: claim every source to process; returns ``(manifest, claimed)``.
 
     A claim is refused for an empty fingerprint or a row already ``processing``
@@ -114,13 +114,17 @@ def claim(manifest: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFra
     time are kept in ``claimed`` so that M9 can restore them for sources that turn
     out empty. Claims are written before the data is read, so a run that dies
     leaves ``processing`` rows without a finish time, which the next run's stale
-    reset (M8) returns to ``pending`` at once.
+    reset (M8) returns to ``pending`` at once. ``max_files`` bounds one run's
+    intake (R2 for batch runs): the first files by identifier are claimed, the
+    rest stay as they are for the next run.
     """
     prior = manifest.select(F.col(ID), F.col("status").alias("prior_status"),
                             F.col(HASH).alias("prior_hash"), F.col("processed_at").alias("prior_processed_at"))
     todo = decisions.filter((F.col("action") == F.lit("process")) & ~_blank(F.col(HASH))).select(ID, HASH)
     claimed = (todo.join(prior, ID, "left")
                .filter(F.col("prior_status").isNull() | (F.col("prior_status") != F.lit(K.PROCESSING))))
+    if max_files is not None:
+        claimed = claimed.orderBy(ID).limit(max_files)
     updated = merge(manifest.select(*MANIFEST_COLUMNS),
                     claimed.select(ID, HASH, F.lit(K.PROCESSING).alias("status"),
                                    F.lit(None).cast("timestamp_ntz").alias("processed_at")), [ID], audit=False)
