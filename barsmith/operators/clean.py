@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from .. import contracts as K
 from ..functions import coerce, rules
 from .adapt import to_standard_frame
-from .series import DEFAULT_MAX_ROWS, Series, packed_order_key, plan_segments
+from .series import DEFAULT_MAX_ROWS, Series, packed_order_key, plan_segments, split_hot
 
 # Quarantine reasons, in priority order (the first that applies is reported).
 REASONS: tuple[str, ...] = (
@@ -88,14 +88,18 @@ def _order_columns() -> list[str]:
             "volume", "amount", "circulation_market_value", "total_market_value"]
 
 
-def position(df: DataFrame, max_series_rows: int = DEFAULT_MAX_ROWS, counts: DataFrame | None = None) -> Series:
-    """F1 + W1: rows with date and code, numbered per series by date (``pos``)."""
+def _identified(df: DataFrame) -> DataFrame:
+    """rows with date and code (of sources carrying every required column), with the order key."""
     missing = F.lit(False)
     for c in K.REQUIRED_COLUMNS:
         missing = missing | ~_flag(c)
     kept = df.filter(F.col("trade_date").isNotNull() & F.col("code").isNotNull() & ~missing)
-    kept = kept.withColumn("_okey", packed_order_key(F.col("trade_date"), [F.col("code")]))
-    kept, segmented = plan_segments(kept, K.SRC, "_okey", max_series_rows, counts=counts)
+    return kept.withColumn("_okey", packed_order_key(F.col("trade_date"), [F.col("code")]))
+
+
+def position(df: DataFrame, max_series_rows: int = DEFAULT_MAX_ROWS, counts: DataFrame | None = None) -> Series:
+    """F1 + W1: rows with date and code, numbered per series by date (``pos``)."""
+    kept, segmented = plan_segments(_identified(df), K.SRC, "_okey", max_series_rows, counts=counts)
     return Series(kept, K.SRC, _order_columns(), segmented).position("pos")
 
 
@@ -190,12 +194,14 @@ class CleanResult:
     standard: DataFrame  # adapted + coerced input, before F1
     marked: DataFrame    # F3 survivors with derived columns, ``keep`` and ``_reason``
     segmented: bool = False
+    split_marked: DataFrame | None = None  # the part of ``marked`` that came from split series
 
     def _cross_segment_duplicates(self) -> DataFrame | None:
         """Split series only: keys stored twice across segments (partial aggregation first)."""
         if not self.segmented:
             return None
-        kept = self.marked.filter(F.col("keep") & F.col("_reason").isNull())
+        part = self.split_marked if self.split_marked is not None else self.marked
+        kept = part.filter(F.col("keep") & F.col("_reason").isNull())
         return (kept.groupBy(K.SRC, "code", "trade_date").agg(F.count(F.lit(1)).alias("_n"))
                 .filter(F.col("_n") > 1).select(K.SRC).distinct())
 
@@ -238,6 +244,14 @@ def clean_bars(df: DataFrame, *, max_series_rows: int = DEFAULT_MAX_ROWS,
     sizes) replaces the counting pass that finds series to split.
     """
     std = df if standardized else standardize(df)
-    s = position(std, max_series_rows, counts)
-    s = save_checks(delist(derive(valid(s), quarantine_first_row_dropped)))
-    return CleanResult(std, s.df, s.segmented)
+    cold, hot = split_hot(_identified(std), K.SRC, "_okey", max_series_rows, counts=counts)
+
+    def chain(frame: DataFrame, segmented: bool) -> DataFrame:
+        s = Series(frame, K.SRC, _order_columns(), segmented).position("pos")
+        return save_checks(delist(derive(valid(s), quarantine_first_row_dropped))).df
+
+    marked = chain(cold, False)
+    if hot is None:
+        return CleanResult(std, marked)
+    split = chain(hot, True)
+    return CleanResult(std, marked.unionByName(split), segmented=True, split_marked=split)

@@ -168,3 +168,27 @@ def plan_segments(df: DataFrame, key: str, order_key: str, max_rows: int = DEFAU
            .drop("_b"))
     checkpoint_dir(df.sparkSession)
     return out.repartition(key, seg).checkpoint(eager=True), True
+
+
+def split_hot(df: DataFrame, key: str, order_key: str, max_rows: int = DEFAULT_MAX_ROWS,
+              seg: str = "_seg", counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Separate ordinary series from hot ones: ``(cold, hot)``.
+
+    ``cold`` keeps every series with at most ``max_rows`` rows (``seg`` = 0) and
+    is cut from the input by an anti-join with the broadcast list of hot keys,
+    so it keeps its partitioning and takes the single-exchange plan. ``hot``
+    holds the split series, segmented and checkpointed as in
+    :func:`plan_segments`, or is ``None`` when there are none; only these rows
+    pay for the segment fix-ups.
+    """
+    if counts is None:
+        counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.filter(F.col("_n") > max_rows).select(key, "_n")
+    stats = hot.agg(F.count(F.lit(1)).alias("k")).first()
+    if int(stats["k"] or 0) == 0:
+        return df.withColumn(seg, F.lit(0)), None
+    hot_keys = F.broadcast(hot.select(key))
+    cold = df.join(hot_keys, key, "left_anti").withColumn(seg, F.lit(0))
+    hot_rows = df.join(hot_keys, key, "left_semi")
+    split, _ = plan_segments(hot_rows, key, order_key, max_rows, seg, counts=hot)
+    return cold, split

@@ -194,3 +194,17 @@ def test_lag_carries_over_empty_segments(spark):
     assert [(r["trading_days"], r["pct_change"]) for r in a] == [(r["trading_days"], r["pct_change"]) for r in b]
     after_gap = [r for r in a if r["trading_days"] == 27][0]
     assert after_gap["pct_change"] == pytest.approx((10.0 + 0.26) / (10.0 + 0.09) - 1)
+
+
+def test_mixed_hot_and_cold_series(spark):
+    from barsmith.plans.fixtures import raw_bars
+    from conftest import SF_SMALL
+    rb = raw_bars(spark, SF_SMALL)
+    sizes = sorted(r["n"] for r in rb.groupBy("src").agg(F.count("*").alias("n")).collect())
+    threshold = sizes[len(sizes) // 2]  # about half the series count as hot
+    res = clean_bars(rb, max_series_rows=threshold)
+    assert res.segmented and res.split_marked is not None
+    a, b = clean_bars(rb).clean(), res.clean()
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    qa = {r["src"]: r["reason"] for r in clean_bars(rb).quarantine().collect()}
+    assert qa == {r["src"]: r["reason"] for r in res.quarantine().collect()}
