@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import contracts as K
+from ..session import prepare
 
 DATE_SHIFT_DAYS = 8000
 DAY_ZERO = "2016-01-01"
@@ -248,6 +249,7 @@ def write_quote_files(bars: DataFrame, folder: str, encoding: str = "GBK") -> No
     Odd-numbered series list their columns in reverse order, so a scan must map
     every file by its own header. Rows are written as text in date order.
     """
+    prepare(bars.sparkSession)  # GBK needs the legacy charset list on Spark 4
     names = list(K.HEADER_MAP)
     k = F.substring(F.col(K.SRC), 2, 20).cast("long")
     flip = (k % 2) == 1
