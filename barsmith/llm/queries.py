@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barsmith.llm import arrow_tokens, byte_bpe, decontaminate, jaccard_join, license_scan, quality_rules, substring_dedup, token_counts
+from barsmith.llm import arrow_tokens, byte_bpe, class_lm, decontaminate, html_text, jaccard_join, license_scan, quality_rules, substring_dedup, token_counts
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -53,14 +53,25 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op5_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.html_text(table(spark, sf_dir, "pages"))
+
+
+def op9_brown_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and class-bigram scores of every document."""
+    return class_lm.class_lm(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text by the ranks of the vocabulary, and the bytes they decode to."""
     return byte_bpe.byte_bpe(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_prefix_token_counts, op2_compression_bands, op3_benchmark_decontamination, op4_license_sentences, op6_arrow_token_files,
-                                    op7_repeated_phrase_automata, op8_ngram_jaccard_join, op10_byte_level_bpe)
+    f.__name__: f for f in (op1_prefix_token_counts, op2_compression_bands, op3_benchmark_decontamination, op4_license_sentences, op5_line_block_text,
+                                    op6_arrow_token_files, op7_repeated_phrase_automata, op8_ngram_jaccard_join, op9_brown_class_ngrams,
+                                    op10_byte_level_bpe)
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -95,8 +106,8 @@ WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
       FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 85 * (x.n + y.n - both)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
 r(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.other = l.a)
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.other) AS component_id
 FROM d JOIN r ON d.doc_id = r.doc_id LEFT JOIN n ON d.doc_id = n.doc_id GROUP BY d.doc_id""",
