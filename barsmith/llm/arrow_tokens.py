@@ -23,6 +23,7 @@ empty table gives no shards and no rows.
 
 from __future__ import annotations
 
+import array
 import functools
 import itertools
 import json
@@ -41,8 +42,8 @@ from barsmith.llm.frames import block_count, complete_runs, pick, run_starts, st
 
 #: Ids of a sequence, and sequences of a batch.
 LENGTH, BATCH = 2048, 128
-#: Entries of a task's memo of encoded words; a full memo is emptied.
-MEMO = 1_000_000
+#: Entries of a task's memo of encoded words (about 200 bytes each); a full memo is emptied.
+MEMO = 1_500_000
 
 
 class Encoder:
@@ -67,11 +68,12 @@ class Encoder:
         self.by_chunk = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.memo: dict[str, bytes | None] = {}
 
     def _pack(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
+        return [array.array(self.code, x.ids).tobytes() for x in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         rows = [t.split(" ") if self.by_chunk and not any(s in t for s in self.special) else None for t in texts]
