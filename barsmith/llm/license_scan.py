@@ -1,7 +1,7 @@
 """Licence recognition by sentence rules.
 
 A text is cut into sentences (at line ends and after ``. ; :``), each sentence is
-normalised (lower case, words only, the article dropped, American spelling), and known sentences become identifiers:
+normalised (lower case, words only, the article dropped), and known sentences become identifiers:
 ``SENTENCES`` maps a pattern to an identifier, which may take the version from
 the text. What is left of a document is a short ordered sequence of identifiers.
 ``LICENCES`` then lists sequences in order of precedence: a rule matches where its
@@ -33,7 +33,10 @@ SENTENCES = tuple((re.compile(p), i) for p, i in (
     (r"\bgnu (?:lesser|library) general public licen[sc]e\b.*?\bversion (\d(?: \d)?)\b", "lgpl-{1}"),
     (r"\bgnu affero general public licen[sc]e\b.*?\bversion (\d)\b", "agpl-{1}"),
     (r"\bgnu general public licen[sc]e\b.*?\bversion (\d)\b", "gpl-{1}"),
+    (r"\bgnu (?:lesser|library) general public licen[sc]e\b", "lgpl"),
+    (r"\bgnu affero general public licen[sc]e\b", "agpl"),
     (r"\bgnu general public licen[sc]e\b", "gpl"),
+    (r"\bversion (\d(?: \d)?) of licen[sc]e or (?:at your option )?any later version\b", "version-{1}+"),
     (r"\bany later version\b", "or-later"),
     (r"\bapache licen[sc]e\b.*?\bversion (\d(?: \d)?)\b", "apache-{1}"),
     (r"\bapache licen[sc]e (\d(?: \d)?)\b", "apache-{1}"),
@@ -59,7 +62,6 @@ SENTENCES = tuple((re.compile(p), i) for p, i in (
     (r"\bcc by (\d(?: \d)?)\b|\bcreative commons attribution (\d(?: \d)?)\b", "cc-by-{1}"),
     (r"\bcc0\b|\bcreative commons zero\b", "cc0"),
     (r"\b(?:in|into) public domain\b", "public-domain"),
-    (r"\bspdx licen[sc]e identifier ([a-z0-9 ]+)$", "spdx-{1}"),
     (r"\ball rights reserved\b", "all-rights-reserved"),
 ))
 #: (identifiers in order, licence); the first rules take precedence, "..." lets other known sentences stand between.
@@ -70,9 +72,10 @@ LICENCES = (
     (("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"), "BSD-3-Clause"),
     (("bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty"), "BSD-2-Clause"),
     (("bsd-grant", "bsd-source", "bsd-binary"), "BSD-2-Clause"),
+    (("gpl", "version-*+"), "GPL-*-or-later"), (("lgpl", "version-*+"), "LGPL-*-or-later"), (("agpl", "version-*+"), "AGPL-*-or-later"),
     (("gpl-*", "or-later"), "GPL-*-or-later"), (("lgpl-*", "or-later"), "LGPL-*-or-later"), (("agpl-*", "or-later"), "AGPL-*-or-later"),
     (("gpl-*+",), "GPL-*-or-later"), (("lgpl-*+",), "LGPL-*-or-later"), (("agpl-*+",), "AGPL-*-or-later"),
-    (("gpl-*",), "GPL-*-only"), (("lgpl-*",), "LGPL-*-only"), (("agpl-*",), "AGPL-*-only"), (("gpl",), "GPL"),
+    (("gpl-*",), "GPL-*-only"), (("lgpl-*",), "LGPL-*-only"), (("agpl-*",), "AGPL-*-only"), (("gpl",), "GPL"), (("lgpl",), "LGPL"), (("agpl",), "AGPL"),
     (("apache-*",), "Apache-*"), (("mpl-*",), "MPL-*"), (("epl-*",), "EPL-*"), (("isc-grant",), "ISC"),
     (("mit-name",), "MIT"), (("bsd2-name",), "BSD-2-Clause"), (("bsd3-name",), "BSD-3-Clause"),
     (("cc-by-nc-sa-*",), "CC-BY-NC-SA-*"), (("cc-by-nc-nd-*",), "CC-BY-NC-ND-*"), (("cc-by-nc-*",), "CC-BY-NC-*"), (("cc-by-sa-*",), "CC-BY-SA-*"),
@@ -80,26 +83,27 @@ LICENCES = (
 )
 #: No sentence pattern can match a text without one of these.
 _HINT = re.compile(r"licen[sc]e|gnu|apache|mozilla|permi|redistribut|warranty|public domain|rights reserved|creative commons|\bcc\b|\bcc0|later version|neither (?:the )?name|provided by|above copyright|\bbsd\b", re.I)
-_CUT = re.compile(r"\n\s*\n|(?<=[.;:])(?=\s)|\n(?=\s*(?:[*#/-]|\d+[.)]|spdx|licen[sc]ed|released|this work|copyright))", re.I)
+_CUT = re.compile(r"\n\s*\n|(?<=[.;:])(?<!identifier:)(?=\s)|\n(?=\s*(?:[*#/-]|\d+[.)]|spdx|licen[sc]ed|released|this work|copyright))", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
+#: A tag names its licence itself.
+_TAG = re.compile(r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)", re.I)
 
 
-def sentences(text: str) -> list[str]:
-    """Normalised sentences of a text."""
-    out = []
-    for part in _CUT.split(text):
-        words = [w for w in _WORD.findall(part.lower()) if w != "the"]
-        if words:
-            out.append(" ".join(words))
-    return out
+def normalised(sentence: str) -> str:
+    return " ".join(w for w in _WORD.findall(sentence.lower()) if w != "the")
 
 
 def identify(sentence: str) -> str | None:
+    """Identifier of a sentence, or None if it is not a known one."""
+    tag = _TAG.search(sentence)
+    if tag:
+        return f"spdx-{tag[1]}"
+    sentence = normalised(sentence)
     for pattern, name in SENTENCES:
         m = pattern.search(sentence)
         if m:
             version = next((g for g in m.groups() if g), "") if m.groups() else ""
-            return name.replace("{1}", (version if name.startswith("spdx") else version.replace(" ", ".")).strip())
+            return name.replace("{1}", version.replace(" ", "."))
     return None
 
 
@@ -148,7 +152,7 @@ def licences_of(text: str) -> tuple[list[str], list[str]]:
     """(identifiers in order, licences) of one text."""
     if not _HINT.search(text):
         return [], []
-    ids = [i for i in map(identify, sentences(text)) if i]
+    ids = [i for i in map(identify, _CUT.split(text)) if i]
     return ids, match(ids)
 
 
