@@ -27,6 +27,7 @@ become per-source quarantine reasons instead of errors; see ``REASONS``.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -47,6 +48,16 @@ REASONS: tuple[str, ...] = (
 
 OUTPUT_COLUMNS: tuple[str, ...] = (K.SRC,) + K.STANDARD_COLUMNS + K.DERIVED_COLUMNS
 
+# Stored columns that a source may lack, with the input columns each one needs. A
+# source without them must leave the stored value of a matched key alone.
+OPTIONAL_INPUTS: dict[str, tuple[str, ...]] = {
+    **{c: (c,) for c in K.STANDARD_COLUMNS if c not in K.REQUIRED_COLUMNS},
+    "turnover_rate": ("amount", "circulation_market_value"),
+    "avg_price": ("amount", "volume"),
+}
+# Column of the cleaned rows that says whether a row's source delivered the value.
+PRESENT: dict[str, str] = {c: f"present_{c}" for c in OPTIONAL_INPUTS}
+
 # Stored decimal type of each numeric output column (for the overflow check).
 _DECIMALS: dict[str, T.DecimalType] = {f.name: f.dataType for f in K.DAILY_SCHEMA.fields
                                        if isinstance(f.dataType, T.DecimalType)}
@@ -226,13 +237,19 @@ class CleanResult:
         return (allq.groupBy(K.SRC).agg(F.min(F.struct(rank.alias("r"), F.col("reason").alias("reason")))
                                        ["reason"].alias("reason")))
 
-    def clean(self) -> DataFrame:
-        """Rows to store: kept rows of sources without any reason."""
+    def clean(self, presence: bool = False) -> DataFrame:
+        """Rows to store: kept rows of sources without any reason.
+
+        With ``presence``, every column of :data:`PRESENT` follows: false where the
+        row's source lacks the inputs of that stored column.
+        """
         kept = self.marked.filter(F.col("keep") & F.col("_reason").isNull())
         extra = self._cross_segment_duplicates()
         if extra is not None:
             kept = kept.join(extra, K.SRC, "left_anti")
-        return kept.select(*OUTPUT_COLUMNS)
+        flags = [functools.reduce(lambda a, b: a & b, [_flag(i) for i in inputs]).alias(PRESENT[c])
+                 for c, inputs in OPTIONAL_INPUTS.items()] if presence else []
+        return kept.select(*OUTPUT_COLUMNS, *flags)
 
 
 def clean_bars(df: DataFrame, *, max_series_rows: int = DEFAULT_MAX_ROWS,

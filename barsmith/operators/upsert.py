@@ -14,7 +14,7 @@ hot in the join.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,33 +37,50 @@ def validate(columns: Sequence[str], table_name: str, keys: Sequence[str]) -> No
             raise ValueError(f"illegal column name: {c}")
 
 
-def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
+                   present: Mapping[str, str] | None = None) -> DataFrame:
     """U4: one row per key, the greatest by ``order`` (e.g. file time, then source).
 
+    ``present`` names, per column that a source may lack, the flag column saying
+    whether it was delivered. Such a column takes its value from the greatest row
+    that has it, as if the sources were applied one after another; its flag is
+    true if any row has it.
+
     A ``groupBy`` with ``max_by`` rather than a window: the reduction is combined
     map-side, so a key with millions of copies never gathers in one task.
     """
-    rest = [c for c in df.columns if c not in keys]
-    if not rest:
+    present = {c: f for c, f in (present or {}).items() if c in df.columns and f in df.columns}
+    rest = [c for c in df.columns if c not in keys and c not in present and c not in present.values()]
+    aggs = [F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")] if rest else []
+    for c, flag in present.items():
+        aggs.append(F.max_by(F.struct(c), F.when(F.col(flag), F.struct(*order))).alias(f"_row_{c}"))
+        aggs.append(F.bool_or(flag).alias(flag))
+    if not aggs:
         return df.select(*keys).distinct()
-    pick = F.max_by(F.struct(*[F.col(c) for c in rest]), F.struct(*order)).alias("_row")
-    return df.groupBy(*keys).agg(pick).select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
+    value = {c: F.col("_row")[c] for c in rest} | {c: F.col(f"_row_{c}")[c] for c in present} | {f: F.col(f) for f in present.values()}
+    return df.groupBy(*keys).agg(*aggs).select(*keys, *[value[c].alias(c) for c in df.columns if c not in keys])
 
 
 def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], *,
-          now: Column | None = None, audit: bool = True) -> DataFrame:
+          now: Column | None = None, audit: bool = True, present: Mapping[str, str] | None = None) -> DataFrame:
     """U1 + U2 + U6 + J4: the target after upserting ``source`` on ``keys``.
 
+    ``present`` names, per source column, a flag column of the source: where it is
+    false, a matched row keeps its stored value, as if the row's source had no such
+    column.
+
     Output has the target's columns in the target's order. With ``audit``, the
     ``created_at``/``updated_at`` columns are kept on untouched rows, set to
     ``now`` on inserted rows, and ``updated_at`` is refreshed on matched rows.
     When the source holds only key columns, matched rows stay as they are (U2).
     """
-    validate(source.columns, "target", keys)
+    present = {c: f for c, f in (present or {}).items() if f in source.columns}
+    flags = list(present.values())
+    validate([c for c in source.columns if c not in flags], "target", keys)
     now = now if now is not None else F.localtimestamp()
-    update = [c for c in source.columns if c not in keys and c not in K.AUDIT_COLUMNS]
+    update = [c for c in source.columns if c not in keys and c not in K.AUDIT_COLUMNS and c not in flags]
     t = target.withColumn("_t_hit", F.lit(True)).alias("t")
-    s = source.select(*keys, *update).withColumn("_s_hit", F.lit(True)).alias("s")
+    s = source.select(*keys, *update, *flags).withColumn("_s_hit", F.lit(True)).alias("s")
     j = t.join(s, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys], "full_outer")
     s_hit = F.col("s._s_hit").isNotNull()
     t_hit = F.col("t._t_hit").isNotNull()
@@ -74,7 +91,8 @@ def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], *,
         if c in keys:
             val = F.coalesce(tc, F.col(f"s.{c}").cast(types[c]))
         elif c in update:
-            val = F.when(s_hit, F.col(f"s.{c}").cast(types[c])).otherwise(tc)
+            given = s_hit & F.coalesce(F.col(f"s.{present[c]}"), F.lit(False)) if c in present else s_hit
+            val = F.when(given, F.col(f"s.{c}").cast(types[c])).otherwise(tc)
         elif audit and c == "created_at":
             val = F.when(t_hit, tc).otherwise(now.cast(types[c]))
         elif audit and c == "updated_at":

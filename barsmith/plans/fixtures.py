@@ -28,6 +28,15 @@ DELIST_FROM = "2023-03-01"
 BOARD_PREFIXES = ("sh60", "sh68", "sz30", "bj83", "sz00")  # by suppkey % 5
 
 
+def pad4(c: F.Column) -> F.Column:
+    """A key as text of at least four digits; longer keys are never cut (``lpad`` would)."""
+    return F.lpad(c, F.greatest(F.length(c), F.lit(4)), F.lit("0"))
+
+
+def pad4_sql(x: str) -> str:
+    return f"lpad({x}, greatest(length({x}), 4)::INTEGER, '0')"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -54,7 +63,7 @@ def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.select(
         K.SRC,
         "trade_date",
-        F.concat(prefix, F.lpad(ks, 4, "0")).alias("code"),
+        F.concat(prefix, pad4(ks)).alias("code"),
         F.when(k % 7 == 0, F.concat(F.lit("ST"), ks)).when(k % 11 == 0, F.concat(F.lit("退"), ks))
         .otherwise(F.concat(F.lit("Co"), ks)).alias("name"),
         F.when(nk % 29 == 0, -F.col("_open")).otherwise(F.col("_open")).alias("open"),
@@ -85,7 +94,7 @@ _bar AS (
 raw_bars AS (
   SELECT 'f' || CAST(k AS VARCHAR) AS src, trade_date,
          CASE k % 5 WHEN 0 THEN 'sh60' WHEN 1 THEN 'sh68' WHEN 2 THEN 'sz30' WHEN 3 THEN 'bj83' ELSE 'sz00' END
-           || lpad(CAST(k AS VARCHAR), 4, '0') AS code,
+           || {pad4_sql("CAST(k AS VARCHAR)")} AS code,
          CASE WHEN k % 7 = 0 THEN 'ST' || CAST(k AS VARCHAR) WHEN k % 11 = 0 THEN '退' || CAST(k AS VARCHAR)
               ELSE 'Co' || CAST(k AS VARCHAR) END AS name,
          CASE WHEN nk % 29 = 0 THEN -_open ELSE _open END AS open, high, low, close,
@@ -171,15 +180,15 @@ def minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max_by("value", order).alias("close"), F.count(F.lit(1)).cast("double").alias("volume"),
         (F.sum(F.round(F.col("value") * 100.0)) / 100.0).alias("amount"))
     return bars.select(
-        F.concat(F.lit("u"), F.lpad(F.col("user_id").cast("string"), 4, "0")).alias("code"),
+        F.concat(F.lit("u"), pad4(F.col("user_id").cast("string"))).alias("code"),
         F.to_date("m").alias("trade_date"),
         (F.hour("m") * 3600 + F.minute("m") * 60).cast("int").alias("time"),
         "open", "high", "low", "close", "volume", "amount")
 
 
-MINUTE_BARS_SQL = """
+MINUTE_BARS_SQL = f"""
 minute_bars AS (
-  SELECT 'u' || lpad(CAST(user_id AS VARCHAR), 4, '0') AS code, CAST(m AS DATE) AS trade_date,
+  SELECT 'u' || {pad4_sql("CAST(user_id AS VARCHAR)")} AS code, CAST(m AS DATE) AS trade_date,
          CAST(hour(m) * 3600 + minute(m) * 60 AS INTEGER) AS time,
          max(CASE WHEN i = 1 THEN value END) AS open, max(value) AS high, min(value) AS low,
          max(CASE WHEN i = n THEN value END) AS close, CAST(count(*) AS DOUBLE) AS volume,
@@ -243,14 +252,16 @@ _manifest AS (
   FROM pages WHERE page_id % 8 <> 0)"""
 
 
-def write_quote_files(bars: DataFrame, folder: str, encoding: str = "GBK") -> None:
+def write_quote_files(bars: DataFrame, folder: str, encoding: str = "GBK", absent: tuple[str, ...] = ()) -> None:
     """Write bars as quote files: one GBK file per series, banner line, header line, data.
 
+    Columns named in ``absent`` are left out of the files.
+
     Odd-numbered series list their columns in reverse order, so a scan must map
     every file by its own header. Rows are written as text in date order.
     """
     prepare(bars.sparkSession)  # GBK needs the legacy charset list on Spark 4
-    names = list(K.HEADER_MAP)
+    names = [n for n, c in K.HEADER_MAP.items() if c not in absent]
     k = F.substring(F.col(K.SRC), 2, 20).cast("long")
     flip = (k % 2) == 1
     fwd = F.array(*[F.lit(n) for n in names])

@@ -4,7 +4,8 @@ They let a chain be written the way the reference's daily job is wired::
 
     Pipeline.create([AdaptStep(), CleanStep(), SaveStep(ParquetTable.daily(spark, root))]).run(raw)
 
-Each step maps a DataFrame to a DataFrame; nothing runs until the save.
+Each step maps a DataFrame to a DataFrame. The cleaner counts rows per series when it is
+built (to split huge ones); everything else runs at the save.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import contracts as K
 from ..operators.adapt import to_standard_frame
-from ..operators.clean import OUTPUT_COLUMNS, CleanResult, clean_bars, coerce_types
+from ..operators.clean import OUTPUT_COLUMNS, PRESENT, CleanResult, clean_bars, coerce_types
 from ..operators.series import DEFAULT_MAX_ROWS
 from ..operators.upsert import latest_per_key
 from ..sources.tables import ParquetTable
@@ -31,7 +32,11 @@ class AdaptStep:
 
 @dataclass
 class CleanStep:
-    """The cleaner; quarantined sources are dropped and kept on ``last_result``."""
+    """The cleaner; quarantined sources are dropped and kept on ``last_result``.
+
+    Its rows carry the flags of :data:`PRESENT`, so that the save leaves stored
+    values alone where a source lacks a column.
+    """
 
     max_series_rows: int = DEFAULT_MAX_ROWS
     quarantine_first_row_dropped: bool = True
@@ -42,7 +47,7 @@ class CleanStep:
         self.last_result = clean_bars(std if std is not None else df, standardized=std is not None,
                                       max_series_rows=self.max_series_rows,
                                       quarantine_first_row_dropped=self.quarantine_first_row_dropped)
-        return self.last_result.clean()
+        return self.last_result.clean(presence=True)
 
 
 @dataclass
@@ -59,6 +64,7 @@ class SaveStep:
     def handle(self, df: DataFrame) -> DataFrame:
         rows = df
         if K.SRC in df.columns:
-            rows = latest_per_key(df, self.table.keys, [F.col(K.SRC)])
-        self.table.upsert(rows.select(*[c for c in OUTPUT_COLUMNS if c != K.SRC and c in rows.columns]))
+            rows = latest_per_key(df, self.table.keys, [F.col(K.SRC)], present=PRESENT)
+        self.table.upsert(rows.select(*[c for c in (*OUTPUT_COLUMNS, *PRESENT.values()) if c != K.SRC and c in rows.columns]),
+                          present=PRESENT)
         return df
