@@ -18,8 +18,9 @@ from ..contracts import NA_TOKENS
 _SUFFIXES = ("d", "D", "f", "F")
 _INFINITIES = ("inf", "+inf", "-inf", "infinity", "+infinity", "-infinity")
 
-# Date layouts accepted besides the ISO form that a plain cast understands.
-DATE_PATTERNS: tuple[str, ...] = ("yyyy/MM/dd", "yyyyMMdd")
+# Date layouts accepted besides the ISO form that a plain cast understands; month and
+# day may lack their zero, and a time of day may follow.
+DATE_PATTERNS: tuple[str, ...] = ("yyyy/M/d[ H:m[:s]]", "yyyyMMdd")
 
 
 def na_to_null(c: Column) -> Column:
@@ -48,7 +49,7 @@ def to_double(c: Column, dtype: T.DataType | None = None) -> Column:
 
 
 def to_date(c: Column, dtype: T.DataType | None = None) -> Column:
-    """Date coercion with errors → NULL (ISO, ``yyyy/MM/dd`` and ``yyyyMMdd``)."""
+    """Date coercion with errors → NULL (ISO, ``yyyy/M/d`` with an optional time, ``yyyyMMdd``)."""
     if dtype is not None and isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return c.cast("date")
     s = F.trim(c.cast("string"))

@@ -131,6 +131,9 @@ def raw_bars_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_bars(spark, sf_dir).select(
         K.SRC,
         F.when(nk % 41 == 0, F.date_format("trade_date", "yyyy/MM/dd"))
+        .when(nk % 41 == 3, F.date_format("trade_date", "yyyy/M/d"))
+        .when(nk % 41 == 4, F.concat(F.date_format("trade_date", "yyyy/M/d"), F.lit(" 15:00")))
+        .when(nk % 41 == 5, F.date_format("trade_date", "yyyy-M-d"))
         .when(nk % 41 == 1, F.date_format("trade_date", "yyyyMMdd"))
         .when(nk % 41 == 2, F.lit("2020-13-01")).otherwise(txt("trade_date")).alias("trade_date"),
         F.when(nk % 43 == 0, F.lit("NA")).otherwise(F.col("code")).alias("code"),
@@ -264,26 +267,23 @@ def write_quote_files(bars: DataFrame, folder: str, encoding: str = "GBK", absen
     names = [n for n, c in K.HEADER_MAP.items() if c not in absent]
     k = F.substring(F.col(K.SRC), 2, 20).cast("long")
     flip = (k % 2) == 1
-    fwd = F.array(*[F.lit(n) for n in names])
-    rev = F.array(*[F.lit(n) for n in reversed(names)])
     std = [K.HEADER_MAP[n] for n in names]
-    data_fwd = F.array(*[F.col(c).cast("string") for c in std])
-    data_rev = F.array(*[F.col(c).cast("string") for c in reversed(std)])
+    cells = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in std])
+    header = F.array(*[F.lit(n) for n in names])
+    in_order = lambda a: F.array_join(F.when(flip, F.reverse(a)).otherwise(a), ",")
     # Every line of a series comes from that series' own rows (its first row also
-    # yields the banner and the header), so one frame holds all lines and a single
-    # repartition by series puts each file's lines in one task, in order.
-    first = F.col("_first")
-    banner = F.array(F.lit("数据来源: 测试"))
-    header = F.when(flip, rev).otherwise(fwd)
-    data = F.when(flip, data_rev).otherwise(data_fwd)
-    line = lambda o, cells: F.struct(F.lit(o).alias("_o"), cells.alias("cells"))
-    lines = F.when(first, F.array(line(0, banner), line(1, header), line(2, data))).otherwise(
-        F.array(line(2, data)))
+    # yields the banner, for one series in five an empty line, and the header), so one
+    # frame holds all lines and a single repartition by series puts each file's lines
+    # in one task, in order.
+    line = lambda o, text: F.struct(F.lit(o).alias("_o"), text.alias("line"))
+    banner = line(0, F.when(k % 5 == 2, F.lit("数据来源: 测试\n")).otherwise(F.lit("数据来源: 测试")))
+    data = line(2, in_order(cells))
+    lines = F.when(F.col("_first"), F.array(banner, line(1, in_order(header)), data)).otherwise(F.array(data))
     flagged = bars.withColumn("_first", F.row_number().over(Window.partitionBy(K.SRC).orderBy("trade_date")) == 1)
-    exploded = flagged.select(K.SRC, F.col("trade_date").alias("_d"), F.explode(lines).alias("_l")).select(
-        K.SRC, F.col("_l._o").alias("_o"), "_d", F.col("_l.cells").alias("cells"))
-    out = exploded.select(K.SRC, "_o", "_d", *[F.get("cells", i).alias(f"c{i}") for i in range(len(names))])
-    (out.repartition(K.SRC).sortWithinPartitions(K.SRC, "_o", "_d").drop("_o", "_d")
-     .withColumnRenamed(K.SRC, "series")
-     .write.mode("overwrite").option("encoding", encoding).option("header", "false")
-     .partitionBy("series").csv(folder))
+    out = flagged.select(K.SRC, F.col("trade_date").alias("_d"), F.explode(lines).alias("_l")).select(
+        F.col(K.SRC).alias("series"), F.col("_l._o").alias("_o"), "_d",
+        F.col("_l.line").alias("line"))
+    # Whole lines as the only column of a CSV writer that neither parts nor quotes them.
+    (out.repartition("series").sortWithinPartitions("series", "_o", "_d").drop("_o", "_d")
+     .write.mode("overwrite").option("encoding", encoding).option("header", "false").option("sep", "\u0001")
+     .option("quote", "").option("emptyValue", "").partitionBy("series").csv(folder))

@@ -14,6 +14,8 @@ JOB_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # GBK decoding of the quote files needs the legacy charset list (Spark 4).
     "spark.sql.legacy.javaCharsets": "true",
+    # ... and undecodable bytes must mark their own file, not fail the scan.
+    "spark.sql.legacy.codingErrorAction": "true",
     # HotSpot does not JIT methods over 8000 bytes; a whole-stage method above that
     # runs interpreted, so let such stages fall back to per-operator code instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
