@@ -7,6 +7,7 @@ statement where one exists.
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
 from collections.abc import Callable
@@ -28,8 +29,11 @@ from ..session import checkpoint_dir
 from ..sources.base import ParquetBarsSource
 from ..streaming.ingest import start_ingest
 from .daily import read_daily, run_daily
-from ..sources.csv import list_sources, scan
+from ..sources.csv import list_sources, load_csv, scan
 from ..sources.custom import ArrowParquetSource
+from ..sources.tables import ParquetTable
+from .pipeline import Pipeline, per_series
+from .steps import AdaptStep, CleanStep, SaveStep
 from . import oracle_sql as O
 from .fixtures import (MANIFEST_NOW, MANIFEST_SQL, RAW_TEXT_EXPECTED_SQL, minute_bars, page_listing,
                        page_manifest, raw_bars, raw_bars_cn, raw_bars_text, write_quote_files)
@@ -61,6 +65,38 @@ def quarantine_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_bars(raw_bars(spark, sf_dir)).quarantine()
 
 
+# raw_bars with series spoiled in every way the cleaner sets a source aside for.
+_SPOILED = """
+raw_bars_2 AS (
+  SELECT src, trade_date, CASE WHEN k % 13 = 1 THEN code || 'xxxxxxxxxxxx' ELSE code END AS code,
+         CASE WHEN k % 13 = 4 THEN NULL ELSE name END AS name, open, high, low, close, pre_close, volume,
+         CASE WHEN k % 13 = 3 THEN 1e20::DOUBLE ELSE amount END AS amount, circulation_market_value, total_market_value
+  FROM (SELECT *, CAST(substr(src, 2) AS BIGINT) AS k FROM raw_bars) JOIN (SELECT unnest([0, 1]) AS copy) ON copy = 0 OR k % 13 = 2
+  WHERE k % 13 <> 5)"""
+# The cleaning rules over the frame raw_bars_2, under names of their own.
+SECOND_CTES = re.sub(r"\b(_f1|_f3|_a1|_p0|_d|_k4|_f5|_kept|_checked|clean_daily|raw_bars)\b", r"\1_2", O.CLEAN_CTES)
+
+
+@register("quarantine_spoiled", O.with_raw(_SPOILED.strip() + "," + SECOND_CTES, """
+SELECT src, min(reason) AS reason FROM _checked_2 WHERE reason IS NOT NULL GROUP BY src
+UNION ALL
+SELECT DISTINCT src, 'missing_column' FROM raw_bars WHERE CAST(substr(src, 2) AS BIGINT) % 13 = 5"""))
+def quarantine_spoiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C13 + C14 + U3 + F6: every series is cleaned, and those spoiled on purpose are set aside with their reason.
+
+    One series in thirteen has a code too long to store, one every key twice, one amounts beyond the stored
+    decimal, one no name, and one comes from a source without a volume column.
+    """
+    k = F.substring(F.col(K.SRC), 2, 20).cast("long") % 13
+    bars = raw_bars(spark, sf_dir).withColumns({
+        "code": F.when(k == 1, F.concat("code", F.lit("xxxxxxxxxxxx"))).otherwise(F.col("code")),
+        "name": F.when(k == 4, F.lit(None)).otherwise(F.col("name")),
+        "amount": F.when(k == 3, F.lit(1e20)).otherwise(F.col("amount"))})
+    std = standardize(bars.unionByName(bars.where(k == 2)))
+    std = std.withColumn(K.presence_flag("volume"), F.col(K.presence_flag("volume")) & (k != 5))
+    return clean_bars(std, standardized=True).quarantine()
+
+
 # -- per-rule queries (each is one stage of the cleaner on raw_bars) ------------
 
 def _std(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,6 +257,23 @@ def latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_per_key(a.unionByName(b), K.DAILY_KEYS, [F.col("file_time"), F.col("source_file")])
 
 
+_STAMP, _EARLIER = "2024-06-01 12:00:00", "2024-05-01 08:00:00"
+
+
+@register("upsert_audit", O.with_raw(PAIR_CTES, f"""
+SELECT coalesce(t.code, s.code) AS code, coalesce(t.trade_date, s.trade_date) AS trade_date,
+       CASE WHEN t.code IS NULL THEN TIMESTAMP '{_STAMP}' ELSE TIMESTAMP '{_EARLIER}' END AS created_at,
+       CASE WHEN s.code IS NULL THEN TIMESTAMP '{_EARLIER}' ELSE TIMESTAMP '{_STAMP}' END AS updated_at
+FROM _tgt t FULL OUTER JOIN _srcf s ON t.code = s.code AND t.trade_date = s.trade_date"""))
+def upsert_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit clocks of inserted, updated and untouched rows, under a fixed clock."""
+    target, source = _pair(spark, sf_dir)
+    early = F.lit(_EARLIER).cast("timestamp_ntz")
+    stamped = target.withColumns({"created_at": early, "updated_at": early})
+    merged = merge(stamped, source, K.DAILY_KEYS, now=F.lit(_STAMP).cast("timestamp_ntz"))
+    return merged.select("code", "trade_date", "created_at", "updated_at")
+
+
 @register("append_checked", O.with_raw(PAIR_CTES, f"""
 SELECT {', '.join(DAILY_COLS)} FROM _tgt
 UNION ALL
@@ -366,6 +419,20 @@ def work_filter_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run_steps(spark, sf_dir, force=True)[2].select(M.ID, M.HASH, "action", "reason")
 
 
+@register("work_filter_single", O.with_ctes(MANIFEST_CTES, """
+SELECT source_identifier, source_hash,
+       CASE WHEN reason = 'done' AND page_id % 16 = 1 THEN 'process' ELSE action END AS action,
+       CASE WHEN reason = 'done' AND page_id % 16 = 1 THEN 'archived' ELSE reason END AS reason
+FROM _dec JOIN (SELECT url, page_id FROM pages) ON url = source_identifier"""))
+def work_filter_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3: the single-source rule, where a status of no known meaning with an equal fingerprint is processed."""
+    listing, manifest = page_listing(spark, sf_dir), page_manifest(spark, sf_dir)
+    odd = listing.where(F.col("page_id") % 16 == 1).select(F.col(M.ID), F.lit("archived").alias("_odd"))
+    manifest = manifest.join(odd, M.ID, "left").withColumn("status", F.coalesce("_odd", "status")).drop("_odd")
+    reset = M.reset_stale(manifest, _now()).drop("was_reset")
+    return M.decide(listing.drop("page_id"), reset, unknown_status_processes=True).select(M.ID, M.HASH, "action", "reason")
+
+
 @register("work_summary", O.with_ctes(MANIFEST_CTES, "SELECT action, count(*) AS n FROM _dec GROUP BY action"))
 def work_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3: number of listed sources per action."""
@@ -562,15 +629,12 @@ def daily_job_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ABSENT = ("pre_close", "amount", "circulation_market_value", "total_market_value")
 _SECOND_FROM = "2021-01-01"
 _SECOND_COLUMNS = tuple(f.name for f in _CONTRACT_FIELDS if f.name not in (*_ABSENT, "turnover_rate", "avg_price"))
-# The cleaning rules once more over the second generation, under names of their own.
-_SECOND_CTES = re.sub(r"\b(_f1|_f3|_a1|_p0|_d|_k4|_f5|_kept|_checked|clean_daily|raw_bars)\b", r"\1_2", O.CLEAN_CTES)
-
 
 @register("daily_job_absent_columns", O.with_raw(O.CLEAN_CTES + f""",
 raw_bars_2 AS (
   SELECT src, trade_date, code, name, open, high, low, close + 1.0 AS close, NULL::DOUBLE AS pre_close, volume,
          NULL::DOUBLE AS amount, NULL::DOUBLE AS circulation_market_value, NULL::DOUBLE AS total_market_value
-  FROM raw_bars WHERE trade_date >= DATE '{_SECOND_FROM}'),{_SECOND_CTES},
+  FROM raw_bars WHERE trade_date >= DATE '{_SECOND_FROM}'),{SECOND_CTES},
 _both AS ({O.merge_sql("clean_daily", "clean_daily_2", K.DAILY_KEYS, tuple(f.name for f in _CONTRACT_FIELDS), _SECOND_COLUMNS)})""",
     f"SELECT {', '.join(_decimal_sql(f) for f in _CONTRACT_FIELDS)} FROM _both"))
 def daily_job_absent_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -589,6 +653,42 @@ def daily_job_absent_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(spark, warehouse)
 
 
+@register("step_chain", O.with_clean("SELECT " + ", ".join(
+    _decimal_sql(f) if f.name != "total_market_value" else "NULL::DECIMAL(20,2) AS total_market_value" for f in _CONTRACT_FIELDS)
+    + " FROM clean_daily"))
+def step_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 + X2 + X3 + X4 + S12: Chinese headers through adapt, a per-series step, clean and save; the stored table."""
+    warehouse = _scratch(spark, "chain-warehouse")
+    raw = raw_bars_cn(spark, sf_dir)
+    same = per_series(lambda pdf: pdf, raw.schema, max_rows=100_000)
+    table = ParquetTable.daily(spark, warehouse)
+    Pipeline.create([same, AdaptStep(), CleanStep(), SaveStep(table)]).run(raw)
+    return _stored(spark, warehouse)
+
+
+# The wide files: sixty columns from each line item, the second layout in reverse order without the last ten.
+_WIDE = [f"k{i:02d}" for i in range(60)]
+
+
+@register("plain_csv_load", """
+SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber,
+       CAST(l_partkey AS VARCHAR) AS k00, CAST(l_partkey + 49 AS VARCHAR) AS k49,
+       CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_partkey + 59 AS VARCHAR) END AS k59,
+       CAST(CASE WHEN l_linenumber % 2 = 0 THEN 60 ELSE 50 END AS INTEGER) AS n_filled
+FROM lineitem""")
+def plain_csv_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 + S5: plain CSV files of two layouts, up to 62 columns, loaded and united by name."""
+    folder = _scratch(spark, "plain")
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.col("l_orderkey"), F.col("l_linenumber"), *[(F.col("l_partkey") + i).alias(c) for i, c in enumerate(_WIDE)])
+    even = F.col("l_linenumber") % 2 == 0
+    items.where(even).write.option("header", "true").csv(f"{folder}/even")
+    items.where(~even).select(*reversed(items.columns[:52])).write.option("header", "true").csv(f"{folder}/odd")
+    loaded = load_csv(spark, folder)
+    filled = functools.reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in _WIDE])
+    return loaded.select("l_orderkey", "l_linenumber", "k00", "k49", "k59", filled.alias("n_filled"))
+
+
 @register("stream_ingest", _TABLE_SQL)
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1 + R2: the same files ingested by an availableNow file stream, 25 files per micro-batch."""
@@ -704,13 +804,16 @@ def drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("performance", O.with_clean(f"""
-SELECT code, count(*) AS days, {_r6_sql('max(dd)')} AS max_drawdown
-FROM (SELECT code, 1.0 - close / max(close) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dd
-      FROM clean_daily) GROUP BY code"""))
+SELECT code, days, {_r6_sql('mean')} AS mean_return, {_r6_sql('vol')} AS volatility, {_r6_sql('dd')} AS max_drawdown,
+       {_r6_sql('CASE WHEN vol > 0 THEN mean / vol * sqrt(252::DOUBLE) END')} AS sharpe
+FROM (SELECT code, count(*) AS days, avg(pct_change) AS mean, stddev_samp(pct_change) AS vol, max(dd) AS dd
+      FROM (SELECT code, pct_change,
+                   1.0 - close / max(close) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dd
+            FROM clean_daily) GROUP BY code)"""))
 def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per code trading days and maximum drawdown (mean, volatility and Sharpe in the library)."""
+    """Per code trading days, mean and volatility of the changes, Sharpe ratio and maximum drawdown."""
     out = FX.performance(_bars(spark, sf_dir))
-    return out.select("code", "days", _r6(F.col("max_drawdown")).alias("max_drawdown"))
+    return out.select("code", "days", *[_r6(F.col(c)).alias(c) for c in ("mean_return", "volatility", "max_drawdown", "sharpe")])
 
 
 def _ewm_sql(span: int) -> tuple[str, str]:
