@@ -1,6 +1,7 @@
 """Keyed upsert, append and the Parquet table store."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,3 +87,41 @@ def test_table_upsert_refuses_duplicate_keys(spark, tmp_path):
     tbl = ParquetTable.daily(spark, str(tmp_path))
     with pytest.raises(ValueError, match="duplicate"):
         tbl.upsert(frame(spark, [("a", D1, 1.0, "A"), ("a", D1, 2.0, "B")]))
+
+
+def test_a_write_that_dies_midway_loses_nothing(spark, tmp_path, monkeypatch):
+    tbl = ParquetTable.daily(spark, str(tmp_path))
+    tbl.upsert(spark.createDataFrame([("a", dt.date(2020, 1, 2), 1.0), ("b", dt.date(2021, 1, 2), 2.0)], "code string, trade_date date, close double"))
+    source = spark.createDataFrame([("a", dt.date(2020, 1, 2), 9.0), ("c", dt.date(2020, 1, 3), 3.0)], "code string, trade_date date, close double")
+
+    def die(self, state):
+        raise OSError("the driver is gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(ParquetTable, "_commit", die)  # rows are written, the commit never happens
+        with pytest.raises(OSError, match="driver is gone"):
+            tbl.upsert(source)
+    assert {r["code"]: float(r["close"]) for r in tbl.read().collect()} == {"a": 1.0, "b": 2.0}
+    before = tbl.read()
+    tbl.upsert(source)
+    want = {"a": 9.0, "b": 2.0, "c": 3.0}
+    assert {r["code"]: float(r["close"]) for r in tbl.read().collect()} == want
+    assert before.count() == 2  # a frame read before the commit stays readable
+    for _ in range(3):
+        tbl.upsert(source)
+    assert {r["code"]: float(r["close"]) for r in tbl.read().collect()} == want
+    assert len([f for f in os.listdir(tbl.path) if f.startswith("_state-")]) == 2
+
+
+def test_absent_columns_keep_stored_values(spark, tmp_path):
+    from barsmith.operators.clean import PRESENT
+
+    tbl = ParquetTable.daily(spark, str(tmp_path))
+    day = dt.date(2020, 1, 2)
+    tbl.upsert(spark.createDataFrame([("a", day, "x", 10.0, 1050.0)], "code string, trade_date date, name string, close double, amount double"))
+    rows = [("a", day, None, 11.0, None, False, False, 1, "f1"), ("a", day, "y", 12.0, None, True, False, 0, "f0"), ("n", day, None, 5.0, 7.0, False, True, 1, "f1")]
+    df = spark.createDataFrame(rows, "code string, trade_date date, name string, close double, amount double, present_name boolean, present_amount boolean, t int, src string")
+    one = latest_per_key(df, ("code", "trade_date"), [F.col("t"), F.col("src")], present=PRESENT)
+    tbl.upsert(one.drop("t", "src"), present=PRESENT)
+    got = {r["code"]: (r["name"], float(r["close"]), r["amount"] and float(r["amount"])) for r in tbl.read().collect()}
+    assert got == {"a": ("y", 11.0, 1050.0), "n": (None, 5.0, 7.0)}
