@@ -520,22 +520,24 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("csv_listing", """
-SELECT DISTINCT 'f' || CAST(l_suppkey AS VARCHAR) AS series, true AS sized, true AS fingerprint_ok,
-       'pending' AS status
-FROM lineitem""")
+SELECT 'f' || CAST(l_suppkey AS VARCHAR) AS series, true AS fingerprint_ok, 'pending' AS status,
+       CAST(count(DISTINCT CAST(l_shipdate AS DATE)) AS BIGINT) AS bars
+FROM lineitem GROUP BY l_suppkey""")
 def csv_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1 + S8 + S15: written quote files listed as manifest-ready rows, one per series.
 
     The fingerprint holds the write time, so the check is on its form
-    (``size:mtime_ns`` with the size equal to the file's) and on which files appear.
+    (``size:mtime_ns`` with the size equal to the file's). ``bars`` counts the data lines
+    that the scan finds in each listed file.
     """
     folder = _scratch(spark, "listing")
     write_quote_files(raw_bars(spark, sf_dir), folder)
     listed = list_sources(spark, folder, recursive=True)
     size, ns = F.split("source_hash", ":")[0], F.split("source_hash", ":")[1]
-    return listed.select(
-        F.regexp_extract("source_identifier", r"series=([^/]+)/", 1).alias("series"),
-        (F.col("file_size") > 0).alias("sized"),
+    paths = [r[0] for r in listed.select("source_identifier").collect()]
+    bars = scan(spark, paths, listing=listed).rows.groupBy(K.SRC).agg(F.count(F.lit(1)).alias("bars"))
+    return listed.join(bars, F.col("source_identifier") == F.col(K.SRC)).select(
+        F.regexp_extract("source_identifier", r"series=([^/]+)/", 1).alias("series"), "bars",
         (F.col("source_hash").rlike(r"^[0-9]+:[0-9]+$") & (size == F.col("file_size").cast("string"))
          & (ns.cast("long") > 0)).alias("fingerprint_ok"),
         F.lit(K.PENDING).alias("status"))
@@ -577,8 +579,7 @@ def custom_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _scratch(spark, "parquet_bars")
     raw_bars(spark, sf_dir).write.mode("overwrite").parquet(folder)
     src = ParquetBarsSource(folder)
-    ids = [r[0] for r in src.listing(spark).select("source_identifier").collect()]
-    bars = C.coerce_types(src.read(spark, ids))
+    bars = C.coerce_types(src.read(spark, src.listing(spark)))
     return bars.groupBy(K.SRC).agg(F.count(F.lit(1)).alias("bars"), F.count("pre_close").alias("with_pre_close"),
                                    F.max("trade_date").alias("last_date"))
 

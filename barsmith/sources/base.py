@@ -4,7 +4,7 @@ A source answers two questions with DataFrames, never with driver-side loops:
 
 * ``listing(spark)`` — one row per unit (``source_identifier``, ``source_hash``,
   ``file_size``, ``modification_time``), the input of the manifest;
-* ``read(spark, identifiers)`` — the rows of the chosen units in the standard
+* ``read(spark, identifiers)`` — the rows of the units in the frame ``identifiers`` (``source_identifier``) in the standard
   bar layout with a ``src`` column and presence flags.
 
 ``CsvQuoteSource`` is the quote-file source. ``ParquetBarsSource`` reads bar
@@ -29,7 +29,7 @@ from .csv import list_sources, scan
 class Source(Protocol):
     def listing(self, spark: SparkSession) -> DataFrame: ...
 
-    def read(self, spark: SparkSession, identifiers: list[str]) -> DataFrame: ...
+    def read(self, spark: SparkSession, identifiers: DataFrame) -> DataFrame: ...
 
 
 @dataclass
@@ -42,8 +42,10 @@ class CsvQuoteSource:
     def listing(self, spark: SparkSession) -> DataFrame:
         return list_sources(spark, self.path, self.pattern, self.recursive)
 
-    def read(self, spark: SparkSession, identifiers: list[str]) -> DataFrame:
-        return scan(spark, identifiers, self.encoding).rows
+    def read(self, spark: SparkSession, identifiers: DataFrame) -> DataFrame:
+        # Spark's file index holds the paths on the driver in any case.
+        paths = [r[0] for r in identifiers.select("source_identifier").collect()]
+        return scan(spark, paths, self.encoding, listing=identifiers).rows
 
 
 @dataclass
@@ -67,7 +69,7 @@ class ParquetBarsSource:
                                     F.unix_micros("modification_time").cast("string")).alias("source_hash"),
                         "file_size", "modification_time"))
 
-    def read(self, spark: SparkSession, identifiers: list[str]) -> DataFrame:
+    def read(self, spark: SparkSession, identifiers: DataFrame) -> DataFrame:
         df = spark.read.parquet(self.path).withColumnRenamed(self.series_column, K.SRC)
-        chosen = spark.createDataFrame([(i,) for i in identifiers], f"{K.SRC} string")
+        chosen = identifiers.select(F.col("source_identifier").alias(K.SRC))
         return to_standard_frame(df.join(chosen, K.SRC, "left_semi"))
