@@ -20,6 +20,7 @@ from ..operators.adapt import to_standard_frame
 from ..operators.clean import OUTPUT_COLUMNS, PRESENT, CleanResult, clean_bars, coerce_types
 from ..operators.series import DEFAULT_MAX_ROWS
 from ..operators.upsert import latest_per_key
+from ..session import checkpoint_dir
 from ..sources.tables import ParquetTable
 
 
@@ -65,6 +66,7 @@ class SaveStep:
         rows = df
         if K.SRC in df.columns:
             rows = latest_per_key(df, self.table.keys, [F.col(K.SRC)], present=PRESENT)
-        self.table.upsert(rows.select(*[c for c in (*OUTPUT_COLUMNS, *PRESENT.values()) if c != K.SRC and c in rows.columns]),
-                          present=PRESENT)
+        stored = rows.select(*[c for c in (*OUTPUT_COLUMNS, *PRESENT.values()) if c != K.SRC and c in rows.columns])
+        checkpoint_dir(df.sparkSession)
+        self.table.upsert(stored.checkpoint(), present=PRESENT)  # the upsert reads it more than once
         return df
