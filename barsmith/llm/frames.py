@@ -56,6 +56,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def most_frequent(counted: DataFrame, count: str, limit: int) -> DataFrame:
+    """Rows of ``counted`` with the highest counts, at most ``limit``: those above a cut.
+
+    The cut comes from a histogram of the counts in steps of a sixteenth of a power of
+    two (about a thousand numbers at most reach the driver), so no task sorts all rows.
+    ``counted`` is read twice; stage it first.
+    """
+    step = F.floor(F.log2(F.col(count).cast("double")) * 16).cast("int")
+    rows = counted.groupBy(step.alias("step")).count().collect()
+    cut, total = None, 0
+    for r in sorted(rows, key=lambda r: -r["step"]):
+        total += r["count"]
+        if total > limit:
+            break
+        cut = r["step"]
+    return counted.where(step >= cut) if cut is not None else counted.limit(0)
+
+
 def block_count(df: DataFrame) -> int:
     """Blocks for ``df``: one per BLOCK_BYTES of input, at least one per shuffle partition."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

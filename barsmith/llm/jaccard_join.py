@@ -2,27 +2,34 @@
 
 Rows of the matrix are *classes*: documents with the same shingle set are one class,
 so exact copies cost one row however many there are. Columns are shingles. Two sets
-of Jaccard similarity t or more must share a column among the first
-``n - ceil(t * n) + 1`` columns of each, in any one order of the columns; with the
-most frequent shingles last, those prefixes are made of rare columns. Steps:
+of Jaccard similarity t or more must share at least m columns among the first
+``n - ceil(t * n) + m`` columns of each, in any one order of the columns; with the
+most frequent shingles last, those prefixes are made of rare columns. m is a tenth of
+the size (the smaller of two sizes counts), which tells copies from documents that
+merely share a passage. Steps:
 
 1. ``profile``: each document's set size and class key; shingles that are frequent
    in a batch are counted, and the ``HEAVY`` most frequent (a fixed number, so a
    bounded broadcast) fix the column order. Any order gives the same links.
 2. ``columns``: the prefix columns of every class, dealt by column. A column of one
-   class is dropped. Columns with the same classes are one: only the set counts.
-3. ``blocks``: classes with a column to share fetch their sets, once per column.
-   Within a block the product of the incidence matrix with its transpose is taken
-   one row against all rows not yet reached: overlaps are accumulated over the
-   row's shingles, rows whose size or largest possible overlap is below the bound
-   are skipped, and a linked row is reached. As linked rows join the row's
-   component at once, only a spanning forest leaves the block, never all pairs.
+   class is dropped, and then a class that shares fewer columns with all others
+   together than it must share with a single partner of any size (twice, since columns
+   go with their classes). Classes of a column then compare the names of all their
+   columns, and those that share enough form a *cluster*, directly or through others;
+   all links lie inside clusters.
+3. Blocks: a cluster of up to ``BLOCK_ROWS`` classes is a block, and its classes
+   fetch their sets once. A larger cluster falls into one block for each of its
+   distinct columns. Within a block the product of the incidence matrix with its
+   transpose is taken one row against all rows not yet reached: overlaps are
+   accumulated over the row's shingles, rows whose size or largest possible overlap
+   is below the bound are skipped, and a linked row is reached. As linked rows join
+   the row's component at once, only a spanning forest leaves the block, never all pairs.
 4. ``components``: links of all blocks joined by large-star and small-star rounds.
 
 A column that holds more than ``BLOCK_ROWS`` classes is dealt to the cells of a
 grid: its classes fall by hash into g groups, and each pair of groups meets in one
 cell, so every pair of classes still meets while no cell holds more than about
-2 * ``BLOCK_ROWS`` rows. The number of classes of a frequent column is known from
+2 * ``BLOCK_ROWS`` rows. How many classes a frequent column has is estimated from
 the counts of step 1, before anything is shuffled.
 
 Class keys and shingles are 64-bit hashes; two different sets are taken for one
@@ -38,7 +45,6 @@ one result row each. Extra columns are never touched.
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -48,12 +54,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barsmith.llm import words as W
-from barsmith.llm.frames import complete_runs, pick, run_starts, stage
+from barsmith.llm.frames import complete_runs, most_frequent, pick, run_starts, stage
 
 #: Frequent shingles that order the columns (12 bytes each in the broadcast).
 HEAVY = 200_000
 #: Rows of a batch in which a shingle must occur to be counted as frequent.
-SEEN = 4
+SEEN = 2
 #: Classes of one column that a block takes; larger columns are dealt to a grid.
 BLOCK_ROWS = 8192
 
@@ -103,6 +109,11 @@ def _bound(n: np.ndarray, share: Fraction) -> np.ndarray:
     return -(-n * share.numerator // share.denominator)
 
 
+def _shared_at_least(n: np.ndarray) -> np.ndarray:
+    """Columns that two sets of at least ``n`` shingles must share in their prefixes."""
+    return np.maximum(1, n // 10)
+
+
 def columns(docs: DataFrame, k: int, share: Fraction, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Prefix columns of every class: (col, class), large columns spread over the cells of their grid."""
     sent = docs.sparkSession.sparkContext.broadcast(heavy)
@@ -134,7 +145,7 @@ def columns(docs: DataFrame, k: int, share: Fraction, heavy: tuple[np.ndarray, n
                 shingle, row, weight = shingle[order], row[order], weight[order]
                 begin = np.concatenate([[0], np.cumsum(np.where(fresh, n, 0))[:-1]])
                 place = np.arange(len(row)) - begin[row]
-                first = place < (n - _bound(n, share) + 1)[row]
+                first = place < (n - _bound(n, share) + _shared_at_least(n))[row]
                 col, cls, weight = shingle[first], key[row[first]], weight[first]
                 grid = -(-weight // BLOCK_ROWS)
                 one = grid <= 1
@@ -154,7 +165,7 @@ def _pairs(a: np.ndarray, b: np.ndarray, *names: str) -> pa.RecordBatch:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns (sorted by col, class) that at least two classes share, named by their set of classes."""
+    """Columns (sorted by col, class) that at least two classes share, named by their set of classes; ``n`` columns have that set."""
     for table in complete_runs(batches, "col"):
         col, cls = table.column("col").to_numpy(), table.column("class").to_numpy()
         keep = np.ones(len(col), bool)
@@ -163,8 +174,23 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin = run_starts(col)
         size = np.diff(np.append(begin, len(col)))
         name = W.mix(np.add.reduceat(W.mix(cls.view(np.uint64)), begin) + size.astype(np.uint64))
-        many = np.repeat(size > 1, size)
-        yield _pairs(np.repeat(name, size)[many].view(np.int64), cls[many], "block", "class")
+        # Columns with the same classes are one: only the set counts.
+        _, first, alike = np.unique(name, return_index=True, return_counts=True)
+        use = np.zeros(len(begin), np.int64)
+        use[first] = alike
+        use[size < 2] = 0
+        many = np.repeat(use, size)
+        at = many > 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[at].view(np.int64)), pa.array(cls[at]), pa.array(many[at])], ["block", "class", "n"])
+
+
+def _pruned(members: DataFrame, classes: DataFrame, share: Fraction) -> DataFrame:
+    """``members`` without the classes that share too few columns to have a partner, and without columns left with one class."""
+    least = f"greatest(1, ((n_shingles * {share.numerator} + {share.denominator - 1}) div {share.denominator}) div 10)"
+    held = members.groupBy("class").agg(F.sum("n").alias("held"))
+    live = held.join(classes, "class").where(f"held >= {least}").select("class")
+    left = members.join(live, "class", "left_semi")
+    return left.join(left.groupBy("block").count().where("count > 1").select("block"), "block", "left_semi")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -195,34 +221,28 @@ def _sets_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.binary())], ["block", "class", "shingles"])
 
 
-def block_links(sets: list[np.ndarray], share: Fraction) -> list[tuple[int, int]]:
+def _forest(sets: list[np.ndarray], sizes: np.ndarray, share: Fraction, linked, weight: dict[int, int] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among some sets: row by row of the product of their incidence matrix.
 
-    The matrix is held by columns; a row's overlaps with all others are the counts of
-    its columns' rows. Only rows that are not yet reached are counted.
+    The matrix is held by columns; a row's overlaps with all others are the (weighted)
+    counts of its columns' rows. Only rows that are not yet reached and whose size is
+    within the bound are looked at; ``linked(x, overlaps)`` says which of them link.
     """
     n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    if n == 2:  # the common case, without a matrix
-        small, large = int(sizes.min()), int(sizes.max())
-        if share.denominator * small < share.numerator * large:
-            return []
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if share.denominator * both >= share.numerator * (small + large - both) else []
+    own = np.array([len(s) for s in sets])
     every = np.concatenate(sets)
-    row = np.repeat(np.arange(n), sizes)
+    row = np.repeat(np.arange(n), own)
     order = np.argsort(every, kind="stable")
     every, row = every[order], row[order]
     begin = run_starts(every)
     width = np.diff(np.append(begin, len(every)))
     number = np.empty(len(every), np.int64)  # column of each entry, by rows
     number[order] = np.repeat(np.arange(len(begin)), width)
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    # Entries of each column that still count, as ranges of ``row``; columns of one row never overlap.
-    order_rows = np.argsort(sizes, kind="stable")
+    heavy = np.array([weight[x] for x in every[begin].tolist()]) if weight else None
+    at = np.concatenate([[0], np.cumsum(own)])
     unreached = np.ones(n, bool)
     links: list[tuple[int, int]] = []
-    for seed in order_rows:
+    for seed in np.argsort(sizes, kind="stable"):
         if not unreached[seed]:
             continue
         unreached[seed] = False
@@ -237,19 +257,51 @@ def block_links(sets: list[np.ndarray], share: Fraction) -> list[tuple[int, int]
             ok = unreached & (sizes * share.denominator >= sizes[x] * share.numerator) & (sizes * share.numerator <= sizes[x] * share.denominator)
             if not len(cols) or not ok.any():
                 continue
-            # Largest possible overlap: the row's own columns that any other row has.
-            if len(cols) * share.denominator < share.numerator * sizes[x]:
-                continue
             span = width[cols]
             where = np.repeat(begin[cols] - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
-            both = np.bincount(row[where], minlength=n)
-            hit = np.flatnonzero(ok & (both * share.denominator >= share.numerator * (sizes + sizes[x] - both)))
+            both = np.bincount(row[where], None if heavy is None else np.repeat(heavy[cols], span), minlength=n)
+            hit = np.flatnonzero(ok & linked(x, both))
             unreached[hit] = False
             links += [(x, int(y)) for y in hit]
             frontier += hit.tolist()
     return links
 
 
+def block_links(sets: list[np.ndarray], share: Fraction) -> list[tuple[int, int]]:
+    """A spanning forest of the sets of similarity ``share`` or more."""
+    sizes = np.array([len(s) for s in sets])
+    if len(sets) == 2:  # the common case, without a matrix
+        small, large = int(sizes.min()), int(sizes.max())
+        if share.denominator * small < share.numerator * large:
+            return []
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return [(0, 1)] if share.denominator * both >= share.numerator * (small + large - both) else []
+    return _forest(sets, sizes, share, lambda x, both: both * share.denominator >= share.numerator * (sizes + sizes[x] - both))
+
+
+def _near(share: Fraction):
+    """Rows (block, class, n_shingles, names, counts) sorted by block to links of classes that share enough columns."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in complete_runs(batches, "block", rows=20_000):
+            table = table.combine_chunks()
+            block, cls, size = (table.column(c).to_numpy() for c in ("block", "class", "n_shingles"))
+            names, counts = (table.column(c).combine_chunks() for c in ("names", "counts"))
+            off = names.offsets.to_numpy()
+            name, count = names.values.to_numpy(), counts.values.to_numpy()
+            a, b = [], []
+            for i, j in itertools.pairwise([*run_starts(block), len(block)]):
+                if j - i < 2:
+                    continue
+                least, sizes = _shared_at_least(size[i:j]), size[i:j]
+                part = slice(off[i], off[j])
+                found = _forest([name[off[r]:off[r + 1]] for r in range(i, j)], sizes, share,
+                                lambda x, both: both >= np.minimum(least, least[x]), dict(zip(name[part].tolist(), count[part].tolist(), strict=True)))  # noqa: B023
+                a += [int(cls[i + y]) for _, y in found]
+                b += [int(cls[i + x]) for x, _ in found]
+            yield _pairs(np.array(a, np.int64), np.array(b, np.int64), "a", "b")
+    return run
+
+
 def _links(share: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in complete_runs(batches, "block", rows=4096):
@@ -265,9 +317,13 @@ def _links(share: Fraction):
                 if len(mine) < 2:
                     continue
                 sets = [values[off[i + r]:off[i + r + 1]] for r in first]
+                root = list(range(len(mine)))  # a forest's edges lead away from its seed, so one look back suffices
+                seen = []
                 for x, y in block_links(sets, share):
-                    a.append(int(mine[x]))
-                    b.append(int(mine[y]))
+                    root[y] = root[x]
+                    seen.append(y)
+                a += [int(mine[y]) for y in seen]
+                b += [int(mine[root[y]]) for y in seen]
             yield _pairs(np.array(a, np.int64), np.array(b, np.int64), "a", "b")
     return run
 
@@ -312,21 +368,39 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "
     narrow = narrow.withColumn("text", F.col("text").cast("string"))
     rows = stage(profile(narrow, k), "profile")
     sets = rows.where("kind = 0").select("id", F.col("key").alias("class"), F.col("n").alias("n_shingles"))
-    frequent = rows.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HEAVY).toPandas()
+    counted = stage(rows.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "frequent")
+    frequent = most_frequent(counted, "n", HEAVY).toPandas()  # at most HEAVY rows
     value = frequent["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(value)
     heavy = value[order], frequent["n"].to_numpy(np.int64)[order]
 
-    classes = sets.where("n_shingles > 0").groupBy("class").agg(F.min("id").alias("id"))
+    classes = sets.where("n_shingles > 0").groupBy("class").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n_shingles"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = (columns(narrow, k, share, heavy).repartition(parts, "col").sortWithinPartitions("col", "class")
-              .mapInArrow(_shared, "block long, class long"))
-    members = stage(shared.distinct(), "blocks")
+              .mapInArrow(_shared, "block long, class long, n long"))
+    members = stage(shared.groupBy("block", "class").agg(F.sum("n").alias("n")), "columns")
+    members = stage(_pruned(_pruned(members, classes, share), classes, share), "pruned")
+    # A class's columns, at most its prefix, travel to each of them.
+    lists = members.groupBy("class").agg(F.collect_list(F.struct("block", "n")).alias("own")).select(
+        "class", F.col("own.block").alias("names"), F.col("own.n").alias("counts"))
+    compared = members.join(lists, "class").join(classes.select("class", "n_shingles"), "class").select("block", "class", "n_shingles", "names", "counts")
+    near = components(compared.repartition(parts, "block").sortWithinPartitions("block", "class").mapInArrow(_near(share), "a long, b long"))
+    clusters = stage(near.union(near.select("root", "root").distinct()).toDF("class", "cluster"), "clusters")
+    large = stage(clusters.groupBy("cluster").count().where(F.col("count") > BLOCK_ROWS).select("cluster"), "large")
+    some_large = not large.isEmpty()
+    blocks = clusters.select("class", F.array("cluster").alias("blocks"))
+    if some_large:  # by columns, each a block of its own
+        wide = clusters.join(large, "cluster", "left_semi").select("class")
+        blocks = (clusters.join(large, "cluster", "left_anti").select("class", F.array("cluster").alias("blocks"))
+                  .union(members.join(wide, "class", "left_semi").groupBy("class").agg(F.collect_list("block").alias("blocks"))))
     # A class fetches its set through one document that has it; the smallest id, if there is one.
-    wanted = members.groupBy("class").agg(F.collect_list("block").alias("blocks")).join(classes.where("id is not null"), "class").select("id", "class", "blocks")
+    wanted = blocks.join(classes.where("id is not null"), "class").select("id", "class", "blocks")
     fetched = _fetch(narrow, wanted, k)
     links = fetched.repartition(parts, "block").sortWithinPartitions("block", "class").mapInArrow(_links(share), "a long, b long")
-    roots = components(links)
+    if some_large:
+        roots = components(links)
+    else:  # a block has whole components, and their forests are stars
+        roots = links.toDF("node", "root")
     named = (classes.join(roots, classes["class"] == roots["node"], "left")
              .select("class", "id", F.coalesce("root", "class").alias("root")))
     smallest = named.groupBy("root").agg(F.min("id").alias("component_id"))
