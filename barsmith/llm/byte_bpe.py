@@ -1,23 +1,22 @@
-"""Byte-level BPE encoding and decoding with Spark's own functions.
-
-A text is parted into pieces by the vocabulary's pattern (a Java regular expression
-with Unicode classes). A piece starts as the ids of its bytes; higher-order functions
-fold merges over it: each step takes the adjacent pair whose joined bytes have the
-lowest rank, the leftmost of equals, until no pair has a rank. The ranks of all
-pairs are one literal, an array of small maps indexed by a hash of the pair, so that
-a look-up reads one or two entries. Beside each id the fold carries the rank of its
-pair with the next id; a merge changes two of them.
-
-Words repeat, so distinct words are folded once: pieces are counted over all texts,
-and the ids of the ``WORDS`` most frequent (of at most ``WORD_BYTES`` bytes, which
-bounds the size of the table) become part of the literal. A piece outside the table
-is folded where it stands; the result is the same, only the work differs.
-
-Decoding looks up each id's bytes and concatenates them.
-
-The literal reaches the tasks as a scalar subquery with one row. It is used through
-one reference only (``let``), so that the optimiser merges it into the projection
-and never writes it into a row.
+"""Byte-level BPE encoding and decoding, its merges folded by Spark's higher-order functions.
+
+A text is parted into pieces by the vocabulary's pattern. A piece starts as the ids
+of its bytes; higher-order functions fold merges over it: each step takes the
+adjacent pair whose joined bytes have the lowest rank, the leftmost of equals, until
+no pair has a rank. The ranks of all pairs are one literal, an array of small maps
+indexed by a hash of the pair, so that a look-up reads one or two entries. Beside
+each id the fold carries the rank of its pair with the next id; a merge changes two
+of them. The literal reaches the tasks as a scalar subquery with one row, used
+through one reference only (``let``), so that the optimiser merges it into the
+projection and never writes it into a row.
+
+Words repeat, so distinct words are folded: pieces are counted over all texts, and
+the ``WORDS`` most frequent (of at most ``WORD_BYTES`` bytes, which bounds the table)
+are folded once and broadcast. The pass over the texts then looks pieces up. It is
+Python over Arrow batches: as one native expression, look-ups and folds of the rare
+pieces in place took several times the processor time (README). Rare pieces, a few in
+a hundred, are merged there by the same rule with a heap, so a piece of any length
+takes n log n steps. Decoding joins the bytes of each id, chunk by chunk.
 
 Results for odd input: null and empty texts have no ids; every row stands for
 itself, whatever its id; extra columns are not touched.
@@ -26,18 +25,26 @@ itself, whatever its id; extra columns are not touched.
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable
+import functools
+import hashlib
+import heapq
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barsmith.llm.frames import pick, stage
+from barsmith.llm.frames import most_frequent, pick, stage
 
 #: Frequent words whose ids are looked up, and the most bytes of such a word.
-WORDS, WORD_BYTES = 1 << 18, 64
-_PAIRS, _SINGLES, _TABLE = 131071, 1021, 1 << 17
+WORDS, WORD_BYTES = 1 << 17, 64
+#: Entries of a task's memo of pieces and of chunks (about 200 bytes each); a full memo is emptied.
+MEMO = 800_000
+_PAIRS, _SINGLES = 131071, 1021
 _SHIFT = 1 << 20
 _NONE = 2**31 - 1
 
@@ -60,10 +67,6 @@ def _maps(bucket: np.ndarray, keys: pa.Array, values: pa.Array, size: int) -> pa
     return pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), maps)
 
 
-def _one(values: list, kind: pa.DataType) -> pa.Array:
-    return pa.array([values], pa.list_(kind))
-
-
 def _hashes(spark: SparkSession, values: list[bytes], size: int) -> np.ndarray:
     """Spark's own hash of some values, for tables that its expressions look up."""
     table = pa.table({"i": pa.array(range(len(values)), pa.int32()), "v": pa.array(values, pa.binary())})
@@ -74,7 +77,7 @@ def _hashes(spark: SparkSession, values: list[bytes], size: int) -> np.ndarray:
 
 
 class Vocabulary:
-    """The literal tables of a rank file: byte ids, ranks of pairs, and the bytes and spelling of each id."""
+    """The literal tables of a rank file, ids of bytes and ranks of pairs, for Spark's expressions."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
         ranks = read_ranks(path)
@@ -89,29 +92,20 @@ class Vocabulary:
                     rank.append(i)
         key = np.array(a, np.int64) * _SHIFT + np.array(b, np.int64)
         single = [bytes([x]) for x in range(256)]
-        top = max(ranks.values()) + 1
-        spelled = [""] * top
-        for token, i in ranks.items():
-            spelled[i] = token.hex()
         self.columns = {
             "singles": _maps(_hashes(spark, single, _SINGLES), pa.array(single, pa.binary()), pa.array([ranks[s] for s in single], pa.int32()), _SINGLES),
             "pairs": _maps(key % _PAIRS, pa.array(key), pa.array(rank, pa.int32()), _PAIRS),
-            "id_hex": _one([i.to_bytes(4, "little").hex() for i in range(top)], pa.string()),
-            "token_hex": _one(spelled, pa.string()),
         }
-        self.words = _maps(np.zeros(0, np.int64), pa.array([], pa.binary()), pa.array([], pa.list_(pa.int32())), 1)
-        self.size = 1
 
-    def learn(self, words: list[bytes], ids: list[list[int]], bucket: np.ndarray) -> None:
-        """Take in the ids of frequent words."""
-        self.size = _TABLE
-        self.words = _maps(bucket, pa.array(words, pa.binary()), pa.array(ids, pa.list_(pa.int32())), _TABLE)
+    def over(self, df: DataFrame, keep: list[str], body: Callable[[Column], Column], name: str) -> DataFrame:
+        """Columns ``keep`` of ``df`` and ``name``: ``body`` of a struct that holds the tables.
 
-    def over(self, df: DataFrame, body: Callable[[Column], Column], name: str) -> DataFrame:
-        """``df`` with ``name``: ``body`` of a struct that holds the tables."""
-        table = pa.table({**self.columns, "words": self.words})
+        What ``body`` reads and ``keep`` names must be plain columns: a computed column
+        used in both places would keep the optimiser from merging the two projections.
+        """
+        table = pa.table(self.columns)
         packed = self.spark.createDataFrame(table).select(F.struct(*table.column_names).alias("tables"))
-        return df.withColumn("_tables", packed.scalar()).withColumn(name, let(F.col("_tables"), body)).drop("_tables")
+        return df.withColumn("_tables", packed.scalar()).select(*keep, let(F.col("_tables"), body).alias(name))
 
     def pieces(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(self.pattern), F.lit(0))
@@ -144,49 +138,128 @@ class Vocabulary:
         return let(first, lambda ids: F.when(F.size(ids) < 2, ids).otherwise(
             F.aggregate(F.sequence(F.lit(2), F.size(ids)), start(ids), step, lambda s: s["ids"])))
 
-    def ids_of(self, pieces: Column, tables: Column) -> Column:
-        """Ids of all pieces of a text: from the table of words, else folded in place."""
-        def one(piece: Column) -> Column:
-            return let(piece.cast("binary"), lambda w: F.coalesce(
-                F.get(tables["words"], F.pmod(F.xxhash64(w), F.lit(self.size)).cast("int"))[w], self.fold(w, tables)))
-        return F.flatten(F.transform(pieces, one))
-
 
 def frequent_words(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", words: int = WORDS) -> DataFrame:
-    """The most frequent pieces of all texts with their ids: (word binary, ids array<int>, bucket)."""
-    pieces = docs.select(F.explode(vocabulary.pieces(F.col(text))).alias("piece"))
-    counted = pieces.groupBy("piece").count().where(F.octet_length("piece") <= WORD_BYTES)
-    top = stage(counted.orderBy(F.desc("count"), "piece").limit(words).select(F.col("piece").cast("binary").alias("word")), "words")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = top.repartition(parts, "word")
-    return vocabulary.over(spread, lambda t: vocabulary.fold(F.col("word"), t), "ids").withColumn(
-        "bucket", F.pmod(F.xxhash64("word"), F.lit(_TABLE)).cast("int"))
-
-
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> tuple[DataFrame, Vocabulary]:
-    """(id, ids array<int>) of every text, and the vocabulary for decoding."""
+    """The most frequent pieces of all texts with their ids: (word string, ids array<int>)."""
+    pieces = docs.select(F.explode(vocabulary.pieces(F.col(text))).alias("word"))
+    counted = stage(pieces.groupBy("word").count().where(F.octet_length("word") <= WORD_BYTES), "words")
+    top = most_frequent(counted, "count", words).select("word")
+    spread = top.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+    return vocabulary.over(spread, ["word"], lambda t: vocabulary.fold(F.col("word").cast("binary"), t), "ids")
+
+
+class Coder:
+    """A task's encoder: the broadcast words, and merges of the pieces that are not among them."""
+
+    def __init__(self, path: str, pattern: str, words: dict[str, bytes]):
+        self.ranks = read_ranks(path)
+        self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
+        for token, i in self.ranks.items():
+            self.bytes_of[i] = token
+        self.split = regex.compile(pattern).findall
+        self.words = words
+        self.pieces: dict[str, bytes] = {}
+        self.chunks: dict[str, tuple[bytes, bytes] | None] = {}
+
+    def merge(self, raw: bytes) -> bytes:
+        """Ids of a piece: the pair of lowest rank is joined, the leftmost of equals, while any has a rank."""
+        ranks, n = self.ranks, len(raw)
+        parts: list[bytes | None] = [raw[i:i + 1] for i in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := ranks.get(raw[i:i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] is None or j >= n or ranks.get(parts[i] + parts[j]) != rank:
+                continue  # one of the two has been merged meanwhile
+            parts[i] += parts[j]
+            parts[j] = None
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+                r = ranks.get(parts[i] + parts[after[j]])
+                if r is not None:
+                    heapq.heappush(heap, (r, i))
+            h = before[i]
+            if h >= 0:
+                r = ranks.get(parts[h] + parts[i])
+                if r is not None:
+                    heapq.heappush(heap, (r, h))
+        return np.array([ranks[p] for p in parts if p is not None], "<u4").tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        ids = self.words.get(piece)
+        if ids is None:
+            ids = self.pieces.get(piece)
+            if ids is None:
+                if len(self.pieces) > MEMO:
+                    self.pieces.clear()
+                ids = self.pieces[piece] = self.merge(piece.encode())
+        return ids
+
+    def spelled(self, text: str) -> tuple[bytes, bytes]:
+        """Ids of a text, and the bytes they decode to."""
+        ids = b"".join(map(self.piece, self.split(text)))
+        return ids, b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids and decoded bytes of texts, put together from chunks at single spaces between other characters, where pieces always part."""
+        rows = [t.split(" ") for t in texts]
+        if len(self.chunks) > MEMO:
+            self.chunks.clear()
+        memo = self.chunks
+        for c in set(itertools.chain.from_iterable(r[1:] for r in rows)).difference(memo):
+            memo[c] = self.spelled(" " + c) if c and not c[0].isspace() and not c[-1].isspace() else None
+        out = []
+        for text, row in zip(texts, rows, strict=True):
+            if row[0] and not row[0][-1].isspace():
+                found = [memo[c] for c in row[1:]]
+                if None not in found:
+                    ids, decoded = self.spelled(row[0])
+                    out.append((ids + b"".join([f[0] for f in found]), decoded + b"".join([f[1] for f in found])))
+                    continue  # else there is white space beside a space
+            out.append(self.spelled(text))
+        return out
+
+
+@functools.lru_cache(maxsize=1)
+def _coder(path: str, pattern: str, key: str, words: Broadcast) -> Coder:
+    return Coder(path, pattern, words.value)
+
+
+def _passed(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, words: int, schema: str, row: Callable[[bytes, bytes], tuple],
+            kinds: list[pa.DataType]) -> DataFrame:
+    """One row per document: id and ``row(ids, decoded)``."""
     narrow = pick(docs, id=id_col, text=text_col)
-    vocabulary = Vocabulary(docs.sparkSession, path, pattern)
-    known = frequent_words(narrow, vocabulary, words=words).toArrow()  # at most words * WORD_BYTES bytes, and an id a byte
-    vocabulary.learn(known.column("word").to_pylist(), known.column("ids").to_pylist(), known.column("bucket").to_numpy().astype(np.int64))
-    parted = narrow.select("id", vocabulary.pieces(F.col("text")).alias("pieces"))
-    return vocabulary.over(parted, lambda t: vocabulary.ids_of(F.col("pieces"), t), "ids").select("id", "ids"), vocabulary
+    narrow = narrow.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    spark = docs.sparkSession
+    # At most ``words`` words of WORD_BYTES bytes, and an id a byte.
+    known = frequent_words(narrow, Vocabulary(spark, path, pattern), words=words).toArrow()
+    ids = [np.array(x, "<u4").tobytes() for x in known.column("ids").to_pylist()]
+    sent = spark.sparkContext.broadcast(dict(zip(known.column("word").to_pylist(), ids, strict=True)))
+    key = f"{spark.sparkContext.applicationId}-{sent._jbroadcast.id() if sent._jbroadcast else id(sent)}"
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(path, pattern, key, sent)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                rows = [row(*x) for x in coder.encode(part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))],
+                                                 ["id", *(f.split()[0] for f in schema.split(", "))])
 
-def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """``encoded`` with the bytes of its ids, joined."""
-    return vocabulary.over(encoded, lambda t: F.unhex(F.array_join(F.transform(F.col(ids), lambda i: F.get(t["token_hex"], i)), "")), name)
+    return narrow.mapInArrow(run, f"id {dict(narrow.dtypes)['id']}, {schema}").withColumnRenamed("id", id_col)
 
 
-def byte_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """One row per document: id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers) and decoded_sha256."""
-    encoded, vocabulary = encode(docs, path, pattern, id_col, text_col, words)
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """Every text encoded and decoded: id, ``n_tokens``, ``ids`` (little-endian 32-bit integers) and ``decoded``, the bytes the ids give back."""
+    return _passed(docs, path, pattern, id_col, text_col, words, "n_tokens long, ids binary, decoded binary",
+                   lambda ids, decoded: (len(ids) // 4, ids, decoded), [pa.int64(), pa.binary(), pa.binary()])
 
-    def digests(tables: Column) -> Column:
-        def of(ids: Column) -> Column:
-            spell = lambda field: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(tables[field], i)), ""))
-            return F.struct(F.size(ids).cast("long").alias("n_tokens"), F.sha2(spell("id_hex"), 256).alias("ids_sha256"),
-                            F.sha2(spell("token_hex"), 256).alias("decoded_sha256"))
-        return let(F.col("ids"), of)
 
-    return vocabulary.over(encoded, digests, "d").select(F.col("id").alias(id_col), "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
+def byte_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """One row per document: id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers) and decoded_sha256."""
+    return _passed(docs, path, pattern, id_col, text_col, words, "n_tokens long, ids_sha256 string, decoded_sha256 string",
+                   lambda ids, decoded: (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()),
+                   [pa.int64(), pa.string(), pa.string()])

@@ -243,15 +243,29 @@ def test_bpe_equals_tiktoken(spark, odd, coder, words):
     assert Counter(map(tuple, got)) == Counter((i, *bpe_digests(coder, t)) for i, t in rows)
 
 
-def test_bpe_tables_are_never_written_into_rows(spark, made_docs):
-    plan = byte_bpe.byte_bpe(made_docs, TIKTOKEN, public_tokenizers.PATTERN)._jdf.queryExecution().optimizedPlan().toString()
-    assert "AS _tables" not in plan
-
-
-def test_decoding_gives_the_bytes_back(spark, made_docs, nothing):
-    encoded, vocabulary = byte_bpe.encode(made_docs, TIKTOKEN, public_tokenizers.PATTERN)
-    back = byte_bpe.decode(encoded, vocabulary).join(pick(made_docs, id="doc_id", text="text"), "id")
-    assert back.where("decoded <> cast(coalesce(text, '') as binary)").count() == 0
+def test_folds_and_heap_merges_agree_with_tiktoken(spark, coder):
+    """Spark's fold and the merges of rare pieces, over odd words; the literal is never written into a row."""
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choice("abcdeing thors=é日-") for _ in range(rng.randrange(1, 14))) for _ in range(300)} | {"a" * 500, "\U0001f600"})
+    docs = spark.createDataFrame([(w,) for w in words], "word string").repartition(2)
+    vocabulary = byte_bpe.Vocabulary(spark, TIKTOKEN, public_tokenizers.PATTERN)
+    from pyspark.sql import functions as F
+
+    folded = vocabulary.over(docs, ["word"], lambda t: vocabulary.fold(F.col("word").cast("binary"), t), "ids")
+    assert "AS _tables" not in folded._jdf.queryExecution().optimizedPlan().toString()
+    plain = byte_bpe.Coder(TIKTOKEN, public_tokenizers.PATTERN, {})
+    for r in folded.collect():
+        want = coder._encode_single_piece(r.word)
+        assert r.ids == want
+        assert np.frombuffer(plain.merge(r.word.encode()), "<u4").tolist() == want
+
+
+def test_encoded_ids_and_bytes(spark, made_docs, coder, nothing):
+    encoded = byte_bpe.encode(made_docs, TIKTOKEN, public_tokenizers.PATTERN).join(pick(made_docs, doc_id="doc_id", text="text"), "doc_id")
+    for r in encoded.collect():
+        ids = np.frombuffer(bytes(r.ids), "<u4").tolist()
+        assert ids == coder.encode_ordinary(r.text or "") and r.n_tokens == len(ids)
+        assert bytes(r.decoded) == (r.text or "").encode()
     assert byte_bpe.byte_bpe(nothing, TIKTOKEN, public_tokenizers.PATTERN).collect() == []
 
 
