@@ -16,7 +16,7 @@ are folded once and broadcast. The pass over the texts then looks pieces up. It
 Python over Arrow batches: as one native expression, look-ups and folds of the rare
 pieces in place took several times the processor time (README). Rare pieces, a few in
 a hundred, are merged there by the same rule with a heap, so a piece of any length
-takes n log n steps. Decoding joins the bytes of each id, chunk by chunk.
+takes n log n steps. Decoding joins the bytes of each id.
 
 Results for odd input: null and empty texts have no ids; every row stands for
 itself, whatever its id; extra columns are not touched.
@@ -24,6 +24,7 @@ itself, whatever its id; extra columns are not touched.
 
 from __future__ import annotations
 
+import array
 import base64
 import functools
 import hashlib
@@ -42,8 +43,10 @@ from barsmith.llm.frames import most_frequent, pick, stage
 
 #: Frequent words whose ids are looked up, and the most bytes of such a word.
 WORDS, WORD_BYTES = 1 << 17, 64
-#: Entries of a task's memo of pieces and of chunks (about 200 bytes each); a full memo is emptied.
-MEMO = 800_000
+#: Entries of a task's memos of chunks and of pieces (about 200 bytes each); a full memo is emptied.
+CHUNKS, PIECES = 400_000, 200_000
+#: Bytes of a piece up to which plain lists beat a heap.
+SHORT = 48
 _PAIRS, _SINGLES = 131071, 1021
 _SHIFT = 1 << 20
 _NONE = 2**31 - 1
@@ -159,11 +162,23 @@ class Coder:
         self.split = regex.compile(pattern).findall
         self.words = words
         self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, tuple[bytes, bytes] | None] = {}
+        self.chunks: dict[str, bytes | None] = {}
 
     def merge(self, raw: bytes) -> bytes:
         """Ids of a piece: the pair of lowest rank is joined, the leftmost of equals, while any has a rank."""
         ranks, n = self.ranks, len(raw)
+        if n <= SHORT:
+            few = [raw[i:i + 1] for i in range(n)]
+            pairs = [ranks.get(raw[i:i + 2], _NONE) for i in range(n - 1)]
+            while pairs and (low := min(pairs)) != _NONE:
+                i = pairs.index(low)
+                few[i] += few.pop(i + 1)
+                del pairs[i]
+                if i < len(pairs):
+                    pairs[i] = ranks.get(few[i] + few[i + 1], _NONE)
+                if i:
+                    pairs[i - 1] = ranks.get(few[i - 1] + few[i], _NONE)
+            return array.array("I", [ranks[p] for p in few]).tobytes()
         parts: list[bytes | None] = [raw[i:i + 1] for i in range(n)]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i) for i in range(n - 1) if (r := ranks.get(raw[i:i + 2])) is not None]
@@ -193,35 +208,36 @@ class Coder:
         if ids is None:
             ids = self.pieces.get(piece)
             if ids is None:
-                if len(self.pieces) > MEMO:
+                if len(self.pieces) > PIECES:
                     self.pieces.clear()
                 ids = self.pieces[piece] = self.merge(piece.encode())
         return ids
 
-    def spelled(self, text: str) -> tuple[bytes, bytes]:
-        """Ids of a text, and the bytes they decode to."""
-        ids = b"".join(map(self.piece, self.split(text)))
-        return ids, b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def whole(self, text: str) -> bytes:
+        return b"".join(map(self.piece, self.split(text)))
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids and decoded bytes of texts, put together from chunks at single spaces between other characters, where pieces always part."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts, put together from chunks at single spaces between other characters, where pieces always part."""
         rows = [t.split(" ") for t in texts]
-        if len(self.chunks) > MEMO:
+        if len(self.chunks) > CHUNKS:
             self.chunks.clear()
         memo = self.chunks
         for c in set(itertools.chain.from_iterable(r[1:] for r in rows)).difference(memo):
-            memo[c] = self.spelled(" " + c) if c and not c[0].isspace() and not c[-1].isspace() else None
+            memo[c] = self.whole(" " + c) if c and not c[0].isspace() and not c[-1].isspace() else None
         out = []
         for text, row in zip(texts, rows, strict=True):
             if row[0] and not row[0][-1].isspace():
-                found = [memo[c] for c in row[1:]]
-                if None not in found:
-                    ids, decoded = self.spelled(row[0])
-                    out.append((ids + b"".join([f[0] for f in found]), decoded + b"".join([f[1] for f in found])))
-                    continue  # else there is white space beside a space
-            out.append(self.spelled(text))
+                try:
+                    out.append(self.whole(row[0]) + b"".join([memo[c] for c in row[1:]]))
+                    continue
+                except TypeError:  # white space beside a space
+                    pass
+            out.append(self.whole(text))
         return out
 
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
 
 @functools.lru_cache(maxsize=1)
 def _coder(path: str, pattern: str, key: str, words: Broadcast) -> Coder:
@@ -245,7 +261,7 @@ def _passed(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows = [row(*x) for x in coder.encode(part.column(1).to_pylist())]
+                rows = [row(x, coder.decode(x)) for x in coder.encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))],
                                                  ["id", *(f.split()[0] for f in schema.split(", "))])
 
