@@ -264,6 +264,8 @@ def _passed(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str
                 rows = [row(x, coder.decode(x)) for x in coder.encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))],
                                                  ["id", *(f.split()[0] for f in schema.split(", "))])
+        coder.chunks.clear()  # the worker lives on in stages that need the memory
+        coder.pieces.clear()
 
     return narrow.mapInArrow(run, f"id {dict(narrow.dtypes)['id']}, {schema}").withColumnRenamed("id", id_col)
 
