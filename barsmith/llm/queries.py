@@ -24,7 +24,7 @@ def op1_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures and the verdict of the compression bands."""
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), bands=quality_rules.CLEAN)
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

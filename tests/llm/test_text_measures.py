@@ -1,5 +1,6 @@
 """Words, token counts, quality rules, licence scan and token files."""
 
+import base64
 import random
 import struct
 import zlib
@@ -108,6 +109,27 @@ def test_compression_bands_by_length(spark, odd, nothing):
     assert kept.columns == odd.columns and all(r.text for r in kept.collect())
 
 
+def test_fitted_bands_reject_junk_and_keep_clean_rows(spark):
+    rng = random.Random(8)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
+    rows = [(r.quality, r.text) for r in docs.collect()]
+    measured = quality_rules.measure(pa.array([t for _, t in rows], pa.string()))
+    clean = [(t, k) for (q, t), k, f in zip(rows, measured["kept"], measured["base_failed"], strict=True) if q == 1 and not f]
+    junk = [k for (q, t), k, f in zip(rows, measured["kept"], measured["base_failed"], strict=True) if q == 0 and not f and len(t) >= 1024]
+    assert sum(k for _, k in clean) >= 0.99 * len(clean) > 100
+    assert sum(junk) <= 0.1 * len(junk) and len(junk) > 5
+
+    def cut(raw, size):
+        return b" ".join(raw[i:i + 8] for i in range(0, size, 8))[:size].decode()
+
+    planted = [cut(base64.b64encode(rng.randbytes(n)), n) for n in (256, 419, 839, 2000, 9000)]
+    planted += [cut(rng.randbytes(n).hex().encode(), n) for n in (256, 512, 839, 2000, 9000)]
+    long = [t for t, k in clean if k and 6000 <= len(t.encode()) <= 12_000]
+    planted += [t[:3000] + " " + cut(base64.b64encode(rng.randbytes(2000)), 2000) + " " + t[3000:] for t in long]
+    planted += [" ".join(w + rng.choice(["%%%", "&&&", "***", "$$$", "###"]) for w in t.split()[:300]) for t in long]
+    assert len(long) > 2 and not any(quality_rules.measure(pa.array(planted, pa.string()))["kept"])
+
+
 @pytest.mark.parametrize(("text", "want"), [
     ("Released under the MIT License.", ["MIT"]),
     ("Licensed under the Apache License, Version 2.0.", ["Apache-2.0"]),
