@@ -4,16 +4,20 @@ The model is that of Brown and others: each word belongs to one class, and
 
     P(w | v) = P(class(w) | class(v)) * P(w | class(w)).
 
-Classes. The ``CLUSTERED`` most frequent training words are put into ``CLASSES``
-classes by the exchange algorithm: starting from a split by frequency, every word
-in turn moves to the class in which the class bigrams of the training corpus are
-likeliest, until a sweep moves few words or ``SWEEPS`` are done. Its input is the
-table of bigram counts of these words over all training texts, at most
-(CLUSTERED + shapes)^2 numbers, so the search runs on the driver. All other words,
-also those never seen, belong to a class by their shape (length, first character,
-last character): a rare word says too little about its neighbours to be moved, and
-a shape needs no table, so a class exists for any word of any corpus. Begin and end
-of a text are classes of their own.
+Classes. Every training word is clustered by its neighbours, in two parts. The
+``CLUSTERED`` most frequent words are the seed: the exchange algorithm starts from a
+split by frequency, and every word in turn moves to the class in which the class
+bigrams are likeliest, until a sweep moves few words or ``SWEEPS`` are done. Its input
+is their table of bigram counts over all training texts, at most (CLUSTERED + shapes)^2
+numbers, so it runs on the driver; the other words stand in it as shapes (length,
+first and last character). Then come ``ROUNDS`` sweeps over all other training words,
+down to those seen once: a word's left and right class counts over the corpus are
+gathered by word, and it moves to the class where the same likelihood gains most. A
+sweep's words move in batches on the executors against the class totals of the sweep
+before, which are all that is broadcast; the seed keeps its classes, and a word beside
+itself counts as beside its old class. A word never seen in training takes the class
+that holds the most training words of its shape, so a class exists for any word of any
+corpus. Begin and end of a text are classes of their own.
 
 Smoothing. Class transitions are interpolated with the class unigram by the
 Witten-Bell weight of the left class; a word in its class has (c + 0.5) over
@@ -23,9 +27,9 @@ more word for all words never seen, so both factors sum to one.
 Spark's part. Words are 64-bit hashes. Documents are dealt to blocks by a hash of
 the id. Each block counts its words once, so a frequent word is one row a block, not
 one an occurrence; counts are summed over blocks by word and go back to the blocks
-that have the word. Scoring joins each block with its own words, so no table of all
-words is ever held by one task or by the driver; vocabulary size and totals are
-aggregates. What is broadcast is fixed in size by CLUSTERED and CLASSES.
+that have the word, with its class. Sweeps and scoring join each block with its own
+words, so no table of all words is ever held by one task or by the driver; vocabulary
+size and totals are aggregates. What is broadcast is fixed in size by CLUSTERED and CLASSES.
 
 Results for odd input: a null or empty text has the end token alone; a null id takes
 part as the text '' in the held-out rule; every row is scored by itself. If nothing
@@ -45,8 +49,8 @@ from pyspark.sql import functions as F
 from barsmith.llm import words as W
 from barsmith.llm.frames import block_count, complete_runs, pick, run_starts, stage
 
-#: Words that the exchange moves, classes they go to, and the most sweeps over them.
-CLUSTERED, CLASSES, SWEEPS = 1000, 48, 5
+#: Words of the seed, classes, the most sweeps over the seed, and the sweeps over all other words.
+CLUSTERED, CLASSES, SWEEPS, ROUNDS = 1000, 48, 5, 2
 #: Held out: crc32 of the id as text leaves this remainder by FOLDS.
 FOLDS, HELD_OUT = 5, 1
 #: The end of a text as a word (no word hashes to it but by chance), and shapes of words.
@@ -133,9 +137,8 @@ def _sum_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """What scoring needs; every array is of a size fixed by the parameters."""
 
-    top: np.ndarray  # hashes of the clustered words, ascending
-    symbol: np.ndarray  # their symbols: 0 begin, 1 end, 2.. shapes, then the clustered words
-    class_of: np.ndarray  # class of each symbol
+    n_open: int  # classes of words: 2 to n_open + 1, after begin and end
+    shape_class: np.ndarray  # class of a word never seen, by the class before it and its shape
     log_next: np.ndarray  # log10 P(class | class before)
     log_all: np.ndarray  # log10 of (class count + 0.5 * (its words + 1))
     total: int
@@ -182,6 +185,10 @@ def _count_pairs(top: np.ndarray, symbol: np.ndarray, n_symbols: int):
     return run
 
 
+def nlogn(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
+
+
 def exchange(pairs: np.ndarray, n: np.ndarray, n_symbols: int, first: int, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """Class of each symbol. Symbols below ``first`` keep a class of their own; the others are moved.
 
@@ -189,9 +196,6 @@ def exchange(pairs: np.ndarray, n: np.ndarray, n_symbols: int, first: int, class
     n log n, the likelihood of the class bigrams. Counts of a word with each class
     are dense rows, so a move is tried against all classes at once.
     """
-    def nlogn(x: np.ndarray) -> np.ndarray:
-        return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
-
     m = max(0, n_symbols - first)
     n_classes = first + min(classes, m) if m else first
     class_of = np.arange(n_symbols)
@@ -246,41 +250,188 @@ def exchange(pairs: np.ndarray, n: np.ndarray, n_symbols: int, first: int, class
     return class_of
 
 
-def fit(docs: DataFrame, known: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES) -> Model:
-    """The model of the training texts of ``docs`` (text, block, held_out), with the counted words of ``known``."""
-    once = known.where("one and count > 0")
-    end = int(END)
-    best = once.where(F.col("word") != end).orderBy(F.desc("count"), "word").limit(clustered).select("word").toPandas()["word"].to_numpy(np.int64)
+_CLASSED = "block int, word long, shape int, count long, one boolean, cls int, fixed boolean"
+_CODE = 16  # bits of a context's code beside its count
+
+
+def _with_seed(top: np.ndarray, cls: np.ndarray, n_open: int):
+    """Rows of the vocabulary with ``cls``: that of the seed, or the word's shape above the open classes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, shape = batch.column("word").to_numpy().view(np.uint64), batch.column("shape").to_numpy()
+            out, fixed = 2 + n_open + shape, word == END
+            if len(top):
+                at = np.minimum(np.searchsorted(top, word), len(top) - 1)
+                fixed = fixed | (top[at] == word)
+                out = np.where(fixed, cls[at], out)
+            out = np.where(word == END, 1, out)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("block", "word", "shape", "count", "one")), pa.array(out.astype(np.int32)), pa.array(fixed)],
+                                             ["block", "word", "shape", "count", "one", "cls", "fixed"])
+    return run
+
+
+def _numbered(docs: pa.Table, classed: pa.Table) -> tuple[pa.Table, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """The block's words by hash, and for slices of its texts the words' numbers there (ends included) with the row ranges."""
+    classed = classed.take(pa.array(np.argsort(classed.column("word").to_numpy().view(np.uint64)))).combine_chunks()
+    word = classed.column("word").to_numpy().view(np.uint64)
+
+    def texts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _, words, shape in tokens(docs.column("text")):
+            hashes, _, rows = _with_ends(words, shape)
+            yield np.searchsorted(word, hashes), rows
+    return classed, texts()
+
+
+def _before(cls: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    out = np.concatenate([[0], cls[:-1]])
+    out[rows[:-1]] = 0
+    return out
+
+
+def _contexts(n_classes: int):
+    """Per word of a block the counts of the classes before it (code c) and after it (code n_classes + c)."""
+    def run(docs: pa.Table, classed: pa.Table) -> pa.Table:
+        classed, texts = _numbered(docs, classed)
+        cls, free = classed.column("cls").to_numpy().astype(np.int64), ~classed.column("fixed").to_numpy(zero_copy_only=False)
+        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at, rows in texts:
+            c = cls[at]
+            after = np.append(c[1:], 0)
+            mine = free[at]
+            key = at * (2 * n_classes)
+            key, n = np.unique(np.concatenate([(key + _before(c, rows))[mine], (key + n_classes + after)[mine]]), return_counts=True)
+            keys.append(key)
+            counts.append(n)
+        key, (n,), _ = _summed(np.concatenate(keys), np.concatenate(counts))
+        ends = np.searchsorted(key // (2 * n_classes), np.arange(classed.num_rows), "right")
+        offsets = pa.array((np.append(0, ends) * 8).astype(np.int32))
+        packed = (key % (2 * n_classes)) | (n << _CODE)
+        context = pa.BinaryArray.from_buffers(pa.binary(), classed.num_rows, [None, offsets.buffers()[1], pa.py_buffer(packed.astype(np.int64).tobytes())])
+        return classed.select([x.split()[0] for x in _CLASSED.split(", ")]).append_column("context", context)
+    return run
+
+
+def best_classes(word: np.ndarray, code: np.ndarray, n: np.ndarray, cls: np.ndarray, totals: np.ndarray, n_open: int) -> np.ndarray:
+    """For each word the open class in which the class bigrams gain most.
+
+    ``word`` (ascending), ``code`` and ``n`` are the words' contexts, ``cls`` their present classes, ``totals`` the
+    class bigrams; a word's own counts are taken out of its present class first.
+    """
+    n_classes, open_ = len(totals), np.arange(2, 2 + n_open)
+    # Row c: counts of each open class after class c; row n_classes + c: before it.
+    table = np.concatenate([totals[:, open_], totals[open_].T])
+    gain = np.zeros((len(cls), n_open))
+    own = np.zeros((len(cls), 2))
+    np.add.at(own, (word, code // n_classes), n)
+    for at in range(0, len(word), 20_000):
+        w, k, m = (x[at:at + 20_000] for x in (word, code, n))
+        have = table[k] - np.where(cls[w][:, None] == open_, m[:, None], 0)
+        begin = run_starts(w)
+        np.add.at(gain, w[begin], np.add.reduceat(nlogn(have + m[:, None]) - nlogn(have), begin))
+    for side, margin in ((0, totals.sum(0)), (1, totals.sum(1))):
+        mine = own[:, side][:, None]
+        have = margin[open_] - np.where(cls[:, None] == open_, mine, 0)
+        gain -= nlogn(have + mine) - nlogn(have)
+    return 2 + gain.argmax(1)
+
+
+def _move(totals: np.ndarray, n_open: int):
+    """Rows sorted by word to the same rows with the word's new class; fixed words and words not in training keep theirs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in complete_runs(batches, "word"):
+            table = table.combine_chunks()
+            words, cls, count = (table.column(c).to_numpy() for c in ("word", "cls", "count"))
+            begin = run_starts(words)
+            of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(words))))
+            data, off = W.buffers(table.column("context"))
+            packed = np.frombuffer(data[off[0]:off[-1]].tobytes(), np.int64)
+            key = (np.repeat(of, np.diff(off) // 8) << _CODE) | (packed & ((1 << _CODE) - 1))
+            key, (n,), _ = _summed(key, packed >> _CODE)
+            new = best_classes(key >> _CODE, key & ((1 << _CODE) - 1), n, cls[begin], totals, n_open)
+            stay = table.column("fixed").to_numpy(zero_copy_only=False) | (count == 0)
+            out = pa.array(np.where(stay, cls, new[of]).astype(np.int32))
+            yield from table.drop_columns(["context"]).set_column(5, "cls", out).to_batches()
+    return run
+
+
+def _class_pairs(n_classes: int):
+    def run(docs: pa.Table, classed: pa.Table) -> pa.Table:
+        classed, texts = _numbered(docs, classed)
+        cls = classed.column("cls").to_numpy().astype(np.int64)
+        total = np.zeros(n_classes * n_classes, np.int64)
+        for at, rows in texts:
+            key, n = np.unique(_before(cls[at], rows) * n_classes + cls[at], return_counts=True)
+            total[key] += n
+        key = np.flatnonzero(total)
+        return pa.Table.from_arrays([pa.array(key), pa.array(total[key])], ["pair", "n"])
+    return run
+
+
+def _totals(pairs: DataFrame, n_classes: int) -> np.ndarray:
+    """Class bigram counts, at most ``n_classes`` squared rows."""
+    rows = pairs.groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(n_classes * n_classes)
+    out[rows["pair"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    return out.reshape(n_classes, n_classes)
+
+
+def cluster(docs: DataFrame, known: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray, int]:
+    """The words of ``known`` with the class of each, the class bigram counts, and the number of open classes.
+
+    Class 0 is begin, 1 end, 2 to n_open + 1 hold the training words, those above are shapes of words not in training.
+    """
+    train = docs.where("not held_out").select("text", "block")
+    best = known.where(f"one and count > 0 and word != {int(END)}").orderBy(F.desc("count"), "word").limit(clustered).select("word").toPandas()["word"].to_numpy(np.int64)
     first = 2 + N_SHAPES
     top = best.view(np.uint64)
     symbol = first + np.arange(len(top))
     order = np.argsort(top)
     top, symbol = top[order], symbol[order]
     n_symbols = first + len(top)
-    pairs = (docs.where("not held_out").select("text").mapInArrow(_count_pairs(top, symbol, n_symbols), "pair long, n long")
+    pairs = (train.select("text").mapInArrow(_count_pairs(top, symbol, n_symbols), "pair long, n long")
              .groupBy("pair").agg(F.sum("n").alias("n")).toPandas())  # at most n_symbols squared rows
     pair, n = pairs["pair"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64)
     class_of = exchange(pair, n, n_symbols, first, classes)
-    n_classes = int(class_of.max()) + 1
-    table = np.zeros((n_classes, n_classes))
-    np.add.at(table, (class_of[pair // n_symbols], class_of[pair % n_symbols]), n)
+    n_open = int(class_of.max()) + 1 - first
+    n_classes = 2 + n_open + N_SHAPES
+    class_of = np.where(class_of < 2, class_of, np.where(class_of < first, class_of + n_open, class_of - N_SHAPES))
+    totals = np.zeros((n_classes, n_classes))
+    np.add.at(totals, (class_of[pair // n_symbols], class_of[pair % n_symbols]), n)
+    classed = known.mapInArrow(_with_seed(top, class_of[symbol], n_open), _CLASSED)
+    if not n_open:
+        return classed, totals, 0
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for _ in range(rounds):
+        contexts = train.groupBy("block").cogroup(classed.groupBy("block")).applyInArrow(_contexts(n_classes), f"{_CLASSED}, context binary")
+        classed = stage(contexts.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(_move(totals, n_open), _CLASSED), "classes")
+        found = train.groupBy("block").cogroup(classed.groupBy("block")).applyInArrow(_class_pairs(n_classes), "pair long, n long")
+        totals = _totals(found, n_classes)
+    return classed, totals, n_open
+
+
+def fit(classed: DataFrame, table: np.ndarray, n_open: int) -> Model:
+    """The model of the class bigram counts ``table`` and the classed words."""
+    if n_open:  # all training words are in open classes
+        table = table[:2 + n_open, :2 + n_open]
+    n_classes = len(table)
     left, count = table.sum(1), table.sum(0)
     total = float(count.sum())
     base = (count + 0.5) / (total + 0.5 * n_classes)
     followers = (table > 0).sum(1)
     weight = np.where(left > 0, left / np.maximum(left + followers, 1), 0.0)
     nxt = weight[:, None] * table / np.maximum(left, 1)[:, None] + (1 - weight)[:, None] * base
-    # Training words of each class: one row a word, counted by shape unless the word is clustered.
-    by_shape = once.where(F.col("word") != end).groupBy("shape").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    # Training words by shape and class: one row a word.
+    once = classed.where("one and count > 0")
+    kinds = once.groupBy("shape", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("total")).toPandas()
+    shape, cls, n = (kinds[c].to_numpy(np.int64) for c in ("shape", "cls", "n"))
     types = np.zeros(n_classes)
-    types[1] = 1
-    np.add.at(types, by_shape["shape"].to_numpy(np.int64) + 2, by_shape["n"].to_numpy(np.int64))
-    if len(best):
-        shape_of = {r.word: r["shape"] for r in once.where(F.col("word").isin(*best.tolist())).select("word", "shape").collect()}  # clustered words only
-        np.add.at(types, np.array([shape_of[w] for w in best.tolist()]) + 2, -1)
-        np.add.at(types, class_of[symbol], 1)
-    totals = once.agg(F.sum("count"), F.count(F.lit(1))).first()
-    return Model(top, symbol, class_of, np.log10(nxt), np.log10(count + 0.5 * (types + 1)), int(totals[0] or 0), int(totals[1]))
+    np.add.at(types, cls, n)
+    by_shape = np.zeros((N_SHAPES, n_classes))
+    np.add.at(by_shape, (shape, cls), n)
+    by_shape[:, :2] = 0
+    by_shape = np.where(by_shape.any(1)[:, None], by_shape, by_shape.sum(0))
+    shape_class = (nxt[:, None] * by_shape).argmax(2) if n_open else np.tile(2 + np.arange(N_SHAPES), (n_classes, 1))
+    return Model(n_open, shape_class, np.log10(nxt), np.log10(count + 0.5 * (types + 1)), int(kinds["total"].sum()), int(n.sum()))
 
 
 def _score(sent, id_type: pa.DataType):
@@ -289,17 +440,20 @@ def _score(sent, id_type: pa.DataType):
         docs = docs.combine_chunks()
         word = known.column("word").to_numpy().view(np.uint64)
         order = np.argsort(word)
-        word, count = word[order], known.column("count").to_numpy()[order]
+        word, count, cls_of = word[order], known.column("count").to_numpy()[order], known.column("cls").to_numpy()[order].astype(np.int64)
+        shapes_from, by_shape = 2 + model.n_open, model.shape_class.tolist()
         base_all = np.log10(model.total + 0.5 * (model.distinct + 1))
         n_tokens, n_known, base, score = [], [], [], []
         for _, words, shape in tokens(docs.column("text")):
-            hashes, shapes, rows = _with_ends(words, shape)
-            c = count[np.searchsorted(word, hashes)]  # a block knows all its words
+            hashes, _, rows = _with_ends(words, shape)
+            at = np.searchsorted(word, hashes)  # a block knows all its words
+            c, cls = count[at], cls_of[at]
+            start = np.zeros(len(cls), bool)
+            start[rows[:-1]] = True
+            for i in np.flatnonzero(cls >= shapes_from).tolist():  # in order, as the class before may be one of these
+                cls[i] = by_shape[0 if start[i] else cls[i - 1]][cls[i] - shapes_from]
             log_c = np.log10(c + 0.5)
-            cls = model.class_of[symbols(hashes, shapes, model.top, model.symbol)]
-            before = np.concatenate([[0], cls[:-1]])
-            before[rows[:-1]] = 0
-            model_log = model.log_next[before, cls] + log_c - model.log_all[cls]
+            model_log = model.log_next[_before(cls, rows), cls] + log_c - model.log_all[cls]
             begin = rows[:-1]
             n_tokens.append(np.diff(rows))
             n_known.append(np.add.reduceat((c > 0).astype(np.int64), begin))
@@ -324,12 +478,13 @@ def class_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cl
     counted = dealt.repartition("block").select("text", "block", "held_out").mapInArrow(_count_words, "word long, block int, shape int, n long")
     known = stage(counted.repartition(parts, "word").sortWithinPartitions("word")
                   .mapInArrow(_sum_words, "block int, word long, shape int, count long, one boolean"), "vocabulary")
-    model = fit(dealt, known, clustered, classes)
+    classed, totals, n_open = cluster(dealt, known, clustered, classes)
+    model = fit(classed, totals, n_open)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(narrow.dtypes)["id"]
     from pyspark.sql.pandas.types import to_arrow_type
 
-    out = dealt.groupBy("block").cogroup(known.select("block", "word", "count").groupBy("block")).applyInArrow(
+    out = dealt.groupBy("block").cogroup(classed.select("block", "word", "count", "cls").groupBy("block")).applyInArrow(
         _score(sent, to_arrow_type(narrow.schema["id"].dataType)),
         f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)

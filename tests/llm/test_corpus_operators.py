@@ -17,6 +17,7 @@ import tiktoken
 import brute
 import corpus_pipeline
 from barsmith.llm import byte_bpe, class_lm, decontaminate, html_text, jaccard_join, quality_rules, substring_dedup
+from barsmith.llm import words as W
 from barsmith.llm.frames import pick
 
 SMALL = "/root/testdata/sf0.001"
@@ -199,6 +200,30 @@ def test_exchange_finds_the_planted_classes():
     assert class_of[left[0]] != class_of[right[0]]
 
 
+def test_words_outside_the_seed_get_the_class_of_their_neighbours(spark):
+    rng = random.Random(9)
+    first, second = ([f"{a}word{i:02d}" for i in range(40)] for a in "xy")  # one shape, each word rare
+    rows = [(i, " ".join(f"p {rng.choice(['often', rng.choice(first)])} q r {rng.choice(['usual', rng.choice(second)])} s" for _ in range(6))) for i in range(60)]
+    seen = {}
+    original = class_lm.cluster
+
+    def cluster(*a, **b):
+        seen["out"] = original(*a, **b)
+        return seen["out"]
+
+    class_lm.cluster = cluster
+    try:
+        class_lm.class_lm(spark.createDataFrame(rows, "doc_id long, text string"), clustered=6, classes=6, blocks=3).collect()
+    finally:
+        class_lm.cluster = original
+    classed, totals, n_open = seen["out"]
+    class_of = {r.word: r.cls for r in classed.where("one and count > 0").collect()}
+    word = {w: int(W.find(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), lower=True).hash[:1].view(np.int64)[0]) for w in first + second}
+    a, b = ({class_of[word[w]] for w in ws if word[w] in class_of} for ws in (first, second))
+    assert len(a) == len(b) == 1 and a != b and 2 <= min(a | b) and max(a | b) < 2 + n_open
+    assert totals[2 + n_open:].sum() == 0  # no training word is left in a class by shape
+
+
 def test_transitions_and_emissions_sum_to_one(spark):
     docs = spark.createDataFrame([(i, f"a b c a d{i % 3}") for i in range(30)], "doc_id long, text string")
     seen = {}
