@@ -21,8 +21,7 @@ earlier: in a document with a smaller id, or before in the same document.
    a common line. The first of equal windows by (id, place) stays.
 4. Cut. Verdicts go back to the block of their document.
 
-Windows are compared by 64 bits of their phrase and 32 of their own words
-(64 within a block).
+Windows that share a phrase are compared by 64 bits of their own words.
 
 Ids must be integers. Results for odd input: a null text has no words; a null id
 comes before all others; rows that share an id are taken as successive parts of one
@@ -227,8 +226,8 @@ def _judge_block(docs: pa.Table, known: pa.Table) -> pa.Table:
             sent = pa.array([b""] * len(begin), pa.binary())
         else:
             key = key[mine][begin]
-            ends = pa.array((np.append(begin, len(r)) * 4).astype(np.int32))
-            sent = pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, ends.buffers()[1], pa.py_buffer(hash_[mine].astype(np.uint32).tobytes())])
+            ends = pa.array((np.append(begin, len(r)) * 8).astype(np.int32))
+            sent = pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, ends.buffers()[1], pa.py_buffer(hash_[mine].tobytes())])
         return pa.Table.from_arrays([pa.array(np.full(len(begin), block, np.int32)), pa.array(key.view(np.int64)), pa.array(ids[r0]), pa.array(begins),
                                      pa.array(mask.astype(np.int32)), sent], schema=schema)
 
@@ -246,7 +245,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.where(sent, 0, mask).astype(np.int64)
         live = sent[row]
         row, bit = row[live], bit[live]
-        windows = np.frombuffer(data[off[0]:off[-1]].tobytes(), np.uint32)
+        windows = np.frombuffer(data[off[0]:off[-1]].tobytes(), np.uint64)
         order = np.lexsort((start[row] + bit, ids[row], windows, key[row]))
         k, w = key[row][order], windows[order]
         again = np.zeros(len(order), bool)

@@ -98,6 +98,20 @@ def test_substring_dedup_against_all_windows(made_docs, made, monkeypatch):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(made_docs, blocks=3).collect()} == want
 
 
+def test_windows_that_share_32_bits_stay_apart():
+    import pyarrow as pa
+
+    def judge(*hashes):
+        n = len(hashes)
+        batch = pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array([5] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int64()),
+                                            pa.array([1] * n, pa.int32()), pa.array([np.uint64(h).tobytes() for h in hashes], pa.binary())],
+                                           ["block", "key", "id", "start", "mask", "windows"])
+        return [i for part in substring_dedup._judge([batch]) for i in part.column(1).to_pylist()]
+
+    assert judge(7, 7 + (1 << 40), 7 + (1 << 63)) == []
+    assert judge(7, 7 + (1 << 40), 7) == [2]
+
+
 def test_substring_dedup_of_odd_rows(odd, nothing):
     rows = substring_dedup.substring_dedup(odd).collect()
     assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in odd.collect())
