@@ -81,9 +81,9 @@ LICENCES = (
     (("cc-by-nc-sa-*",), "CC-BY-NC-SA-*"), (("cc-by-nc-nd-*",), "CC-BY-NC-ND-*"), (("cc-by-nc-*",), "CC-BY-NC-*"), (("cc-by-sa-*",), "CC-BY-SA-*"),
     (("cc-by-nd-*",), "CC-BY-ND-*"), (("cc-by-*",), "CC-BY-*"), (("cc0",), "CC0-1.0"), (("spdx-*",), "*"), (("public-domain",), "public-domain"),
 )
-#: No sentence pattern can match a text without one of these.
-_HINT = re.compile(r"licen[sc]e|gnu|apache|mozilla|permi|redistribut|warranty|public domain|rights reserved|creative commons|\bcc\b|\bcc0|later version|neither (?:the )?name|provided by|above copyright|\bbsd\b", re.I)
-_CUT = re.compile(r"\n\s*\n|(?<=[.;:])(?<!identifier:)(?=\s)|\n(?=\s*(?:[*#/-]|\d+[.)]|spdx|licen[sc]ed|released|this work|copyright))", re.I)
+#: No sentence pattern can match a text without one of these; single words, as line breaks and marks may part any two.
+_HINT = re.compile(r"licen[sc]e|gnu|apache|mozilla|permission|redistribut|warranty|domain|reserved|creative|(?-i:[Cc][Cc](?:0|[^A-Za-z0-9]))|later|neither|provided|copyright|bsd", re.I)
+_CUT = re.compile(r"\n\s*\n|(?<=[.;:])(?<!identifier:)(?=\s)|(?<!version)\n(?=\s*(?:[*#/-]|\d+[.)]\s|spdx|licen[sc]ed|released|this work|copyright(?!\s+notice)))", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 #: A tag names its licence itself.
 _TAG = re.compile(r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)", re.I)

@@ -156,6 +156,36 @@ def test_sequences_use_up_their_sentences():
     assert license_scan.match(["mit-grant", "gpl-2", "mit-notice", "mit-warranty"]) == ["MIT", "GPL-2-only"]
 
 
+KNOWN = [
+    *(f"GNU {kind} Public License version 3 or any later version" for kind in ("Lesser General", "Affero General", "General")),
+    *(f"GNU {kind} Public License version 2" for kind in ("Lesser General", "Affero General", "General")),
+    *(f"GNU {kind} Public License" for kind in ("Lesser General", "Affero General", "General")),
+    "version 2 of the License or at your option any later version", "any later version", "Apache License Version 2.0", "Apache License 2.0", "Mozilla Public License v 2.0",
+    "Eclipse Public License version 2.0", "Permission is hereby granted free of charge to any person obtaining a copy of this software",
+    "The above copyright notice and this permission notice shall be included in all copies", "The software is provided as is without warranty of any kind",
+    "under the terms of the MIT License", "Permission to use copy modify and or distribute this software for any purpose",
+    "Redistribution and use in source and binary forms with or without modification are permitted", "Redistributions of source code must retain the above copyright notice",
+    "Redistributions in binary form must reproduce the above copyright notice", "Neither the name of it may be used to endorse or promote products",
+    "This software is provided by us as is", "Simplified BSD", "Modified BSD", "two clause BSD",
+    *(f"Creative Commons Attribution {kind}4.0" for kind in ("NonCommercial ShareAlike ", "NonCommercial NoDerivatives ", "NonCommercial ", "ShareAlike ", "NoDerivatives ", "")),
+    "CC BY 4.0", "CC BY SA 4.0", "Creative Commons Zero", "released into the public domain", "All rights reserved",
+]
+
+
+@pytest.mark.parametrize("gap", ["\n", "  ", "\n    ", "\t", " \r\n"])
+def test_known_sentences_broken_across_lines(gap):
+    names = set()
+    for phrase in KNOWN:
+        want = license_scan.licences_of(phrase)
+        assert want[0] and license_scan.licences_of(phrase.replace(" ", gap)) == want, phrase
+        for at in range(phrase.count(" ")):
+            words = phrase.split(" ")
+            assert license_scan.licences_of(" ".join(words[:at + 1]) + gap + " ".join(words[at + 1:])) == want, (phrase, at)
+        names.update(license_scan.identify(phrase) and [next(n for p, n in license_scan.SENTENCES if p.search(license_scan.normalised(phrase)))])
+    assert names | {"cc0"} == {n for _, n in license_scan.SENTENCES}
+    assert license_scan.licences_of("CC_BY_4.0")[0] == ["cc-by-4.0"] and license_scan.licences_of("CC0")[0] == ["cc0"]
+
+
 def test_license_scan_rows(odd, nothing):
     assert license_scan.license_scan(odd).count() == odd.count()
     assert license_scan.license_scan(nothing).collect() == []
