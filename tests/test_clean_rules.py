@@ -157,7 +157,7 @@ def test_bad_cells_become_null(spark):
 
 def test_split_series_match_whole(spark):
     from barsmith.plans.fixtures import raw_bars
-    from conftest import SF_SMALL
+    from sf_paths import SF_SMALL
     rb = raw_bars(spark, SF_SMALL)
     a = clean_bars(rb).clean()
     b = clean_bars(rb, max_series_rows=10).clean()
@@ -198,7 +198,7 @@ def test_lag_carries_over_empty_segments(spark):
 
 def test_mixed_hot_and_cold_series(spark):
     from barsmith.plans.fixtures import raw_bars
-    from conftest import SF_SMALL
+    from sf_paths import SF_SMALL
     rb = raw_bars(spark, SF_SMALL)
     sizes = sorted(r["n"] for r in rb.groupBy("src").agg(F.count("*").alias("n")).collect())
     threshold = sizes[len(sizes) // 2]  # about half the series count as hot

@@ -3,7 +3,7 @@
 import re
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 
 def _plan(df) -> str:

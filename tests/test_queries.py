@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from barsmith.plans.catalog import QUERIES, SQL
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
