@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barsmith.llm import arrow_tokens, byte_bpe, class_lm, decontaminate, html_text, jaccard_join, license_scan, quality_rules, substring_dedup, token_counts
+from barsmith.llm import arrow_tokens, byte_bpe, class_lm, conversations, decontaminate, html_text, jaccard_join, license_scan, merkle, quality_rules, substring_dedup, token_counts, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -68,10 +69,27 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.byte_bpe(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, tops and proofs of every document; a fifth of the texts is lower-cased before it is checked."""
+    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    return merkle.merkle_manifest(table(spark, sf_dir, "documents"), changed={"text": merkle.lower_ascii(F.col("text"))}, where=crc % 5 == 0)
+
+
+def op12_audit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations and their cheapest repair."""
+    return conversations.conversation_repair(table(spark, sf_dir, "conversations"), damaged=True)
+
+
+def op13_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a model fitted on labelled ones that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_prefix_token_counts, op2_compression_bands, op3_benchmark_decontamination, op4_license_sentences, op5_line_block_text,
                                     op6_arrow_token_files, op7_repeated_phrase_automata, op8_ngram_jaccard_join, op9_brown_class_ngrams,
-                                    op10_byte_level_bpe)
+                                    op10_byte_level_bpe, op11_merkle_manifest, op12_audit_repair, op13_ftrl_toxicity)
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
