@@ -7,16 +7,22 @@ so the textbook definitions are used and stated per function.
 Input is a frame with one row per ``(code, trade_date)`` — the stored table's
 key — so a series holds at most one row per trading day and every window over
 ``partitionBy(code)`` is bounded by the calendar, whatever the data volume.
+
+Minute bars have no such bound. The functions that take a :class:`Series` work on
+series cut into segments as well (``minute_series``): windows of the last rows read a
+halo of the rows before their segment, running values a carry, and the exponential
+means of MACD are a scan of affine maps.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import Series, as_series
+
 KEY = "code"
 DATE = "trade_date"
 LOG_SCALE = 1e12
@@ -118,26 +124,59 @@ def performance(df: DataFrame, periods_per_year: int = 252) -> DataFrame:
     return agg.withColumn("sharpe", sharpe)
 
 
-MACD_SCHEMA = "code string, trade_date date, close double, macd double, macd_signal double, macd_hist double"
-
-
+#: Spans of the fast, the slow and the signal line.
 MACD_SPANS = (12, 26, 9)
 
 
-def _macd_series(pdf: pd.DataFrame) -> pd.DataFrame:
+def macd_of(s: Series, close: str = "close") -> Series:
+    """``macd``, ``macd_signal`` and ``macd_hist`` of series, however long, by :meth:`Series.ewm`."""
     fast, slow, signal = MACD_SPANS
-    pdf = pdf.sort_values(DATE)
-    c = pdf["close"].astype("float64")
-    macd = c.ewm(span=fast, adjust=False).mean() - c.ewm(span=slow, adjust=False).mean()
-    sig = macd.ewm(span=signal, adjust=False).mean()
-    return pd.DataFrame({KEY: pdf[KEY], DATE: pdf[DATE], "close": c, "macd": macd,
-                         "macd_signal": sig, "macd_hist": macd - sig})
+    out = s.ewm(_fast=(F.col(close), fast), _slow=(F.col(close), slow))
+    out = out.with_df(out.df.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow"))
+    out = out.ewm(macd_signal=(F.col("macd"), signal))
+    return out.with_df(out.df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")))
 
 
-def macd(df: DataFrame) -> DataFrame:
-    """MACD(12, 26, 9) from exponential means (``ewm(adjust=False)``), one code per pandas call.
+def macd(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """MACD(12, 26, 9) per code; series beyond ``max_rows`` rows are cut into segments."""
+    s = as_series(df.select(KEY, DATE, F.col("close").cast("double").alias("close")), KEY, [DATE], F.unix_date(DATE), max_rows)
+    return macd_of(s).df.drop(s.seg)
 
-    The exponential mean is a recursion along the series, so each code's rows go
-    to one Python worker as a batch; one row per trading day bounds that batch.
-    """
-    return df.select(KEY, DATE, "close").groupBy(KEY).applyInPandas(_macd_series, MACD_SCHEMA)
+
+# -- series of any length -------------------------------------------------------------
+
+MINUTE_ORDER = [DATE, "time"]
+
+
+def minute_series(df: DataFrame, max_rows: int | None = None) -> Series:
+    """Minute bars (one row per code, date and second of the day) as series, split beyond ``max_rows`` rows."""
+    return as_series(df, KEY, MINUTE_ORDER, F.unix_date(DATE).cast("long") * 86400 + F.col("time"), max_rows)
+
+
+def _mean_of(c: Column, n: int, w: Window) -> Column:
+    last = w.rowsBetween(-(n - 1), 0)
+    return F.when(F.count(c).over(last) == n, F.avg(c).over(last))
+
+
+def moving_averages_of(s: Series, windows: tuple[int, ...] = (5, 20), close: str = "close") -> Series:
+    """D1 on series of any length."""
+    h = s.halo(max(windows) - 1)
+    return h.with_df(h.df.withColumns({f"ma{n}": _mean_of(F.col(close), n, h.local_window()) for n in windows})).without_halo()
+
+
+def atr_of(s: Series, n: int = 14) -> Series:
+    """D4 on series of any length; the halo has one row more, for the close before the oldest range."""
+    h = s.halo(n)
+    prev = F.lag("close").over(h.local_window())
+    hl = F.col("high") - F.col("low")
+    tr = F.greatest(hl, F.coalesce(F.abs(F.col("high") - prev), hl), F.coalesce(F.abs(F.col("low") - prev), hl))
+    df = h.df.withColumn("_tr", tr)
+    return h.with_df(df.withColumn(f"atr_{n}", _mean_of(F.col("_tr"), n, h.local_window())).drop("_tr")).without_halo()
+
+
+def drawdown_of(s: Series) -> Series:
+    """D9 on series of any length: equity over the first close, drawdown from the running peak."""
+    order = F.struct(*[F.col(c) for c in s.order], F.col("close").alias("_close"))
+    out = s.running(_peak=("max", F.col("close"))).aggregate(_start=("min", order))
+    df = out.df.withColumns({"equity": F.col("close") / F.col("_start._close"), "drawdown": F.lit(1.0) - F.col("close") / F.col("_peak")})
+    return out.with_df(df.drop("_start", "_peak"))

@@ -108,6 +108,53 @@ raw_bars AS (
   FROM _bar)"""
 
 
+def history_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_bars`` whose names take and lose an ``ST`` mark over the months."""
+    k = F.substring(F.col(K.SRC), 2, 20).cast("long")
+    marked = (F.year("trade_date") * 12 + F.month("trade_date") + k) % 9 < 2
+    return raw_bars(spark, sf_dir).withColumn("name", F.when(marked, F.concat(F.lit("ST"), F.col("name"))).otherwise(F.col("name")))
+
+
+HISTORY_BARS_SQL = """
+history_bars AS (
+  SELECT * REPLACE (CASE WHEN (year(trade_date) * 12 + month(trade_date) + CAST(substr(src, 2) AS BIGINT)) % 9 < 2
+                         THEN 'ST' || name ELSE name END AS name)
+  FROM raw_bars)"""
+
+
+def company_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarterly reports per bar code from ``orders``: customers stand for companies, dealt to the suppliers' keys.
+
+    A report is announced 100 to 119 days after its quarter began. Every sixth quarter of a
+    company is a loss. Amounts are summed as whole cents, so sums do not depend on order.
+    """
+    companies = table(spark, sf_dir, "supplier").count()
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % F.lit(companies) + 1).alias("k"), "o_totalprice",
+                                              F.date_add(F.to_date("o_orderdate"), DATE_SHIFT_DAYS).alias("d"))
+    q = o.groupBy("k", F.to_date(F.date_trunc("quarter", "d")).alias("period")).agg(
+        F.sum(F.round(F.col("o_totalprice") * 100.0)).alias("cents"), F.count(F.lit(1)).alias("n"))
+    k = F.col("k")
+    loss = (F.year("period") * 4 + F.quarter("period") + k) % 6 == 0
+    prefix = F.element_at(F.array(*[F.lit(p) for p in BOARD_PREFIXES]), (k % 5 + 1).cast("int"))
+    eps = F.col("cents") / 1e8
+    return q.select(F.concat(prefix, pad4(k.cast("string"))).alias("code"), "period", F.date_add("period", (F.lit(100) + k % 20).cast("int")).alias("announced_on"),
+                    F.when(loss, -eps).otherwise(eps).alias("eps"), (F.col("n") * 0.25 + k % 5).alias("bps"))
+
+
+REPORTS_SQL = f"""
+_q AS (
+  SELECT o_custkey % (SELECT count(*) FROM supplier) + 1 AS k,
+         CAST(date_trunc('quarter', CAST(o_orderdate AS DATE) + {DATE_SHIFT_DAYS}) AS DATE) AS period,
+         sum(round(o_totalprice * 100.0)) AS cents, count(*) AS n
+  FROM orders GROUP BY 1, 2),
+company_reports AS (
+  SELECT CASE k % 5 WHEN 0 THEN 'sh60' WHEN 1 THEN 'sh68' WHEN 2 THEN 'sz30' WHEN 3 THEN 'bj83' ELSE 'sz00' END
+           || {pad4_sql("CAST(k AS VARCHAR)")} AS code, period, period + CAST(100 + k % 20 AS INTEGER) AS announced_on,
+         CASE WHEN (year(period) * 4 + quarter(period) + k) % 6 = 0 THEN -(cents / 1e8) ELSE cents / 1e8 END AS eps,
+         n * 0.25::DOUBLE + k % 5 AS bps
+  FROM _q)"""
+
+
 def raw_bars_cn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``raw_bars`` under the CSV's Chinese headers, without 总市值, plus a column no rule knows."""
     back = {v: k for k, v in K.HEADER_MAP.items()}
