@@ -42,7 +42,7 @@ from .series import DEFAULT_MAX_ROWS, Series, packed_order_key, plan_segments, s
 
 # Quarantine reasons, in priority order (the first that applies is reported).
 REASONS: tuple[str, ...] = (
-    "missing_column", "first_row_dropped", "last_name_null",
+    "missing_column", "first_row_dropped", "type_guess", "last_name_null",
     "duplicate_key", "too_long", "numeric_overflow",
 )
 
@@ -206,6 +206,13 @@ class CleanResult:
     marked: DataFrame    # F3 survivors with derived columns, ``keep`` and ``_reason``
     segmented: bool = False
     split_marked: DataFrame | None = None  # the part of ``marked`` that came from split series
+    not_text: DataFrame | None = None  # sources whose text columns a guessing reader takes for numbers or nothing
+
+    def _type_failures(self) -> DataFrame | None:
+        """Sources that fail at the string rules: they have rows left by then, and no text."""
+        if self.not_text is None:
+            return None
+        return self.marked.select(K.SRC).distinct().join(self.not_text, K.SRC, "left_semi")
 
     def _cross_segment_duplicates(self) -> DataFrame | None:
         """Split series only: keys stored twice across segments (partial aggregation first)."""
@@ -233,6 +240,9 @@ class CleanResult:
         extra = self._cross_segment_duplicates()
         if extra is not None:
             allq = allq.unionByName(extra.withColumn("reason", F.lit("duplicate_key")))
+        guessed = self._type_failures()
+        if guessed is not None:
+            allq = allq.unionByName(guessed.withColumn("reason", F.lit("type_guess")))
         rank = F.array_position(F.array(*[F.lit(r) for r in REASONS]), F.col("reason"))
         return (allq.groupBy(K.SRC).agg(F.min(F.struct(rank.alias("r"), F.col("reason").alias("reason")))
                                        ["reason"].alias("reason")))
@@ -247,6 +257,8 @@ class CleanResult:
         extra = self._cross_segment_duplicates()
         if extra is not None:
             kept = kept.join(extra, K.SRC, "left_anti")
+        if self.not_text is not None:
+            kept = kept.join(self.not_text, K.SRC, "left_anti")
         flags = [functools.reduce(lambda a, b: a & b, [_flag(i) for i in inputs]).alias(PRESENT[c])
                  for c, inputs in OPTIONAL_INPUTS.items()] if presence else []
         return kept.select(*OUTPUT_COLUMNS, *flags)
@@ -254,11 +266,12 @@ class CleanResult:
 
 def clean_bars(df: DataFrame, *, max_series_rows: int = DEFAULT_MAX_ROWS,
                quarantine_first_row_dropped: bool = True, standardized: bool = False,
-               counts: DataFrame | None = None) -> CleanResult:
+               counts: DataFrame | None = None, not_text: DataFrame | None = None) -> CleanResult:
     """Run the whole cleaner over bars of any number of sources (column ``src``).
 
     ``counts`` (``src, _n``: upper bounds of rows per series, e.g. from file
-    sizes) replaces the counting pass that finds series to split.
+    sizes) replaces the counting pass that finds series to split. ``not_text`` (``src``)
+    names sources that fail with ``type_guess`` if any row of theirs reaches the string rules.
     """
     std = df if standardized else standardize(df)
     cold, hot = split_hot(_identified(std), K.SRC, "_okey", max_series_rows, counts=counts)
@@ -269,6 +282,6 @@ def clean_bars(df: DataFrame, *, max_series_rows: int = DEFAULT_MAX_ROWS,
 
     marked = chain(cold, False)
     if hot is None:
-        return CleanResult(std, marked)
+        return CleanResult(std, marked, not_text=not_text)
     split = chain(hot, True)
-    return CleanResult(std, marked.unionByName(split), segmented=True, split_marked=split)
+    return CleanResult(std, marked.unionByName(split), segmented=True, split_marked=split, not_text=not_text)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .. import contracts as K
 from ..operators.adapt import to_standard_frame
-from .csv import list_sources, scan
+from .csv import ReaderRules, list_sources, scan
 
 
 class Source(Protocol):
@@ -38,6 +38,7 @@ class CsvQuoteSource:
     pattern: str = "*.csv"
     recursive: bool = False
     encoding: str = "GBK"
+    rules: ReaderRules = ReaderRules()
 
     def listing(self, spark: SparkSession) -> DataFrame:
         return list_sources(spark, self.path, self.pattern, self.recursive)
@@ -45,7 +46,7 @@ class CsvQuoteSource:
     def read(self, spark: SparkSession, identifiers: DataFrame) -> DataFrame:
         # Spark's file index holds the paths on the driver in any case.
         paths = [r[0] for r in identifiers.select("source_identifier").collect()]
-        return scan(spark, paths, self.encoding, listing=identifiers).rows
+        return scan(spark, paths, self.encoding, listing=identifiers, rules=self.rules).rows
 
 
 @dataclass
