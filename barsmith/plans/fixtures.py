@@ -319,18 +319,18 @@ def write_quote_files(bars: DataFrame, folder: str, encoding: str = "GBK", absen
     header = F.array(*[F.lit(n) for n in names])
     in_order = lambda a: F.array_join(F.when(flip, F.reverse(a)).otherwise(a), ",")
     # Every line of a series comes from that series' own rows (its first row also
-    # yields the banner, for one series in five an empty line, and the header), so one
-    # frame holds all lines and a single repartition by series puts each file's lines
+    # yields the banner and the header), so one frame holds all lines and a single repartition by series puts each file's lines
     # in one task, in order.
     line = lambda o, text: F.struct(F.lit(o).alias("_o"), text.alias("line"))
-    banner = line(0, F.when(k % 5 == 2, F.lit("数据来源: 测试\n")).otherwise(F.lit("数据来源: 测试")))
+    banner = line(0, F.lit("数据来源: 测试"))
     data = line(2, in_order(cells))
     lines = F.when(F.col("_first"), F.array(banner, line(1, in_order(header)), data)).otherwise(F.array(data))
     flagged = bars.withColumn("_first", F.row_number().over(Window.partitionBy(K.SRC).orderBy("trade_date")) == 1)
+    # A line break in a banner or a cell gives lines of their own: the writer would wrap it in its quote character.
     out = flagged.select(K.SRC, F.col("trade_date").alias("_d"), F.explode(lines).alias("_l")).select(
         F.col(K.SRC).alias("series"), F.col("_l._o").alias("_o"), "_d",
-        F.col("_l.line").alias("line"))
+        F.posexplode(F.split("_l.line", "\n", -1)).alias("_i", "line"))
     # Whole lines as the only column of a CSV writer that neither parts nor quotes them.
-    (out.repartition("series").sortWithinPartitions("series", "_o", "_d").drop("_o", "_d")
+    (out.repartition("series").sortWithinPartitions("series", "_o", "_d", "_i").drop("_o", "_d", "_i")
      .write.mode("overwrite").option("encoding", encoding).option("header", "false").option("sep", "\u0001")
      .option("quote", "").option("emptyValue", "").partitionBy("series").csv(folder))
