@@ -3,9 +3,9 @@
 The manifest has one row per source: ``source_identifier, source_hash, status,
 processed_at, reason``. A run compares the listing of sources (identifier and a
 fingerprint) with it and decides per source what to do. Every step is a join of
-two keyed frames plus one ``CASE``; every manifest change goes through the keyed
-upsert (:func:`barsmith.operators.upsert.merge`), so a step either rewrites the
-manifest whole or not at all.
+two keyed frames plus one ``CASE``. A change is stated twice: as the whole manifest after it
+(the keyed upsert, :func:`barsmith.operators.upsert.merge`) and as *events*, the changed rows
+alone, which is what a run writes (:class:`barsmith.sources.tables.ManifestTable`).
 
 All clocks are a ``now`` argument, so runs repeat exactly in tests.
 """
@@ -117,7 +117,8 @@ def claim(manifest: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFra
     reset (M8) returns to ``pending`` at once.
     """
     prior = manifest.select(F.col(ID), F.col("status").alias("prior_status"),
-                            F.col(HASH).alias("prior_hash"), F.col("processed_at").alias("prior_processed_at"))
+                            F.col(HASH).alias("prior_hash"), F.col("processed_at").alias("prior_processed_at"),
+                            F.col("reason").alias("prior_reason"))
     todo = decisions.filter((F.col("action") == F.lit("process")) & ~_blank(F.col(HASH))).select(ID, HASH)
     claimed = (todo.join(prior, ID, "left")
                .filter(F.col("prior_status").isNull() | (F.col("prior_status") != F.lit(K.PROCESSING))))
@@ -140,6 +141,45 @@ def finish(manifest: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
     return merged.join(gone, ID, "left_anti")
 
 
+# -- the same changes as events ------------------------------------------------------
+
+EVENT_COLUMNS = (*MANIFEST_COLUMNS, "removed")
+
+
+def claim_events(reset: DataFrame, decisions: DataFrame, claimed: DataFrame, *, force: bool = False) -> DataFrame:
+    """M8 + M5 + M6 as events: only the rows that the stale reset, the registration and the claims change.
+
+    A source changed by more than one of them has one event, the last one's. Applied to the
+    stored manifest they give what :func:`register_new` and :func:`claim` give from the whole table.
+    """
+    none = F.lit(None).cast("timestamp_ntz").alias("processed_at")
+    stale = reset.where("was_reset").select(*MANIFEST_COLUMNS, F.lit(0).alias("_step"))
+    taken = claimed.select(F.col(ID), F.col(HASH), F.lit(K.PROCESSING).alias("status"), none, F.col("prior_reason").alias("reason"), F.lit(2).alias("_step"))
+    events = stale.unionByName(taken)
+    if not force:
+        new = decisions.where(F.col("reason") == "new").select(
+            F.col(ID), F.col(HASH), F.lit(K.PENDING).alias("status"), none, F.lit(None).cast("string").alias("reason"), F.lit(1).alias("_step"))
+        events = events.unionByName(new)
+    last = events.groupBy(ID).agg(F.max_by(F.struct(*MANIFEST_COLUMNS[1:]), "_step").alias("_e"))
+    return last.select(ID, "_e.*", F.lit(False).alias("removed")).select(*EVENT_COLUMNS)
+
+
+def finish_events(outcomes: DataFrame) -> DataFrame:
+    """M7 as events: one per claimed source; an outcome without status removes the row of its claim."""
+    return outcomes.select(*MANIFEST_COLUMNS, F.col("status").isNull().alias("removed")).select(*EVENT_COLUMNS)
+
+
+def current(base: DataFrame, events: DataFrame, *, broadcast: bool = False) -> DataFrame:
+    """The manifest that ``events`` (``EVENT_COLUMNS`` and ``_seq``) make of ``base``: the latest one per source wins.
+
+    Only the changed sources meet the base, in an anti-join; ``broadcast`` is for a checked number of events.
+    """
+    last = events.groupBy(ID).agg(F.max_by(F.struct(*EVENT_COLUMNS[1:]), "_seq").alias("_e")).select(ID, "_e.*")
+    changed = last.select(ID)
+    kept = base.select(*MANIFEST_COLUMNS).join(F.broadcast(changed) if broadcast else changed, ID, "left_anti")
+    return kept.unionByName(last.where(~F.col("removed")).select(*MANIFEST_COLUMNS))
+
+
 def outcome(claimed: DataFrame, loaded: DataFrame, quarantine: DataFrame, now: Column) -> DataFrame:
     """M9 (+ S7): the result of one run for every claimed source.
 
