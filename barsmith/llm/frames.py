@@ -87,19 +87,21 @@ def with_block(df: DataFrame, key: str, blocks: int) -> DataFrame:
     return df.withColumn("block", F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int"))
 
 
-def complete_runs(batches: Iterable[pa.RecordBatch], key: str, rows: int = 200_000) -> Iterator[pa.Table]:
+def complete_runs(batches: Iterable[pa.RecordBatch], key: str, rows: int = 200_000, nbytes: int = 32 << 20) -> Iterator[pa.Table]:
     """Tables of whole runs of ``key`` from a partition that is sorted by ``key``.
 
-    Holds ``rows`` rows plus at most one run that is still open.
+    Holds ``rows`` rows or ``nbytes`` bytes, whichever are reached first, plus at most one
+    batch and the run that is still open.
     """
     held: list[pa.RecordBatch] = []
-    count = 0
+    count = size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         count += batch.num_rows
-        if count < rows:
+        size += batch.nbytes
+        if count < rows and size < nbytes:
             continue
         last = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
         cut = int(np.searchsorted(last, last[-1]))  # start of the open run in this batch
@@ -109,12 +111,12 @@ def complete_runs(batches: Iterable[pa.RecordBatch], key: str, rows: int = 200_0
             cut = int(np.searchsorted(keys, keys[-1]))
             if cut:
                 yield table.slice(0, cut)
-            held, count = table.slice(cut).to_batches(), table.num_rows - cut
+            held = table.slice(cut).to_batches()
         else:
             done = [*held[:-1], batch.slice(0, cut)]
             yield pa.Table.from_batches(done)
             held = [batch.slice(cut)]
-            count = held[0].num_rows
+        count, size = sum(b.num_rows for b in held), sum(b.nbytes for b in held)
     if held:
         yield pa.Table.from_batches(held)
 

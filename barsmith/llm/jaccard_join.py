@@ -14,9 +14,13 @@ merely share a passage. Steps:
 2. ``columns``: the prefix columns of every class, dealt by column. A column of one
    class is dropped, and then a class that shares fewer columns with all others
    together than it must share with a single partner of any size (twice, since columns
-   go with their classes). Classes of a column then compare the names of all their
-   columns, and those that share enough form a *cluster*, directly or through others;
-   all links lie inside clusters.
+   go with their classes). Two classes that share enough columns may link; whatever hangs
+   together by such pairs is a *cluster*, and all links lie inside clusters. Pairs are
+   found in two steps. First every class of a column is counted against one class of it, its
+   pivot (the least by hash, so a group of near copies has one pivot nearly everywhere);
+   the counts summed by pair cost one row for each class and column. Columns whose classes
+   are all in one cluster by then are done: in a group of near copies that is every one.
+   In the columns left, classes compare the names of all such columns they have.
 3. Blocks: a cluster of up to ``BLOCK_ROWS`` classes is a block, and its classes
    fetch their sets once. A larger cluster falls into one block for each of its
    distinct columns. Within a block the product of the incidence matrix with its
@@ -184,12 +188,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[at].view(np.int64)), pa.array(cls[at]), pa.array(many[at])], ["block", "class", "n"])
 
 
-def _pruned(members: DataFrame, classes: DataFrame, share: Fraction) -> DataFrame:
+def _pruned(members: DataFrame, share: Fraction) -> DataFrame:
     """``members`` without the classes that share too few columns to have a partner, and without columns left with one class."""
     least = f"greatest(1, ((n_shingles * {share.numerator} + {share.denominator - 1}) div {share.denominator}) div 10)"
-    held = members.groupBy("class").agg(F.sum("n").alias("held"))
-    live = held.join(classes, "class").where(f"held >= {least}").select("class")
-    left = members.join(live, "class", "left_semi")
+    held = members.groupBy("class").agg(F.sum("n").alias("held"), F.max("n_shingles").alias("n_shingles"))
+    left = members.join(held.where(f"held >= {least}").select("class"), "class", "left_semi")
     return left.join(left.groupBy("block").count().where("count > 1").select("block"), "block", "left_semi")
 
 
@@ -236,8 +239,9 @@ def _forest(sets: list[np.ndarray], sizes: np.ndarray, share: Fraction, linked,
     every, row = every[order], row[order]
     begin = run_starts(every)
     width = np.diff(np.append(begin, len(every)))
-    number = np.empty(len(every), np.int64)  # column of each entry, by rows
-    number[order] = np.repeat(np.arange(len(begin)), width)
+    row = row.astype(np.int32)
+    number = np.empty(len(every), np.int32)  # column of each entry, by rows
+    number[order] = np.repeat(np.arange(len(begin), dtype=np.int32), width)
     heavy = np.array([weight[x] for x in every[begin].tolist()]) if weight else None
     at = np.concatenate([[0], np.cumsum(own)])
     unreached = np.ones(n, bool)
@@ -279,6 +283,29 @@ def block_links(sets: list[np.ndarray], share: Fraction) -> list[tuple[int, int]
     return _forest(sets, sizes, share, lambda x, both: both * share.denominator >= share.numerator * (sizes + sizes[x] - both))
 
 
+def _pivot_pairs(members: DataFrame, share: Fraction) -> DataFrame:
+    """(a, b, h): classes and the pivot of some of their columns, where the two share enough columns and have fitting sizes; ``h`` orders pivots."""
+    pivot = F.min(F.struct(F.xxhash64("class").alias("h"), F.col("class").alias("pivot"), F.col("n_shingles").alias("pivot_size")))
+    pivots = members.groupBy("block").agg(pivot.alias("p")).select("block", "p.*")
+    met = members.join(pivots, "block").where("class != pivot")
+    both = met.groupBy("class", "pivot").agg(F.sum("n").alias("both"), F.max("n_shingles").alias("size"), F.max("pivot_size").alias("pivot_size"), F.max("h").alias("h"))
+    num, den = share.numerator, share.denominator
+    fits = f"size * {den} >= pivot_size * {num} and pivot_size * {den} >= size * {num} and both >= greatest(1, least(size, pivot_size) div 10)"
+    return both.where(fits).select(F.col("class").alias("a"), F.col("pivot").alias("b"), "h")
+
+
+def _open_columns(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``members`` of the columns whose classes do not all hang on one pivot.
+
+    A class hangs on the least of the pivots it is paired with, the pivot of a column being its
+    least class: the least class of a group of near copies is the one for the whole group.
+    """
+    hangs = pairs.groupBy("a").agg(F.min(F.struct("h", "b"))["b"].alias("root"))
+    named = members.join(hangs, members["class"] == hangs["a"], "left").select("block", F.coalesce("root", "class").alias("cluster"))
+    mixed = named.groupBy("block").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo != hi").select("block")
+    return members.join(mixed, "block", "left_semi")
+
+
 def _near(share: Fraction):
     """Rows (block, class, n_shingles, names, counts) sorted by block to links of classes that share enough columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,11 +332,12 @@ def _near(share: Fraction):
 def _links(share: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in complete_runs(batches, "block", rows=4096):
-            table = table.combine_chunks()
             block, cls = table.column("block").to_numpy(), table.column("class").to_numpy()
-            packed = table.column("shingles").combine_chunks() if isinstance(table.column("shingles"), pa.ChunkedArray) else table.column("shingles")
-            data, off = W.buffers(packed)
-            values = np.frombuffer(data[off[0]:off[-1]].tobytes(), np.uint64)
+            data, off = W.buffers(table.column("shingles"))
+            data = data[off[0]:off[-1]]
+            if data.ctypes.data % 8:  # a view of 64-bit numbers needs their alignment
+                data = data.copy()
+            values = data.view(np.uint64)
             off = (off - off[0]) // 8
             a, b = [], []
             for i, j in itertools.pairwise([*run_starts(block), len(block)]):
@@ -374,17 +402,23 @@ def jaccard_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "
     order = np.argsort(value)
     heavy = value[order], frequent["n"].to_numpy(np.int64)[order]
 
-    classes = sets.where("n_shingles > 0").groupBy("class").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n_shingles"))
+    classes = stage(sets.where("n_shingles > 0").groupBy("class").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n_shingles")), "classes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = (columns(narrow, k, share, heavy).repartition(parts, "col").sortWithinPartitions("col", "class")
               .mapInArrow(_shared, "block long, class long, n long"))
     members = stage(shared.groupBy("block", "class").agg(F.sum("n").alias("n")), "columns")
-    members = stage(_pruned(_pruned(members, classes, share), classes, share), "pruned")
-    # A class's columns, at most its prefix, travel to each of them.
-    lists = members.groupBy("class").agg(F.collect_list(F.struct("block", "n")).alias("own")).select(
-        "class", F.col("own.block").alias("names"), F.col("own.n").alias("counts"))
-    compared = members.join(lists, "class").join(classes.select("class", "n_shingles"), "class").select("block", "class", "n_shingles", "names", "counts")
-    near = components(compared.repartition(parts, "block").sortWithinPartitions("block", "class").mapInArrow(_near(share), "a long, b long"))
+    sized = members.join(classes.select("class", "n_shingles"), "class")
+    members = stage(_pruned(_pruned(sized, share), share), "pruned")
+    pivots = stage(_pivot_pairs(members, share), "pivots")
+    # What is left of a class's columns travels to each of them, under names of 31 bits: two
+    # columns of one name would only make a candidate, which the sets themselves then decide.
+    open_members = stage(_open_columns(members, pivots), "open")
+    name = F.col("block").bitwiseAND(0x7FFFFFFF).cast("int")
+    lists = open_members.groupBy("class").agg(F.collect_list(F.struct(name.alias("name"), F.col("n").cast("int").alias("n"))).alias("own")).select(
+        "class", F.col("own.name").alias("names"), F.col("own.n").alias("counts"))
+    compared = open_members.join(lists, "class").select("block", "class", "n_shingles", "names", "counts")
+    pairs = compared.repartition(parts, "block").sortWithinPartitions("block", "class").mapInArrow(_near(share), "a long, b long")
+    near = components(pairs.union(pivots.select("a", "b")))
     clusters = stage(near.union(near.select("root", "root").distinct()).toDF("class", "cluster"), "clusters")
     large = stage(clusters.groupBy("cluster").count().where(F.col("count") > BLOCK_ROWS).select("cluster"), "large")
     some_large = not large.isEmpty()

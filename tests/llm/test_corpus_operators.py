@@ -368,3 +368,32 @@ def test_pipeline_stages_keep_the_columns_and_pass_empty_tables(spark, nothing):
         docs = stage(spark, docs, SMALL)
         assert docs.columns == nothing.columns
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect() == []
+
+
+def test_columns_of_near_copies_do_not_travel_with_each_other(spark):
+    """400 near copies of 1,000 words: what classes compare stays a small multiple of the text, and all are one component."""
+    from fractions import Fraction
+
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(1000)]
+    rows = []
+    for i in range(400):
+        ws = list(base)
+        for _ in range(10):
+            ws[rng.randrange(1000)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(ws)))
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(4)
+    share = Fraction(4, 5)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    shared = jaccard_join.columns(docs, 5, share, none).repartition(4, "col").sortWithinPartitions("col", "class").mapInArrow(
+        jaccard_join._shared, "block long, class long, n long")
+    classes = jaccard_join.profile(docs, 5).where("kind = 0").selectExpr("key as class", "n as n_shingles")
+    members = shared.groupBy("block", "class").sum("n").toDF("block", "class", "n").join(classes, "class").cache()
+    pivots = jaccard_join._pivot_pairs(members, share).cache()
+    assert jaccard_join.components(pivots).groupBy("root").count().collect()[0]["count"] == 399  # the root has no row
+    left = jaccard_join._open_columns(members, pivots)
+    entries = left.groupBy("class").count().selectExpr("sum(count * count)").first()[0] or 0
+    assert entries * 8 < 4 * sum(len(t) for _, t in rows)
+    members.unpersist()
+    pivots.unpersist()
+    assert {r.component_id for r in jaccard_join.jaccard_join(docs, 5, 80, "id").collect()} == {0}
