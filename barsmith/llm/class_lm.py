@@ -47,10 +47,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barsmith.llm import words as W
-from barsmith.llm.frames import block_count, complete_runs, pick, run_starts, stage
+from barsmith.llm.frames import block_count, complete_runs, discard, pick, release, run_starts, stage
 
 #: Words of the seed, classes, the most sweeps over the seed, and the sweeps over all other words.
 CLUSTERED, CLASSES, SWEEPS, ROUNDS = 1000, 48, 5, 2
+#: Bytes of text in a block; a block repeats its vocabulary in every sweep, so larger ones shuffle less.
+TEXT_BYTES = 32 << 20
 #: Held out: crc32 of the id as text leaves this remainder by FOLDS.
 FOLDS, HELD_OUT = 5, 1
 #: The end of a text as a word (no word hashes to it but by chance), and shapes of words.
@@ -401,11 +403,19 @@ def cluster(docs: DataFrame, known: DataFrame, clustered: int = CLUSTERED, class
     if not n_open:
         return classed, totals, 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    before = known
     for _ in range(rounds):
         contexts = train.groupBy("block").cogroup(classed.groupBy("block")).applyInArrow(_contexts(n_classes), f"{_CLASSED}, context binary")
         classed = stage(contexts.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(_move(totals, n_open), _CLASSED), "classes")
+        # Each sweep deals all texts; what the one before left behind goes before the next one deals them again.
+        discard(before)
+        before = classed
+        del contexts
+        release(docs.sparkSession)
         found = train.groupBy("block").cogroup(classed.groupBy("block")).applyInArrow(_class_pairs(n_classes), "pair long, n long")
         totals = _totals(found, n_classes)
+        del found
+        release(docs.sparkSession)
     return classed, totals, n_open
 
 
@@ -471,13 +481,15 @@ def class_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cl
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score (unigram) and score (class bigrams)."""
     narrow = pick(docs, id=id_col, text=text_col)
     name = F.coalesce(F.col("id").cast("string"), F.lit(""))
-    blocks = blocks or block_count(narrow)
+    blocks = blocks or block_count(narrow, nbytes=TEXT_BYTES)
     dealt = narrow.select("id", F.col("text").cast("string").alias("text"), (F.crc32(name.cast("binary")) % FOLDS == HELD_OUT).alias("held_out"),
                           F.pmod(F.xxhash64(name, F.col("text")), F.lit(blocks)).cast("int").alias("block"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted = dealt.repartition("block").select("text", "block", "held_out").mapInArrow(_count_words, "word long, block int, shape int, n long")
     known = stage(counted.repartition(parts, "word").sortWithinPartitions("word")
                   .mapInArrow(_sum_words, "block int, word long, shape int, count long, one boolean"), "vocabulary")
+    del counted
+    release(docs.sparkSession)
     classed, totals, n_open = cluster(dealt, known, clustered, classes)
     model = fit(classed, totals, n_open)
     sent = docs.sparkSession.sparkContext.broadcast(model)

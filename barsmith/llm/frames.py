@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from barsmith.session import checkpoint_dir
 
-#: Input bytes (as Catalyst estimates them) that one block should hold.
-BLOCK_BYTES = 16 << 20
+#: Bytes of text that one block should hold.
+BLOCK_BYTES = 12 << 20
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -56,6 +57,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the staged table that ``df`` reads: it has been superseded by one already written."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        if folder.rsplit("/", 1)[1].startswith("llm-"):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more.
+
+    Its cleaner acts when the driver collects garbage, which an iterative job may not bring
+    about for many rounds of shuffles.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def most_frequent(counted: DataFrame, count: str, limit: int) -> DataFrame:
     """Rows of ``counted`` with the highest counts, at most ``limit``: those above a cut.
 
@@ -74,12 +96,14 @@ def most_frequent(counted: DataFrame, count: str, limit: int) -> DataFrame:
     return counted.where(step >= cut) if cut is not None else counted.limit(0)
 
 
-def block_count(df: DataFrame) -> int:
-    """Blocks for ``df``: one per BLOCK_BYTES of input, at least one per shuffle partition."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Without file statistics Catalyst answers with a huge default; the shuffle width stands then.
-    return max(parts, -(-size // BLOCK_BYTES)) if size < 1 << 60 else parts
+def block_count(df: DataFrame, text: str = "text", nbytes: int | None = None) -> int:
+    """Blocks for ``df``: one per ``nbytes`` (BLOCK_BYTES) of its texts as they are (one scan of that column).
+
+    The number follows the text alone: what each block says about the whole (its words, its
+    pairs of classes) would otherwise grow with the width of the session's shuffles.
+    """
+    size = df.agg(F.sum(F.octet_length(F.col(text).cast("string")).cast("long"))).first()[0] or 0
+    return max(1, -(-size // (nbytes or BLOCK_BYTES)))
 
 
 def with_block(df: DataFrame, key: str, blocks: int) -> DataFrame:

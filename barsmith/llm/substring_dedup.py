@@ -285,7 +285,7 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str, blocks: int | None, whol
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     key, text = (plain[f"c{names.index(c)}"] for c in (id_col, text_col))
     narrow = plain.select(key.cast("long").alias("_id"), text.cast("string").alias("_text"), *(plain.columns if whole else ()))
-    return with_block(narrow, "_id", blocks or block_count(narrow))
+    return with_block(narrow, "_id", blocks or block_count(narrow, "_text"))
 
 
 def _repeats(dealt: DataFrame) -> DataFrame:

@@ -222,3 +222,18 @@ def test_sequences_are_read_without_a_copy(spark, library, tmp_path):
 
 def test_token_files_of_an_empty_table(nothing, tmp_path):
     assert arrow_tokens.arrow_tokens(nothing, JSON, folder=str(tmp_path / "t")).collect() == []
+
+
+def test_blocks_follow_the_text_alone(spark, tmp_path, monkeypatch):
+    """Sixty more columns and texts that compress to nothing leave the number of blocks alone."""
+    from pyspark.sql import functions as F
+
+    from barsmith.llm import frames
+    monkeypatch.setattr(frames, "BLOCK_BYTES", 1 << 16)
+    narrow = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), 1000).alias("text"))
+    narrow.write.parquet(str(tmp_path / "narrow"))
+    narrow.select("*", *[F.lit("x").alias(f"c{i}") for i in range(60)]).write.parquet(str(tmp_path / "wide"))
+    want = -(-400 * 3000 // (1 << 16))
+    for name in ("narrow", "wide"):
+        assert frames.block_count(frames.pick(spark.read.parquet(str(tmp_path / name)), id="doc_id", text="text")) == want
+    assert frames.block_count(narrow.limit(0)) == 1
