@@ -48,6 +48,8 @@ from barsmith.llm.frames import block_count, complete_runs, pick, run_starts, st
 WINDOW, PHRASE = 20, 8
 #: Places of a phrase from which on its windows travel one by one.
 BUSY = 5000
+#: Bytes of text in a block, which one task judges.
+TEXT_BYTES = 4 << 20
 _SPAN = WINDOW - PHRASE + 1  # phrases in a window, and most windows of one place of a phrase
 _NO_ID = -(1 << 63)
 _PART = 40  # bits of a word's number; above them the number of the row among those of its id
@@ -285,7 +287,7 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str, blocks: int | None, whol
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     key, text = (plain[f"c{names.index(c)}"] for c in (id_col, text_col))
     narrow = plain.select(key.cast("long").alias("_id"), text.cast("string").alias("_text"), *(plain.columns if whole else ()))
-    return with_block(narrow, "_id", blocks or block_count(narrow, "_text"))
+    return with_block(narrow, "_id", blocks or block_count(narrow, "_text", TEXT_BYTES))
 
 
 def _repeats(dealt: DataFrame) -> DataFrame:
