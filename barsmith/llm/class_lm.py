@@ -25,11 +25,12 @@ Witten-Bell weight of the left class; a word in its class has (c + 0.5) over
 more word for all words never seen, so both factors sum to one.
 
 Spark's part. Words are 64-bit hashes. Documents are dealt to blocks by a hash of
-the id. Each block counts its words once, so a frequent word is one row a block, not
-one an occurrence; counts are summed over blocks by word and go back to the blocks
-that have the word, with its class. Sweeps and scoring join each block with its own
-words, so no table of all words is ever held by one task or by the driver; vocabulary
-size and totals are aggregates. What is broadcast is fixed in size by CLUSTERED and CLASSES.
+the id, once: a staged table holds each text as numbers of its block's words, one or two
+bytes a word, and that is what sweeps and scoring deal again. Each block counts its words
+once, so a frequent word is one row a block, not one an occurrence; counts are summed over
+blocks by word and go back to the blocks that have the word, with its class. Sweeps and
+scoring join each block with its own words, so no table of all words is ever held by one
+task or by the driver; vocabulary size and totals are aggregates. What is broadcast is fixed in size by CLUSTERED and CLASSES.
 
 Results for odd input: a null or empty text has the end token alone; a null id takes
 part as the text '' in the held-out rule; every row is scored by itself. If nothing
@@ -87,40 +88,42 @@ def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.n
     return key[order][begin], [np.add.reduceat(v[order], begin) if len(begin) else v[:0] for v in values], order[begin]
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, block, shape, n): training count of every word of each block; 0 for words of held-out texts only."""
-    held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-    size = 0
-
-    def compact(block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        word, shape, n = (np.concatenate(x) for x in zip(*held[block], strict=True))
-        word, (n,), first = _summed(word, n)
-        return word, shape[first], n
-
-    for batch in batches:
-        block, out = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-        for i, words, shape in tokens(batch.column(0)):
-            rows = len(words.rows) - 1
-            row = words.row_of()
-            train = ~out[i:i + rows]
-            for b in np.unique(block[i:i + rows]):
-                mine = block[i:i + rows] == b
-                of = mine[row]
-                word, (n,), first = _summed(words.hash[of], train[row[of]].astype(np.int64))
-                ends = int(train[mine].sum())
-                held.setdefault(int(b), []).append((np.append(word, END), np.append(shape[of][first], 0), np.append(n, ends)))
-                size += len(word) + 1
-        if size > 2_000_000:
-            for b in held:
-                held[b] = [compact(b)]
-            size = sum(len(x[0][0]) for x in held.values())
-            size = 0 if size > 1_000_000 else size
-    for b in held:
-        word, shape, n = compact(b)
-        for at in range(0, len(word), 100_000):
-            cut = slice(at, at + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(word[cut].view(np.int64)), pa.array(np.full(len(word[cut]), b, np.int32)), pa.array(shape[cut].astype(np.int32)),
-                                              pa.array(n[cut])], ["word", "block", "shape", "n"])
+def _number(docs: pa.Table) -> pa.Table:
+    """A block's texts as numbers of its words, and its words.
+
+    Rows with ``codes`` are texts (their words and end, packed); the others are words with their number, shape and
+    training count. The block's commonest words have the smallest numbers, so most take one byte.
+    """
+    out = docs.column("held_out").to_numpy(zero_copy_only=False)
+    pieces, slices = [], []
+    for i, words, shape in tokens(docs.column("text")):
+        hashes, shapes, rows = _with_ends(words, shape)
+        train = np.repeat(~out[i:i + len(rows) - 1], np.diff(rows)).astype(np.int64)
+        word, (n, total), first = _summed(hashes, train, np.ones(len(hashes), np.int64))
+        pieces.append((word, shapes[first], n, total))
+        slices.append((hashes, rows))
+    word, shape, n, total = (np.concatenate(x) for x in zip(*pieces, strict=True))
+    del pieces
+    word, (n, total), first = _summed(word, n, total)
+    shape = shape[first]
+    at = np.empty(len(word), np.int64)
+    at[np.argsort(-total, kind="stable")] = np.arange(len(word))
+    data, ends = [], [np.zeros(1, np.int64)]
+    for k, (hashes, rows) in enumerate(slices):
+        codes, end = W.pack(at[np.searchsorted(word, hashes)])
+        ends.append(end[rows[1:] - 1] + ends[-1][-1])
+        data.append(codes)
+        slices[k] = None
+    n_texts, n_words, id_type = docs.num_rows, len(word), docs.schema.field("id").type
+    offsets = pa.array(np.concatenate(ends), pa.int32())
+    codes = pa.BinaryArray.from_buffers(pa.binary(), n_texts, [None, offsets.buffers()[1], pa.py_buffer(np.concatenate(data).tobytes())])
+    block = docs.column("block")[0].as_py()
+    names = ["block", "id", "held_out", "codes", "word", "at", "shape", "n"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    texts = [pa.array(np.full(n_texts, block, np.int32)), docs.column("id"), docs.column("held_out"), codes, *(pa.nulls(n_texts, t) for t in kinds)]
+    vocabulary = [pa.array(np.full(n_words, block, np.int32)), pa.nulls(n_words, id_type), pa.nulls(n_words, pa.bool_()), pa.nulls(n_words, pa.binary()),
+                  *(pa.array(x, t) for x, t in zip((word.view(np.int64), at, shape, n), kinds, strict=True))]
+    return pa.concat_tables([pa.Table.from_arrays(texts, names), pa.Table.from_arrays(vocabulary, names)])
 
 
 def _sum_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,8 +134,8 @@ def _sum_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.repeat(np.add.reduceat(n, begin), np.diff(np.append(begin, len(n))))
         one = np.zeros(len(word), bool)
         one[begin] = True
-        yield pa.RecordBatch.from_arrays([table.column("block").combine_chunks(), pa.array(word), table.column("shape").combine_chunks(),
-                                          pa.array(total), pa.array(one)], ["block", "word", "shape", "count", "one"])
+        yield pa.RecordBatch.from_arrays([table.column("block").combine_chunks(), pa.array(word), table.column("at").combine_chunks(),
+                                          table.column("shape").combine_chunks(), pa.array(total), pa.array(one)], ["block", "word", "at", "shape", "count", "one"])
 
 
 @dataclass
@@ -252,8 +255,9 @@ def exchange(pairs: np.ndarray, n: np.ndarray, n_symbols: int, first: int, class
     return class_of
 
 
-_CLASSED = "block int, word long, shape int, count long, one boolean, cls int, fixed boolean"
-_CODE = 16  # bits of a context's code beside its count
+_KNOWN = "block int, word long, at int, shape int, count long, one boolean"
+_CLASSED = f"{_KNOWN}, cls int, fixed boolean"
+_MOVED = f"{_KNOWN}, cls int"
 
 
 def _with_seed(top: np.ndarray, cls: np.ndarray, n_open: int):
@@ -267,20 +271,20 @@ def _with_seed(top: np.ndarray, cls: np.ndarray, n_open: int):
                 fixed = fixed | (top[at] == word)
                 out = np.where(fixed, cls[at], out)
             out = np.where(word == END, 1, out)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("block", "word", "shape", "count", "one")), pa.array(out.astype(np.int32)), pa.array(fixed)],
-                                             ["block", "word", "shape", "count", "one", "cls", "fixed"])
+            names = ["block", "word", "at", "shape", "count", "one"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out.astype(np.int32)), pa.array(fixed)], [*names, "cls", "fixed"])
     return run
 
 
 def _numbered(docs: pa.Table, classed: pa.Table) -> tuple[pa.Table, Iterator[tuple[np.ndarray, np.ndarray]]]:
-    """The block's words by hash, and for slices of its texts the words' numbers there (ends included) with the row ranges."""
-    classed = classed.take(pa.array(np.argsort(classed.column("word").to_numpy().view(np.uint64)))).combine_chunks()
-    word = classed.column("word").to_numpy().view(np.uint64)
+    """The block's words by number, and for slices of its texts the numbers of their words (ends included) with the row ranges."""
+    classed = classed.take(pa.array(np.argsort(classed.column("at").to_numpy()))).combine_chunks()
 
     def texts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for _, words, shape in tokens(docs.column("text")):
-            hashes, _, rows = _with_ends(words, shape)
-            yield np.searchsorted(word, hashes), rows
+        data, offsets = W.buffers(docs.column("codes"))
+        for i, j in W.slices(offsets):
+            codes, ends = W.unpack(data[offsets[i]:offsets[j]])
+            yield codes, np.searchsorted(ends, offsets[i:j + 1] - offsets[i], "right")
     return classed, texts()
 
 
@@ -291,25 +295,34 @@ def _before(cls: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def _contexts(n_classes: int):
-    """Per word of a block the counts of the classes before it (code c) and after it (code n_classes + c)."""
+    """Per word of a block that may move the counts of the classes before it (code c) and after it (code n_classes + c), packed."""
+    codes = 2 * n_classes
+
     def run(docs: pa.Table, classed: pa.Table) -> pa.Table:
         classed, texts = _numbered(docs, classed)
         cls, free = classed.column("cls").to_numpy().astype(np.int64), ~classed.column("fixed").to_numpy(zero_copy_only=False)
-        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        free &= classed.column("count").to_numpy() > 0
+        keys, counts, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         for at, rows in texts:
             c = cls[at]
             after = np.append(c[1:], 0)
             mine = free[at]
-            key = at * (2 * n_classes)
+            key = at * codes
             key, n = np.unique(np.concatenate([(key + _before(c, rows))[mine], (key + n_classes + after)[mine]]), return_counts=True)
             keys.append(key)
             counts.append(n)
+            size += len(key)
+            if size > 2_000_000:
+                key, (n,), _ = _summed(np.concatenate(keys), np.concatenate(counts))
+                keys, counts, size = [key], [n], 0
         key, (n,), _ = _summed(np.concatenate(keys), np.concatenate(counts))
-        ends = np.searchsorted(key // (2 * n_classes), np.arange(classed.num_rows), "right")
-        offsets = pa.array((np.append(0, ends) * 8).astype(np.int32))
-        packed = (key % (2 * n_classes)) | (n << _CODE)
-        context = pa.BinaryArray.from_buffers(pa.binary(), classed.num_rows, [None, offsets.buffers()[1], pa.py_buffer(packed.astype(np.int64).tobytes())])
-        return classed.select([x.split()[0] for x in _CLASSED.split(", ")]).append_column("context", context)
+        word = key // codes
+        data, ends = W.pack(n * codes + key % codes)
+        moving = np.flatnonzero(free)
+        until = np.searchsorted(word, moving, "right")
+        offsets = pa.array(np.append(0, np.concatenate([[0], ends])[until]), pa.int32())  # contexts are of moving words alone, in their order
+        context = pa.BinaryArray.from_buffers(pa.binary(), len(moving), [None, offsets.buffers()[1], pa.py_buffer(data.tobytes())])
+        return classed.drop_columns(["fixed"]).take(pa.array(moving)).append_column("context", context)
     return run
 
 
@@ -338,21 +351,22 @@ def best_classes(word: np.ndarray, code: np.ndarray, n: np.ndarray, cls: np.ndar
 
 
 def _move(totals: np.ndarray, n_open: int):
-    """Rows sorted by word to the same rows with the word's new class; fixed words and words not in training keep theirs."""
+    """Rows sorted by word to the same rows with the word's new class."""
+    codes = 2 * len(totals)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in complete_runs(batches, "word"):
             table = table.combine_chunks()
-            words, cls, count = (table.column(c).to_numpy() for c in ("word", "cls", "count"))
+            words, cls = (table.column(c).to_numpy() for c in ("word", "cls"))
             begin = run_starts(words)
             of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(words))))
             data, off = W.buffers(table.column("context"))
-            packed = np.frombuffer(data[off[0]:off[-1]].tobytes(), np.int64)
-            key = (np.repeat(of, np.diff(off) // 8) << _CODE) | (packed & ((1 << _CODE) - 1))
-            key, (n,), _ = _summed(key, packed >> _CODE)
-            new = best_classes(key >> _CODE, key & ((1 << _CODE) - 1), n, cls[begin], totals, n_open)
-            stay = table.column("fixed").to_numpy(zero_copy_only=False) | (count == 0)
-            out = pa.array(np.where(stay, cls, new[of]).astype(np.int32))
-            yield from table.drop_columns(["context"]).set_column(5, "cls", out).to_batches()
+            packed, ends = W.unpack(data[off[0]:off[-1]])
+            n_of = np.diff(np.searchsorted(ends, off - off[0], "right"))
+            key, (n,), _ = _summed(np.repeat(of, n_of) * codes + packed % codes, packed // codes)
+            new = best_classes(key // codes, key % codes, n, cls[begin], totals, n_open)
+            table = table.drop_columns(["context"]).set_column(table.schema.get_field_index("cls"), "cls", pa.array(new[of].astype(np.int32)))
+            yield from table.append_column("fixed", pa.array(np.zeros(len(words), bool))).to_batches()
     return run
 
 
@@ -377,12 +391,12 @@ def _totals(pairs: DataFrame, n_classes: int) -> np.ndarray:
     return out.reshape(n_classes, n_classes)
 
 
-def cluster(docs: DataFrame, known: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray, int]:
+def cluster(docs: DataFrame, texts: DataFrame, known: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray, int]:
     """The words of ``known`` with the class of each, the class bigram counts, and the number of open classes.
 
     Class 0 is begin, 1 end, 2 to n_open + 1 hold the training words, those above are shapes of words not in training.
     """
-    train = docs.where("not held_out").select("text", "block")
+    train = texts.where("not held_out").select("block", "codes")
     best = known.where(f"one and count > 0 and word != {int(END)}").orderBy(F.desc("count"), "word").limit(clustered).select("word").toPandas()["word"].to_numpy(np.int64)
     first = 2 + N_SHAPES
     top = best.view(np.uint64)
@@ -390,7 +404,7 @@ def cluster(docs: DataFrame, known: DataFrame, clustered: int = CLUSTERED, class
     order = np.argsort(top)
     top, symbol = top[order], symbol[order]
     n_symbols = first + len(top)
-    pairs = (train.select("text").mapInArrow(_count_pairs(top, symbol, n_symbols), "pair long, n long")
+    pairs = (docs.where("not held_out").select("text").mapInArrow(_count_pairs(top, symbol, n_symbols), "pair long, n long")
              .groupBy("pair").agg(F.sum("n").alias("n")).toPandas())  # at most n_symbols squared rows
     pair, n = pairs["pair"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64)
     class_of = exchange(pair, n, n_symbols, first, classes)
@@ -405,12 +419,13 @@ def cluster(docs: DataFrame, known: DataFrame, clustered: int = CLUSTERED, class
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     before = known
     for _ in range(rounds):
-        contexts = train.groupBy("block").cogroup(classed.groupBy("block")).applyInArrow(_contexts(n_classes), f"{_CLASSED}, context binary")
-        classed = stage(contexts.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(_move(totals, n_open), _CLASSED), "classes")
-        # Each sweep deals all texts; what the one before left behind goes before the next one deals them again.
+        contexts = train.groupBy("block").cogroup(classed.groupBy("block")).applyInArrow(_contexts(n_classes), f"{_MOVED}, context binary")
+        moved = contexts.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(_move(totals, n_open), _CLASSED)
+        classed = stage(moved.unionByName(classed.where("fixed or count = 0")), "classes")
+        # Each sweep deals the coded texts; what the one before left behind goes before the next one deals them again.
         discard(before)
         before = classed
-        del contexts
+        del contexts, moved
         release(docs.sparkSession)
         found = train.groupBy("block").cogroup(classed.groupBy("block")).applyInArrow(_class_pairs(n_classes), "pair long, n long")
         totals = _totals(found, n_classes)
@@ -448,15 +463,12 @@ def _score(sent, id_type: pa.DataType):
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         model: Model = sent.value
         docs = docs.combine_chunks()
-        word = known.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(word)
-        word, count, cls_of = word[order], known.column("count").to_numpy()[order], known.column("cls").to_numpy()[order].astype(np.int64)
+        known, texts = _numbered(docs, known)
+        count, cls_of = known.column("count").to_numpy(), known.column("cls").to_numpy().astype(np.int64)
         shapes_from, by_shape = 2 + model.n_open, model.shape_class.tolist()
         base_all = np.log10(model.total + 0.5 * (model.distinct + 1))
         n_tokens, n_known, base, score = [], [], [], []
-        for _, words, shape in tokens(docs.column("text")):
-            hashes, _, rows = _with_ends(words, shape)
-            at = np.searchsorted(word, hashes)  # a block knows all its words
+        for at, rows in texts:
             c, cls = count[at], cls_of[at]
             start = np.zeros(len(cls), bool)
             start[rows[:-1]] = True
@@ -485,18 +497,19 @@ def class_lm(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cl
     dealt = narrow.select("id", F.col("text").cast("string").alias("text"), (F.crc32(name.cast("binary")) % FOLDS == HELD_OUT).alias("held_out"),
                           F.pmod(F.xxhash64(name, F.col("text")), F.lit(blocks)).cast("int").alias("block"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = dealt.repartition("block").select("text", "block", "held_out").mapInArrow(_count_words, "word long, block int, shape int, n long")
-    known = stage(counted.repartition(parts, "word").sortWithinPartitions("word")
-                  .mapInArrow(_sum_words, "block int, word long, shape int, count long, one boolean"), "vocabulary")
-    del counted
+    kind = dict(narrow.dtypes)["id"]
+    numbered = stage(dealt.groupBy("block").applyInArrow(_number, f"block int, id {kind}, held_out boolean, codes binary, word long, at int, shape int, n long"), "numbered")
     release(docs.sparkSession)
-    classed, totals, n_open = cluster(dealt, known, clustered, classes)
+    texts = numbered.where("codes is not null").select("block", "id", "held_out", "codes")
+    counted = numbered.where("word is not null").select("block", "word", "at", "shape", "n")
+    known = stage(counted.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(_sum_words, _KNOWN), "vocabulary")
+    release(docs.sparkSession)
+    classed, totals, n_open = cluster(dealt, texts, known, clustered, classes)
     model = fit(classed, totals, n_open)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kind = dict(narrow.dtypes)["id"]
     from pyspark.sql.pandas.types import to_arrow_type
 
-    out = dealt.groupBy("block").cogroup(classed.select("block", "word", "count", "cls").groupBy("block")).applyInArrow(
+    out = texts.groupBy("block").cogroup(classed.select("block", "at", "count", "cls").groupBy("block")).applyInArrow(
         _score(sent, to_arrow_type(narrow.schema["id"].dataType)),
         f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)

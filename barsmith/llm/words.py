@@ -181,3 +181,30 @@ def sorted_sets(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nd
     keep[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])
     v, r = v[keep], r[keep]
     return v, np.concatenate([[0], np.cumsum(np.bincount(r, minlength=len(rows) - 1))]).astype(np.int64)
+
+
+def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers from 0 on as bytes of seven bits each, the lowest first, all but a number's last marked; and the end of each."""
+    size = np.ones(len(values), np.int64)
+    bits = 7
+    while len(values) and bits < 63 and int(values.max()) >> bits:
+        size += values >> bits > 0
+        bits += 7
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(bits // 7):
+        mine = np.flatnonzero(size > k)
+        out[(ends - size)[mine] + k] = ((values[mine] >> (7 * k)) & 127) | ((size[mine] > k + 1) << 7)
+    return out, ends
+
+
+def unpack(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that ``pack`` wrote, and the end of each."""
+    ends = np.flatnonzero(data < 128) + 1
+    start = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    size = ends - start
+    out = np.zeros(len(ends), np.int64)
+    for k in range(int(size.max()) if len(size) else 0):
+        mine = np.flatnonzero(size > k)
+        out[mine] |= (data[start[mine] + k] & 127).astype(np.int64) << (7 * k)
+    return out, ends

@@ -397,3 +397,12 @@ def test_columns_of_near_copies_do_not_travel_with_each_other(spark):
     members.unpersist()
     pivots.unpersist()
     assert {r.component_id for r in jaccard_join.jaccard_join(docs, 5, 80, "id").collect()} == {0}
+
+
+def test_packed_numbers_round_trip():
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.integers(0, 1 << b, 500) for b in (1, 7, 8, 14, 15, 21, 35, 62)] + [np.array([0, 127, 128, 16383, 16384])])
+    data, ends = W.pack(values)
+    back, stops = W.unpack(data)
+    assert (back == values).all() and (stops == ends).all() and (W.pack(values[values < 128])[1] == np.arange(1, (values < 128).sum() + 1)).all()
+    assert len(W.pack(values[:0])[0]) == len(W.unpack(data[:0])[0]) == 0
