@@ -257,7 +257,9 @@ def exchange(pairs: np.ndarray, n: np.ndarray, n_symbols: int, first: int, class
 
 _KNOWN = "block int, word long, at int, shape int, count long, one boolean"
 _CLASSED = f"{_KNOWN}, cls int, fixed boolean"
-_MOVED = f"{_KNOWN}, cls int"
+#: What a sweep sends of a word: its count, shape and whether it may move are one number, as most of a row's cost is its fields.
+_SENT = "block int, word long, at int, cls int, info long"
+_INFO = f"(count * {N_SHAPES} + shape) * 2 + if(fixed or count = 0, 0, 1) as info"
 
 
 def _with_seed(top: np.ndarray, cls: np.ndarray, n_open: int):
@@ -300,8 +302,7 @@ def _contexts(n_classes: int):
 
     def run(docs: pa.Table, classed: pa.Table) -> pa.Table:
         classed, texts = _numbered(docs, classed)
-        cls, free = classed.column("cls").to_numpy().astype(np.int64), ~classed.column("fixed").to_numpy(zero_copy_only=False)
-        free &= classed.column("count").to_numpy() > 0
+        cls, free = classed.column("cls").to_numpy().astype(np.int64), classed.column("info").to_numpy() % 2 == 1
         keys, counts, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         for at, rows in texts:
             c = cls[at]
@@ -322,7 +323,7 @@ def _contexts(n_classes: int):
         until = np.searchsorted(word, moving, "right")
         offsets = pa.array(np.append(0, np.concatenate([[0], ends])[until]), pa.int32())  # contexts are of moving words alone, in their order
         context = pa.BinaryArray.from_buffers(pa.binary(), len(moving), [None, offsets.buffers()[1], pa.py_buffer(data.tobytes())])
-        return classed.drop_columns(["fixed"]).take(pa.array(moving)).append_column("context", context)
+        return classed.take(pa.array(moving)).append_column("context", context)
     return run
 
 
@@ -351,22 +352,25 @@ def best_classes(word: np.ndarray, code: np.ndarray, n: np.ndarray, cls: np.ndar
 
 
 def _move(totals: np.ndarray, n_open: int):
-    """Rows sorted by word to the same rows with the word's new class."""
+    """Rows sorted by word to rows of the vocabulary with the word's new class."""
     codes = 2 * len(totals)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in complete_runs(batches, "word"):
             table = table.combine_chunks()
-            words, cls = (table.column(c).to_numpy() for c in ("word", "cls"))
+            words, cls, info = (table.column(c).to_numpy() for c in ("word", "cls", "info"))
             begin = run_starts(words)
+            one = np.zeros(len(words), bool)
+            one[begin] = True
             of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(words))))
             data, off = W.buffers(table.column("context"))
             packed, ends = W.unpack(data[off[0]:off[-1]])
             n_of = np.diff(np.searchsorted(ends, off - off[0], "right"))
             key, (n,), _ = _summed(np.repeat(of, n_of) * codes + packed % codes, packed // codes)
             new = best_classes(key // codes, key % codes, n, cls[begin], totals, n_open)
-            table = table.drop_columns(["context"]).set_column(table.schema.get_field_index("cls"), "cls", pa.array(new[of].astype(np.int32)))
-            yield from table.append_column("fixed", pa.array(np.zeros(len(words), bool))).to_batches()
+            columns = [table.column("block"), table.column("word"), table.column("at"), pa.array((info // 2 % N_SHAPES).astype(np.int32)), pa.array(info // 2 // N_SHAPES),
+                       pa.array(one), pa.array(new[of].astype(np.int32)), pa.array(np.zeros(len(words), bool))]
+            yield from pa.Table.from_arrays(columns, [x.split()[0] for x in _CLASSED.split(", ")]).to_batches()
     return run
 
 
@@ -419,15 +423,16 @@ def cluster(docs: DataFrame, texts: DataFrame, known: DataFrame, clustered: int
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     before = known
     for _ in range(rounds):
-        contexts = train.groupBy("block").cogroup(classed.groupBy("block")).applyInArrow(_contexts(n_classes), f"{_MOVED}, context binary")
+        sent = classed.selectExpr("block", "word", "at", "cls", _INFO)
+        contexts = train.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(_contexts(n_classes), f"{_SENT}, context binary")
         moved = contexts.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(_move(totals, n_open), _CLASSED)
         classed = stage(moved.unionByName(classed.where("fixed or count = 0")), "classes")
         # Each sweep deals the coded texts; what the one before left behind goes before the next one deals them again.
         discard(before)
         before = classed
-        del contexts, moved
+        del contexts, moved, sent
         release(docs.sparkSession)
-        found = train.groupBy("block").cogroup(classed.groupBy("block")).applyInArrow(_class_pairs(n_classes), "pair long, n long")
+        found = train.groupBy("block").cogroup(classed.select("block", "at", "cls").groupBy("block")).applyInArrow(_class_pairs(n_classes), "pair long, n long")
         totals = _totals(found, n_classes)
         del found
         release(docs.sparkSession)
