@@ -284,7 +284,7 @@ def _numbered(docs: pa.Table, classed: pa.Table) -> tuple[pa.Table, Iterator[tup
 
     def texts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         data, offsets = W.buffers(docs.column("codes"))
-        for i, j in W.slices(offsets):
+        for i, j in W.slices(offsets, 1 << 18):
             codes, ends = W.unpack(data[offsets[i]:offsets[j]])
             yield codes, np.searchsorted(ends, offsets[i:j + 1] - offsets[i], "right")
     return classed, texts()
@@ -303,7 +303,7 @@ def _contexts(n_classes: int):
     def run(docs: pa.Table, classed: pa.Table) -> pa.Table:
         classed, texts = _numbered(docs, classed)
         cls, free = classed.column("cls").to_numpy().astype(np.int64), classed.column("info").to_numpy() % 2 == 1
-        keys, counts, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        keys, counts, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], 0
         for at, rows in texts:
             c = cls[at]
             after = np.append(c[1:], 0)
@@ -311,18 +311,24 @@ def _contexts(n_classes: int):
             key = at * codes
             key, n = np.unique(np.concatenate([(key + _before(c, rows))[mine], (key + n_classes + after)[mine]]), return_counts=True)
             keys.append(key)
-            counts.append(n)
+            counts.append(n.astype(np.int32))
             size += len(key)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 key, (n,), _ = _summed(np.concatenate(keys), np.concatenate(counts))
                 keys, counts, size = [key], [n], 0
         key, (n,), _ = _summed(np.concatenate(keys), np.concatenate(counts))
-        word = key // codes
-        data, ends = W.pack(n * codes + key % codes)
+        del keys, counts
         moving = np.flatnonzero(free)
-        until = np.searchsorted(word, moving, "right")
-        offsets = pa.array(np.append(0, np.concatenate([[0], ends])[until]), pa.int32())  # contexts are of moving words alone, in their order
-        context = pa.BinaryArray.from_buffers(pa.binary(), len(moving), [None, offsets.buffers()[1], pa.py_buffer(data.tobytes())])
+        until = np.searchsorted(key, (moving + 1) * codes)  # contexts are of moving words alone, in their order
+        key %= codes
+        parts, ends = [], [np.zeros(1, np.int32)]
+        for at in range(0, len(key), 250_000):  # a part at a time, for the memory of a task
+            data, end = W.pack(n[at:at + 250_000].astype(np.int64) * codes + key[at:at + 250_000])
+            parts.append(data.tobytes())
+            ends.append((end + int(ends[-1][-1])).astype(np.int32))
+        del key, n
+        offsets = pa.array(np.append(0, np.concatenate(ends)[until]), pa.int32())
+        context = pa.BinaryArray.from_buffers(pa.binary(), len(moving), [None, offsets.buffers()[1], pa.py_buffer(b"".join(parts))])
         return classed.take(pa.array(moving)).append_column("context", context)
     return run
 
