@@ -174,9 +174,19 @@ def atr_of(s: Series, n: int = 14) -> Series:
     return h.with_df(df.withColumn(f"atr_{n}", _mean_of(F.col("_tr"), n, h.local_window())).drop("_tr")).without_halo()
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """``a / b`` of doubles as IEEE 754 has it: infinite or NaN over zero, where Spark's ANSI division fails."""
+    over_zero = F.when(a.isNull(), F.lit(None).cast("double")).when((a == 0) | F.isnan(a), F.lit(float("nan"))).when(a > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
+    return F.when(b == 0, over_zero).otherwise(a / b)
+
+
 def drawdown_of(s: Series) -> Series:
-    """D9 on series of any length: equity over the first close, drawdown from the running peak."""
+    """D9 on series of any length: equity over the first close, drawdown from the running peak.
+
+    Minute closes are not cleaned: a first close or peak of zero gives infinite or NaN values, as in pandas.
+    """
     order = F.struct(*[F.col(c) for c in s.order], F.col("close").alias("_close"))
     out = s.running(_peak=("max", F.col("close"))).aggregate(_start=("min", order))
-    df = out.df.withColumns({"equity": F.col("close") / F.col("_start._close"), "drawdown": F.lit(1.0) - F.col("close") / F.col("_peak")})
+    close = F.col("close")
+    df = out.df.withColumns({"equity": quotient(close, F.col("_start._close")), "drawdown": F.lit(1.0) - quotient(close, F.col("_peak"))})
     return out.with_df(df.drop("_start", "_peak"))

@@ -1,6 +1,7 @@
 """Scans over split series, as-of joins and dimension tables against pandas and unsplit plans."""
 
 import datetime as dt
+import math
 import random
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from barsmith.operators import asof, dimensions
 from barsmith.operators import factors as FX
 from barsmith.operators.series import EWM_BLOCK, as_series
+from barsmith.plans.catalog import _r6
 from barsmith.plans.fixtures import history_bars, minute_bars, raw_bars
 from sf_paths import SF_SMALL
 
@@ -173,3 +175,23 @@ def test_valuation_knows_only_what_was_announced(spark):
         got = {(r["trade_date"] - DAY).days: (r["pe"], r["pb"]) for r in asof.valuation(bars, reports, max_rows).collect()}
         assert [got[i][0] for i in range(12)] == [None] * 7 + [2.5, 2.5] + [None] * 3
         assert [got[i][1] for i in range(12)] == [None, 2.0, 2.0, None, None, 2.5, 2.5] + [5.0] * 5
+
+
+@pytest.mark.parametrize("max_rows", [None, 2])
+def test_drawdown_of_series_that_begin_at_zero(spark, max_rows):
+    closes = {"a": [0.0, 0.0, 2.0, 1.0], "b": [4.0, 0.0, 2.0], "c": [0.0, -1.0]}
+    rows = [(c, DAY, i, v, v, v) for c, vs in closes.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "code string, trade_date date, time int, high double, low double, close double")
+    out = FX.drawdown_of(FX.minute_series(df, max_rows)).df.toPandas().sort_values(["code", "time"])
+    for code, g in out.groupby("code"):
+        v = np.array(closes[code])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            np.testing.assert_array_equal(g["equity"], v / v[0])
+            np.testing.assert_array_equal(g["drawdown"], 1.0 - v / np.maximum.accumulate(v))
+
+
+def test_rounding_keeps_what_is_not_finite(spark):
+    values = [1.2345675, -1.2345675, 1e300, -1e300, float("inf"), float("-inf"), float("nan"), None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(_r6(F.col("v"))).collect()]
+    assert got[:2] == [1.234568, -1.234567] and got[2] == 1e300 and got[3] == -1e300 and got[4] == math.inf and got[5] == -math.inf
+    assert math.isnan(got[6]) and got[7] is None
