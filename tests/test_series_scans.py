@@ -9,11 +9,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barsmith import contracts as K
 from barsmith.operators import asof, dimensions
 from barsmith.operators import factors as FX
 from barsmith.operators.series import EWM_BLOCK, as_series
 from barsmith.plans.catalog import _r6
-from barsmith.plans.fixtures import history_bars, minute_bars, raw_bars
+from barsmith.plans.fixtures import history_bars, minute_bars, raw_bars, write_quote_files
 from sf_paths import SF_SMALL
 
 DAY = dt.date(2020, 1, 1)
@@ -195,3 +196,33 @@ def test_rounding_keeps_what_is_not_finite(spark):
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(_r6(F.col("v"))).collect()]
     assert got[:2] == [1.234568, -1.234567] and got[2] == 1e300 and got[3] == -1e300 and got[4] == math.inf and got[5] == -math.inf
     assert math.isnan(got[6]) and got[7] is None
+
+
+def test_macd_runs_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    rows = [(c, DAY + dt.timedelta(i), 10.0 + i % 7) for c in "ab" for i in range(600)]
+    df = spark.createDataFrame(rows, "code string, trade_date date, close double").mapInPandas(counted, "code string, trade_date date, close double")
+    assert FX.macd(df).count() == 1200
+    assert seen.value == 1200
+
+
+def test_quote_files_hold_the_lines_of_their_series(spark, tmp_path):
+    days = [(k, DAY + dt.timedelta(i), f"c{k}", "甲\n乙" if k == 2 else "甲", float(i)) for k in (1, 2, None) for i in range(3)]
+    bars = spark.createDataFrame(days, "k int, trade_date date, code string, name string, close double")
+    std = [c for c in K.HEADER_MAP.values() if c not in bars.columns]
+    bars = bars.withColumns({K.SRC: F.concat(F.lit("f"), F.col("k").cast("string")), **{c: F.lit(None).cast("double") for c in std}})
+    (tmp_path / "out" / "series=old").mkdir(parents=True)
+    (tmp_path / "out" / "series=old" / "part.csv").write_text("gone\n")
+    write_quote_files(bars, str(tmp_path / "out"))
+    found = {p.parent.name: p.read_bytes().decode("gbk").split("\n") for p in (tmp_path / "out").glob("*/*")}
+    assert set(found) == {"series=f1", "series=f2", "series=__HIVE_DEFAULT_PARTITION__"}
+    names = list(K.HEADER_MAP)
+    assert found["series=f1"][:2] == ["数据来源: 测试", ",".join(reversed(names))] and len(found["series=f1"]) == 6 and found["series=f1"][-1] == ""
+    assert found["series=f2"][1] == ",".join(names) and len(found["series=f2"]) == 9
+    assert [line.split(",")[0] for line in found["series=f2"][2::2][:3]] == [str(DAY + dt.timedelta(i)) for i in range(3)]
