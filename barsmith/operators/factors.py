@@ -139,7 +139,9 @@ def macd_of(s: Series, close: str = "close") -> Series:
 
 def macd(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """MACD(12, 26, 9) per code; series beyond ``max_rows`` rows are cut into segments."""
-    s = as_series(df.select(KEY, DATE, F.col("close").cast("double").alias("close")), KEY, [DATE], F.unix_date(DATE), max_rows)
+    # Each exponential mean reads its input twice, so what gave the closes is run once and stored.
+    closes = df.select(KEY, DATE, F.col("close").cast("double").alias("close")).checkpoint()
+    s = as_series(closes, KEY, [DATE], F.unix_date(DATE), max_rows)
     return macd_of(s).df.drop(s.seg)
 
 
