@@ -125,3 +125,62 @@ def test_absent_columns_keep_stored_values(spark, tmp_path):
     tbl.upsert(one.drop("t", "src"), present=PRESENT)
     got = {r["code"]: (r["name"], float(r["close"]), r["amount"] and float(r["amount"])) for r in tbl.read().collect()}
     assert got == {"a": ("y", 11.0, 1050.0), "n": (None, 5.0, 7.0)}
+
+
+def test_layers_read_as_the_upserts_they_stand_for(spark, tmp_path, monkeypatch):
+    """Layered upserts give the table that rewriting ones give, at every level of merged layers and after a fold."""
+    from barsmith.operators.clean import PRESENT
+    from barsmith.sources import tables
+    monkeypatch.setattr(tables, "LAYERS", 2)
+    cols = [f for f in tables.K.DAILY_SCHEMA.fields if f.name not in tables.K.AUDIT_COLUMNS]
+    flags = {c: f for c, f in PRESENT.items() if c in {x.name for x in cols}}
+
+    def batch(n, keys, lacks=()):
+        given = {"open": float(n), "close": n + 0.005, "amount": 100.0 * n, "pre_close": None if n == 3 else n + 0.5, "name": f"n{n}", "trading_days": n}
+        rows = [tuple({"code": code, "trade_date": date, **given}.get(f.name) if f.name not in lacks else None for f in cols) + tuple(c not in lacks for c in flags)
+                for code, date in keys]
+        kinds = {"code": "string", "name": "string", "trade_date": "date", "trading_days": "int"}
+        schema = ", ".join([f"{f.name} {kinds.get(f.name, 'double')}" for f in cols] + [f"{f} boolean" for f in flags.values()])
+        return spark.createDataFrame(rows, schema)
+
+    may = dt.date(2021, 5, 3)
+    batches = [
+        batch(1, [("a", D1), ("b", D1)]),
+        batch(2, [("a", D1), ("c", may)], ("amount", "pre_close", "avg_price")),
+        batch(3, [("a", D1), ("b", may), (None, D1)]),
+        batch(4, [("b", D1), (None, D1)], ("amount",)),
+        batch(5, [("d", D1), ("c", may)], ("pre_close",)),
+        batch(6, [("d", D1)], ("pre_close", "amount")),
+    ]
+    for first in (0, 2):  # without and with rows in the partitions
+        plain, layered = (tables.ParquetTable.daily(spark, str(tmp_path / f"{kind}{first}")) for kind in ("plain", "layered"))
+        for i, source in enumerate(batches):
+            now = _ts(f"2024-0{i + 1}-01 00:00:00")
+            plain.upsert(source, now=now, present=flags)
+            if i < first:
+                layered.upsert(source, now=now, present=flags)
+            else:
+                assert layered.upsert_layer(source, now=now, present=flags) == source.count()
+            want = sorted(map(repr, plain.read().collect()))
+            assert sorted(map(repr, layered.read().collect())) == want
+        assert len(layered.state()["layers"]) == (2 if first == 0 else 1)  # 6 batches: levels 2 and 1; 4: level 2
+        assert layered.upsert_layer(batches[0].limit(0), present=flags) == 0
+        layered.fold()
+        assert "layers" not in layered.state() and sorted(map(repr, layered.read().collect())) == want
+        layered.fold()  # nothing to do
+        layered.upsert_layer(batches[0], now=_ts("2024-09-01 00:00:00"), present=flags)
+        plain.upsert(batches[0], now=_ts("2024-09-01 00:00:00"), present=flags)
+        for t in (plain, layered):  # a rewriting upsert comes after the layers
+            t.upsert(batches[4], now=_ts("2024-10-01 00:00:00"), present=flags)
+        assert "layers" not in layered.state()
+        assert sorted(map(repr, layered.read().collect())) == sorted(map(repr, plain.read().collect()))
+
+
+def test_a_layer_needs_every_stored_column(spark, tmp_path):
+    from barsmith.sources.tables import ParquetTable
+    tbl = ParquetTable.daily(spark, str(tmp_path))
+    with pytest.raises(ValueError):
+        tbl.upsert_layer(frame(spark, [("a", D1, 1.0)], "code string, trade_date date, close double"))
+    assert tbl.read().count() == 0
+
+
