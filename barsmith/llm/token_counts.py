@@ -28,7 +28,6 @@ from __future__ import annotations
 import functools
 import itertools
 import json
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,7 +63,14 @@ class PrefixCounter:
         self.special = [t["content"] for t in spec["added_tokens"]]
         spell = lambda token: bytes(alphabet[c] for c in token)
         self.token = {spell(t): i for t, i in ids.items() if t not in self.special}
-        self.longest = max(map(len, self.token))
+        #: per beginning of a token the tokens that end it, the longest first, with their lengths (Aho-Corasick's outputs)
+        self.ends: dict[bytes, tuple[tuple[int, int], ...]] = {b"": ()}
+        for s in sorted({t[:i] for t in self.token for i in range(1, len(t) + 1)}, key=len):
+            i = 1
+            while (shorter := self.ends.get(s[i:])) is None:
+                i += 1
+            own = self.token.get(s)
+            self.ends[s] = shorter if own is None else ((len(s), own), *shorter)
         #: rank and parts of each merge; a token made by no merge is a single byte
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
@@ -78,7 +84,7 @@ class PrefixCounter:
         self.contraction = regex.compile(r"'(?:re|ve|ll)")
         self.special_cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self._fits: dict[tuple[int, int], bool] = {}
-        self._before: tuple[bytes, list[int], list[int]] = (b"", [0], [-1])
+        self._before: tuple[bytes, list[int], list[int], list[int]] = (b"", [0], [-1], [0])
         self._steps: dict[str, bytes] = {}
         self._chunk: dict[str, bytes | None] = {}
 
@@ -117,25 +123,32 @@ class PrefixCounter:
         Prefixes shared with the piece before are taken over, so sorted pieces cost least.
         """
         raw = piece.encode()
-        token, fits, longest, fit = self.token, self.fits, self.longest, self._fits
-        had, count, last = self._before
-        shared = len(os.path.commonprefix((had, raw)))
-        del count[shared + 1:], last[shared + 1:]
-        self._before = raw, count, last
+        ends, fits, fit = self.ends, self.fits, self._fits
+        had, count, last, froms = self._before  # froms: where the longest beginning of a token starts that ends here
+        shared = 0
+        for a, b in zip(had, raw):
+            if a != b:
+                break
+            shared += 1
+        del count[shared + 1:], last[shared + 1:], froms[shared + 1:]
+        self._before = raw, count, last, froms
+        at = froms[shared]
         for end in range(shared + 1, len(raw) + 1):
-            for start in range(max(0, end - longest), end):
-                t = token.get(raw[start:end])
-                if t is not None:
-                    if start:
-                        before = last[start]
-                        known = fit.get((before, t))
-                        if not (fits(before, t) if known is None else known):
-                            continue
-                    count.append(count[start] + 1)
-                    last.append(t)
-                    break
+            while (found := ends.get(raw[at:end])) is None:
+                at += 1
+            for length, t in found:
+                start = end - length
+                if start:
+                    before = last[start]
+                    known = fit.get((before, t))
+                    if not (fits(before, t) if known is None else known):
+                        continue
+                count.append(count[start] + 1)
+                last.append(t)
+                froms.append(at)
+                break
             else:
-                self._before = b"", [0], [-1]
+                self._before = b"", [0], [-1], [0]
                 raise ValueError(f"no token ends at byte {end} of {piece!r}")
         if len(raw) == len(piece):
             return count[:]
@@ -183,14 +196,18 @@ class PrefixCounter:
 
     def _piece_steps(self, piece: str) -> bytes | None:
         counts = self.piece_counts(piece)
+        if len(piece) == 3 and self.contraction.fullmatch(piece):
+            counts[2] = 2  # cut short, it is a quote and a letter
         steps = [b - a for a, b in itertools.pairwise(counts)]
         return bytes([x & 255 for x in steps]) if min(steps) > -128 else None
 
     def _chunk_steps(self, text: str, pieces: list[str]) -> bytes | None:
-        out = []
+        out, before = [], False
         for piece in pieces:
-            if piece[-1] in SPACES or piece[0] == "'" and len(piece) > 2:
-                break
+            space = piece[-1] in SPACES
+            if space and before:
+                break  # cuts in a run of white space depend on the whole run
+            before = space
             step = self._steps.get(piece) or self._piece_steps(piece)
             if step is None:
                 return None
@@ -209,9 +226,7 @@ class PrefixCounter:
             steps.clear()
         split: list[tuple[str, str, list[str]]] = []
         new: set[str] = set()
-        for chunk in chunks:
-            if chunk in memo:
-                continue
+        for chunk in chunks.difference(memo):
             if not chunk or chunk[0] in SPACES or chunk[-1] in SPACES:
                 memo[chunk] = None
                 continue
@@ -219,7 +234,7 @@ class PrefixCounter:
             pieces = self.pieces.findall(text)
             split.append((chunk, text, pieces))
             new.update(pieces)
-        for piece in sorted(x for x in new if x not in steps and x[-1] not in SPACES):
+        for piece in sorted(new.difference(steps)):
             step = self._piece_steps(piece)
             if step is not None:
                 steps[piece] = step

@@ -237,3 +237,24 @@ def test_blocks_follow_the_text_alone(spark, tmp_path, monkeypatch):
     for name in ("narrow", "wide"):
         assert frames.block_count(frames.pick(spark.read.parquet(str(tmp_path / name)), id="doc_id", text="text")) == want
     assert frames.block_count(narrow.limit(0)) == 1
+
+
+def test_line_breaks_and_contractions_in_words_need_no_pass_of_their_own(monkeypatch):
+    counter = token_counts.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    words = ["a\nb", "they're", "we'll\nbe", "I've", "'re're", "x y", "é\n中", "q\tq\tq", "dogs'\nll"]
+    want = [counter.counts(f"x {w} y") for w in words]
+    monkeypatch.setattr(counter, "plain_counts", lambda text: (_ for _ in ()).throw(AssertionError(text)))
+    counter.learn(set(words))
+    got = [np.cumsum(np.frombuffer(counter._chunk[w], np.int8)) for w in words]
+    monkeypatch.undo()
+    assert [(1 + g).tolist() for g in got] == [w[2:len(g) + 2].tolist() for g, w in zip(got, want)]
+    runs = ["a\n\nb", "a\r\n\tb"]  # these do: a cut in the run depends on all of it
+    for text, table in zip([f"x {r} y" for r in runs], counter.prefix_tables([f"x {r} y" for r in runs])):
+        assert table.tolist() == counter.counts(text).tolist()
+
+
+def test_tokens_that_end_a_beginning():
+    counter = token_counts.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    some = sorted(counter.ends)[::97]
+    for s in some:
+        assert counter.ends[s] == tuple((len(s) - i, counter.token[s[i:]]) for i in range(len(s)) if s[i:] in counter.token)
