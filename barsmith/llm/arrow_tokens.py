@@ -51,7 +51,8 @@ class Encoder:
 
     For byte-level vocabularies, pieces always part at a single space between other
     characters, so the library encodes each such chunk once and texts are put together
-    from the encoded chunks. Other vocabularies, texts with special strings and texts
+    from the encoded chunks. New chunks are encoded many to a text, each after a space, and
+    the ids parted where a token begins with one. Other vocabularies, texts with special strings and texts
     with other white space beside a space are encoded whole.
     """
 
@@ -70,28 +71,45 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.memo: dict[str, bytes | None] = {}
+        # By id, whether the token begins with a space ("\u0120" in the file); a special string with a space could arise between chunks.
+        vocab = spec["model"]["vocab"] if self.by_chunk else {}
+        self.joins = bool(vocab) and not any(" " in s for s in self.special)
+        self.opens = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.opens[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
 
     def _pack(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array.array(self.code, x.ids).tobytes() for x in found]
 
+    def _pack_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk after a space."""
+        if self.joins:
+            found = self.tokenizer.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)
+            ids = np.array(found[0].ids, self.dtype)
+            starts = np.flatnonzero(self.opens[ids]) if len(ids) and ids.max() < len(self.opens) else ids[:0]
+            if len(starts) == len(chunks) and starts[0] == 0:
+                data, size = ids.tobytes(), self.dtype.itemsize
+                cuts = [*(starts * size).tolist(), len(data)]
+                return [data[a:b] for a, b in itertools.pairwise(cuts)]
+        return self._pack([" " + c for c in chunks])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         rows = [t.split(" ") if self.by_chunk and not any(s in t for s in self.special) else None for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
         memo = self.memo
-        new = [c for c in set(itertools.chain.from_iterable(r[1:] for r in rows if r)) if c not in memo]
+        new = set(itertools.chain.from_iterable(r[1:] for r in rows if r)).difference(memo)
         memo.update(dict.fromkeys(new))
         plain = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
-        for at in range(0, len(plain), 10_000):
-            part = plain[at:at + 10_000]
-            memo.update(zip(part, self._pack([" " + c for c in part]), strict=True))
+        for at in range(0, len(plain), 1_000):
+            part = plain[at:at + 1_000]
+            memo.update(zip(part, self._pack_chunks(part), strict=True))
         out: list[bytes | None] = []
         for row in rows:
             packed = None
             if row and row[0] and not row[0][-1].isspace():
                 try:
-                    packed = b"".join([memo[c] for c in row[1:]])
+                    packed = b"".join(map(memo.__getitem__, row[1:]))
                 except TypeError:
                     packed = None
             out.append(packed)

@@ -239,6 +239,24 @@ def test_blocks_follow_the_text_alone(spark, tmp_path, monkeypatch):
     assert frames.block_count(narrow.limit(0)) == 1
 
 
+def test_new_chunks_are_encoded_many_to_a_text():
+    """The library gets few texts for many new words, and the ids are those of each text on its own."""
+    coder = arrow_tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    plain = coder.tokenizer
+    given = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return plain.encode_batch_fast(texts, **options)
+    coder.tokenizer = Counted()
+    words = [f"w{i}" for i in range(2500)] + ["Ġx", "a\nb", "it's", "été", "中文", "\U0001f600", "...", "1,000", "\x00", "x y", "'ll", "<|endoftext", "|>"]
+    texts = [" ".join(words), "a  b \n c", "", " lead", "x " + "Ġ" * 3 + " y​ z", "one <|endoftext|> two"]
+    got = coder.encode(texts)
+    assert [np.frombuffer(x, coder.dtype).tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(given) < 20
+
+
 def test_line_breaks_and_contractions_in_words_need_no_pass_of_their_own(monkeypatch):
     counter = token_counts.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     words = ["a\nb", "they're", "we'll\nbe", "I've", "'re're", "x y", "é\n中", "q\tq\tq", "dogs'\nll"]
