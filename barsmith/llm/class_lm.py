@@ -54,6 +54,8 @@ from barsmith.llm.frames import block_count, complete_runs, discard, pick, relea
 CLUSTERED, CLASSES, SWEEPS, ROUNDS = 1000, 48, 5, 2
 #: Bytes of text in a block; a block repeats its vocabulary in every sweep, so larger ones shuffle less.
 TEXT_BYTES = 32 << 20
+#: New entries that a task holds before it sums them, and word occurrences whose contexts it sorts at a time.
+PENDING, OCCURRENCES = 500_000, 500_000
 #: Held out: crc32 of the id as text leaves this remainder by FOLDS.
 FOLDS, HELD_OUT = 5, 1
 #: The end of a text as a word (no word hashes to it but by chance), and shapes of words.
@@ -88,6 +90,13 @@ def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.n
     return key[order][begin], [np.add.reduceat(v[order], begin) if len(begin) else v[:0] for v in values], order[begin]
 
 
+def _merged(pieces: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Words of several pieces as one: word, shape, training count and count."""
+    word, shape, n, total = (np.concatenate(x) for x in zip(*pieces, strict=True))
+    word, (n, total), first = _summed(word, n, total)
+    return word, shape[first], n, total
+
+
 def _number(docs: pa.Table) -> pa.Table:
     """A block's texts as numbers of its words, and its words.
 
@@ -95,22 +104,24 @@ def _number(docs: pa.Table) -> pa.Table:
     training count. The block's commonest words have the smallest numbers, so most take one byte.
     """
     out = docs.column("held_out").to_numpy(zero_copy_only=False)
-    pieces, slices = [], []
+    pieces, slices, size = [], [], 0
     for i, words, shape in tokens(docs.column("text")):
         hashes, shapes, rows = _with_ends(words, shape)
-        train = np.repeat(~out[i:i + len(rows) - 1], np.diff(rows)).astype(np.int64)
-        word, (n, total), first = _summed(hashes, train, np.ones(len(hashes), np.int64))
-        pieces.append((word, shapes[first], n, total))
-        slices.append((hashes, rows))
-    word, shape, n, total = (np.concatenate(x) for x in zip(*pieces, strict=True))
+        train = np.repeat(~out[i:i + len(rows) - 1], np.diff(rows))
+        word, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+        n, total = (np.bincount(x, minlength=len(word)).astype(np.int32) for x in (of[train], of))
+        pieces.append((word, shapes[first].astype(np.int16), n, total))
+        slices.append((word, of.astype(np.int32), rows))
+        size += len(word)
+        if size > PENDING:
+            pieces, size = [_merged(pieces)], 0
+    word, shape, n, total = _merged(pieces)
     del pieces
-    word, (n, total), first = _summed(word, n, total)
-    shape = shape[first]
     at = np.empty(len(word), np.int64)
     at[np.argsort(-total, kind="stable")] = np.arange(len(word))
     data, ends = [], [np.zeros(1, np.int64)]
-    for k, (hashes, rows) in enumerate(slices):
-        codes, end = W.pack(at[np.searchsorted(word, hashes)])
+    for k, (mine, of, rows) in enumerate(slices):
+        codes, end = W.pack(at[np.searchsorted(word, mine)][of])
         ends.append(end[rows[1:] - 1] + ends[-1][-1])
         data.append(codes)
         slices[k] = None
@@ -170,7 +181,7 @@ def _with_ends(words: W.Words, shape: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _count_pairs(top: np.ndarray, symbol: np.ndarray, n_symbols: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, size = [], [], 0
+        total = np.zeros(n_symbols * n_symbols, np.int64)
         for batch in batches:
             for _, words, shape in tokens(batch.column(0)):
                 word, shape, rows = _with_ends(words, shape)
@@ -178,15 +189,10 @@ def _count_pairs(top: np.ndarray, symbol: np.ndarray, n_symbols: int):
                 left = np.concatenate([[0], right[:-1]])
                 left[rows[:-1]] = 0
                 key, n = np.unique(left * n_symbols + right, return_counts=True)
-                keys.append(key)
-                counts.append(n)
-                size += len(key)
-                if size > 2_000_000:  # at most n_symbols squared stay
-                    key, (n,), _ = _summed(np.concatenate(keys), np.concatenate(counts))
-                    keys, counts, size = [key], [n], 0
-        if keys:
-            key, (n,), _ = _summed(np.concatenate(keys), np.concatenate(counts))
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["pair", "n"])
+                total[key] += n
+        key = np.flatnonzero(total)
+        if len(key):
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(total[key], pa.int64())], ["pair", "n"])
     return run
 
 
@@ -302,37 +308,52 @@ def _contexts(n_classes: int):
 
     def run(docs: pa.Table, classed: pa.Table) -> pa.Table:
         classed, texts = _numbered(docs, classed)
-        cls, free = classed.column("cls").to_numpy().astype(np.int64), classed.column("info").to_numpy() % 2 == 1
-        keys, counts, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], 0
-        for at, rows in texts:
-            c = cls[at]
-            after = np.append(c[1:], 0)
-            mine = free[at]
-            key = at * codes
-            key, n = np.unique(np.concatenate([(key + _before(c, rows))[mine], (key + n_classes + after)[mine]]), return_counts=True)
-            keys.append(key)
-            counts.append(n.astype(np.int32))
-            size += len(key)
-            if size > 1_000_000:
-                key, (n,), _ = _summed(np.concatenate(keys), np.concatenate(counts))
-                keys, counts, size = [key], [n], 0
-        key, (n,), _ = _summed(np.concatenate(keys), np.concatenate(counts))
-        del keys, counts
+        cls, free = classed.column("cls").to_numpy().astype(np.int16), classed.column("info").to_numpy() % 2 == 1
         moving = np.flatnonzero(free)
-        until = np.searchsorted(key, (moving + 1) * codes)  # contexts are of moving words alone, in their order
-        key %= codes
+        classed = classed.take(pa.array(moving))
+        kept = [(np.zeros(0, np.int32), np.zeros(0, np.int16), np.zeros(0, np.int16))]
+        for at, rows in texts:  # occurrences of words that may move, with the classes beside each
+            c, mine = cls[at], free[at]
+            kept.append((at[mine].astype(np.int32), _before(c, rows)[mine].astype(np.int16), np.append(c[1:], 0)[mine].astype(np.int16)))
+        at, before, after = (np.concatenate(x) for x in zip(*kept, strict=True))
+        del kept
+        # Contexts of some words at a time: a word's are sorted and packed with all its occurrences in the block.
+        seen = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(free))[moving])])
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(seen, np.arange(0, seen[-1], OCCURRENCES)), [len(moving)]]))
         parts, ends = [], [np.zeros(1, np.int32)]
-        for at in range(0, len(key), 250_000):  # a part at a time, for the memory of a task
-            data, end = W.pack(n[at:at + 250_000].astype(np.int64) * codes + key[at:at + 250_000])
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            mine = np.flatnonzero((at >= moving[i]) & (at <= moving[j - 1]))
+            key = at[mine].astype(np.int64) * codes
+            key, n = np.unique(np.concatenate([key + before[mine], key + n_classes + after[mine]]), return_counts=True)
+            data, end = W.pack(n * codes + key % codes)
+            until = np.searchsorted(key, (moving[i:j] + 1) * codes)  # contexts are of moving words alone, in their order
             parts.append(data.tobytes())
-            ends.append((end + int(ends[-1][-1])).astype(np.int32))
-        del key, n
-        offsets = pa.array(np.append(0, np.concatenate(ends)[until]), pa.int32())
+            ends.append((np.append(0, end)[until] + int(ends[-1][-1])).astype(np.int32))
+        offsets = pa.array(np.concatenate(ends), pa.int32())
         context = pa.BinaryArray.from_buffers(pa.binary(), len(moving), [None, offsets.buffers()[1], pa.py_buffer(b"".join(parts))])
-        return classed.take(pa.array(moving)).append_column("context", context)
+        return classed.append_column("context", context)
     return run
 
 
+def _added(table: np.ndarray, small: int = 16):
+    """Function of rows of ``table``, what is added and present classes: the gain of n log n in each open class.
+
+    A word's own counts are first taken out of its present class.
+    """
+    plain, n_open = nlogn(table), table.shape[1]
+    steps = np.stack([nlogn(table + m) - plain for m in range(small)])  # most words add little, which is looked up
+
+    def gain(row: np.ndarray, m: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        out = steps[np.minimum(m, small - 1), row]
+        large = np.flatnonzero(m >= small)
+        out[large] = nlogn(table[row[large]] + m[large, None]) - plain[row[large]]
+        mine = np.flatnonzero((cls >= 2) & (cls < 2 + n_open))
+        have = table[row[mine], cls[mine] - 2]
+        out[mine, cls[mine] - 2] = nlogn(have) - nlogn(have - m[mine])
+        return out
+    return gain
+
+
 def best_classes(word: np.ndarray, code: np.ndarray, n: np.ndarray, cls: np.ndarray, totals: np.ndarray, n_open: int) -> np.ndarray:
     """For each word the open class in which the class bigrams gain most.
 
@@ -341,19 +362,16 @@ def best_classes(word: np.ndarray, code: np.ndarray, n: np.ndarray, cls: np.ndar
     """
     n_classes, open_ = len(totals), np.arange(2, 2 + n_open)
     # Row c: counts of each open class after class c; row n_classes + c: before it.
-    table = np.concatenate([totals[:, open_], totals[open_].T])
+    added = _added(np.concatenate([totals[:, open_], totals[open_].T]))
     gain = np.zeros((len(cls), n_open))
-    own = np.zeros((len(cls), 2))
-    np.add.at(own, (word, code // n_classes), n)
     for at in range(0, len(word), 20_000):
         w, k, m = (x[at:at + 20_000] for x in (word, code, n))
-        have = table[k] - np.where(cls[w][:, None] == open_, m[:, None], 0)
         begin = run_starts(w)
-        np.add.at(gain, w[begin], np.add.reduceat(nlogn(have + m[:, None]) - nlogn(have), begin))
-    for side, margin in ((0, totals.sum(0)), (1, totals.sum(1))):
-        mine = own[:, side][:, None]
-        have = margin[open_] - np.where(cls[:, None] == open_, mine, 0)
-        gain -= nlogn(have + mine) - nlogn(have)
+        gain[w[begin]] += np.add.reduceat(added(k, m, cls[w]), begin)
+    margin = _added(np.stack([totals.sum(0)[open_], totals.sum(1)[open_]]))
+    own = np.bincount(word * 2 + code // n_classes, n, len(cls) * 2).astype(np.int64).reshape(-1, 2)
+    for side in (0, 1):
+        gain -= margin(np.full(len(cls), side), own[:, side], cls)
     return 2 + gain.argmax(1)
 
 
@@ -362,7 +380,7 @@ def _move(totals: np.ndarray, n_open: int):
     codes = 2 * len(totals)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in complete_runs(batches, "word"):
+        for table in complete_runs(batches, "word", 40_000, 8 << 20):
             table = table.combine_chunks()
             words, cls, info = (table.column(c).to_numpy() for c in ("word", "cls", "info"))
             begin = run_starts(words)
